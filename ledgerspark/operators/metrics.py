@@ -1,8 +1,9 @@
 """Evaluation metrics (ops D10-D13) as aggregates.
 
 The confusion matrix is a grouped count (classes x classes rows, bounded by
-the label set), so it is the only thing brought to the driver; AUC uses
-Spark's exact evaluator (``numBins=0``) which ranks scores distributedly.
+the label set), so it is the only thing brought to the driver. AUC has two
+exact forms: the rank form over a distributed running count (``auc_rank``)
+and Spark's evaluator with ``numBins=0`` (used inside model training).
 """
 
 from __future__ import annotations
@@ -38,20 +39,17 @@ def per_class_metrics(cm: DataFrame) -> DataFrame:
         (F.col("precision") + F.col("recall")) > 0,
         F.lit(2.0) * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")),
     ).otherwise(F.lit(0.0))
-    return j.withColumn("f1", f1).select("cls", "precision", "recall", "f1", "support")
+    return j.withColumn("f1", f1).select("cls", "precision", "recall", "f1", "support", "tp")
 
 
 def classification_summary(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """One row: accuracy and macro F1 (mean over the classes present in
-    labels or predictions)."""
-    cm = confusion_matrix(scored, label, prediction)
-    acc = cm.agg(
-        (F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)) / F.sum("n")).alias(
-            "accuracy"
-        )
+    """One row: accuracy (sum of true positives over all rows) and
+    macro F1 (mean over the classes present in labels or predictions)."""
+    per = per_class_metrics(confusion_matrix(scored, label, prediction))
+    return per.agg(
+        (F.sum("tp") / F.sum("support")).alias("accuracy"),
+        F.avg("f1").alias("f1_macro"),
     )
-    f1 = per_class_metrics(cm).agg(F.avg("f1").alias("f1_macro"))
-    return acc.crossJoin(f1)  # two one-row frames
 
 
 def classification_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction") -> dict:
@@ -78,26 +76,53 @@ def binary_summary(scored: DataFrame, label: str = "label", prediction: str = "p
     return g.withColumn("f1", f1)
 
 
+def count_before(per: DataFrame, order_col: str, count_col: str, parts: int | None = None) -> DataFrame:
+    """Exclusive running total of ``count_col`` in ``order_col`` order,
+    without a single-partition window. The order column is cut into ranges
+    at approximate quantiles (computed once, ``parts - 1`` numbers on the
+    driver), each range sums its own rows in one task, and the per-range
+    totals (one row per range, a proven bound) give every range its offset.
+    The cut points are constants of the plan, so a recomputed task gets the
+    same ranges."""
+    from pyspark.ml.feature import Bucketizer
+
+    spark = per.sparkSession
+    n = max(1, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x = per.withColumn("_x", F.col(order_col).cast("double"))
+    cuts = sorted(set(x.approxQuantile("_x", [i / n for i in range(1, n)], 0.001))) if n > 1 else []
+    splits = [float("-inf")] + [c for c in cuts if c not in (float("-inf"), float("inf"))] + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(x)
+    w_local = Window.partitionBy("_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = b.withColumn("_local", F.coalesce(F.sum(count_col).over(w_local), F.lit(0)))
+    totals = b.groupBy("_b").agg(F.sum(count_col).alias("_tot"))
+    w_off = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_b", F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
+    return (
+        local.join(F.broadcast(offsets), "_b")
+        .withColumn("before", (F.col("_off") + F.col("_local")).cast("long"))
+        .drop("_b", "_x", "_local", "_off")
+    )
+
+
 def auc_rank(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Exact ROC AUC by the rank form with average ranks for ties:
     (sum of positive ranks - p(p+1)/2) / (p n); 0.5 when one class is
-    missing. Ranks come from a grouped count per distinct score and a
-    running sum over the (far fewer) distinct scores."""
+    missing. Twice the rank sum is an integer, summed exactly as bigint."""
     per = scored.groupBy(F.col(score).alias("s")).agg(
         F.count(F.lit(1)).alias("cnt"), F.count(F.when(F.col(label) == 1, 1)).alias("pos")
     )
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-    # average rank of a tie group: before + (cnt + 1) / 2
+    ranked = count_before(per, "s", "cnt")
+    # average rank of a tie group = before + (cnt + 1) / 2; doubled to stay integral
     g = ranked.agg(
-        F.sum(F.col("pos") * (F.col("before") + (F.col("cnt") + 1) / 2.0)).alias("rank_sum"),
+        F.sum(F.col("pos") * (F.lit(2) * F.col("before") + F.col("cnt") + F.lit(1))).alias("rank_sum2"),
         F.sum("pos").alias("p"),
         F.sum("cnt").alias("n_all"),
     )
     n_neg = F.col("n_all") - F.col("p")
     auc = F.when(
         (F.col("p") > 0) & (n_neg > 0),
-        (F.col("rank_sum") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * n_neg),
+        (F.col("rank_sum2") - F.col("p") * (F.col("p") + F.lit(1))).cast("double")
+        / (F.lit(2) * F.col("p") * n_neg).cast("double"),
     ).otherwise(F.lit(0.5))
     return g.select(auc.alias("auc"))
 

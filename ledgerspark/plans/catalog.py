@@ -332,3 +332,80 @@ def all_queries() -> dict[str, Query]:
     except ImportError:
         pass
     return out
+
+
+# ------------------------------------------------------------------ metrics
+
+def _persistence_scored(spark, d):
+    """The risk label against a persistence predictor taken from the data:
+    last month's spend over 0.9 x income (prediction) and last month's
+    spend / income (score)."""
+    r = _risk_frame(spark, d)
+    return r.select(
+        F.col("is_overspend").alias("label"),
+        (F.col("prev_month_spending") > F.col("monthly_income") * F.lit(S.OVERSPEND_INCOME_SHARE)).cast("int").alias(
+            "prediction"
+        ),
+        (F.col("prev_month_spending") / F.col("monthly_income")).alias("score"),
+    )
+
+
+def d10_confusion_matrix(spark, d):
+    from ..operators import metrics as M
+
+    return M.confusion_matrix(_persistence_scored(spark, d))
+
+
+def d10_per_class_metrics(spark, d):
+    from ..operators import metrics as M
+
+    return M.per_class_metrics(M.confusion_matrix(_persistence_scored(spark, d))).drop("tp")
+
+
+def d10_classification_summary(spark, d):
+    from ..operators import metrics as M
+
+    return M.classification_summary(_persistence_scored(spark, d))
+
+
+def d10_binary_summary(spark, d):
+    from ..operators import metrics as M
+
+    return M.binary_summary(_persistence_scored(spark, d))
+
+
+def d11_auc_rank(spark, d):
+    from ..operators import metrics as M
+
+    return M.auc_rank(_persistence_scored(spark, d))
+
+
+def d12_regression_metrics(spark, d):
+    from ..operators import forecast as FC
+    from ..operators import metrics as M
+
+    m = M.regression_metrics(FC.naive_holdout(txn_events(spark, d).txn))
+    return m.select(F.round("rmse", 6).alias("rmse"), F.round("mape", 6).alias("mape"), "n")
+
+
+def d13_class_balance(spark, d):
+    from ..operators import metrics as M
+
+    return M.class_balance_frame(_persistence_scored(spark, d), "label")
+
+
+# ------------------------------------------------------------- explanations
+
+def k1_explanation_figures(spark, d):
+    """K1 dispatch + the figures of K2-K8, heuristic mode."""
+    from ..operators import explain as K
+
+    L = txn_events(spark, d)
+    recs = J.recommendations(J.all_rules(L.txn, L.users, L.as_of))
+    return K.explanation_figures(recs, L.txn, L.users, L.as_of)
+
+
+_SQL_CHECKED += [
+    d10_confusion_matrix, d10_per_class_metrics, d10_classification_summary, d10_binary_summary, d11_auc_rank,
+    d12_regression_metrics, d13_class_balance, k1_explanation_figures,
+]

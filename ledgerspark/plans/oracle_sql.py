@@ -434,4 +434,120 @@ SELECT user_id, n_recommendations, n_high,
        WHEN n_high >= 1 THEN printf('%d recommendations generated, including %d high-priority alert(s). Review the critical items first.', n_recommendations, n_high)
        ELSE printf('%d suggestions to optimize your finances. No critical issues — focus on long-term improvements.', n_recommendations)
   END AS summary FROM summ"""
+    q.update(metrics_sql())
+    return q
+
+
+def _scored() -> str:
+    return _monthly(LI) + """,
+sc AS (SELECT is_overspend AS label,
+         CAST(CASE WHEN prev_month_spending > monthly_income * CAST(0.9 AS DOUBLE) THEN 1 ELSE 0 END AS BIGINT) AS prediction,
+         prev_month_spending / monthly_income AS score
+       FROM f WHERE prev_month_spending IS NOT NULL),
+cm AS (SELECT label, prediction, COUNT(*) AS n FROM sc GROUP BY label, prediction),
+tp AS (SELECT label AS cls, n AS tp FROM cm WHERE label = prediction),
+sup AS (SELECT label AS cls, CAST(SUM(n) AS BIGINT) AS support FROM cm GROUP BY label),
+pr AS (SELECT prediction AS cls, CAST(SUM(n) AS BIGINT) AS predicted FROM cm GROUP BY prediction),
+cl AS (SELECT cls FROM sup UNION SELECT cls FROM pr),
+jj AS (SELECT cl.cls, COALESCE(tp.tp, 0) AS tp, COALESCE(sup.support, 0) AS support, COALESCE(pr.predicted, 0) AS predicted
+       FROM cl LEFT JOIN tp USING (cls) LEFT JOIN sup USING (cls) LEFT JOIN pr USING (cls)),
+kk AS (SELECT cls, tp, support,
+         CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM jj),
+pc AS (SELECT cls, precision, recall,
+         CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+         support, tp FROM kk)"""
+
+
+def _explain_figs() -> str:
+    base = _rules_union(EV, EVENTS_AS_OF)
+    r30, r7 = _after(30, EVENTS_AS_OF), _after(7, EVENTS_AS_OF)
+    thr_case = "CASE x.category " + " ".join(f"WHEN '{c}' THEN CAST({t} AS DOUBLE)" for c, t in S.CATEGORY_THRESHOLDS) \
+        + f" ELSE CAST({S.DEFAULT_CATEGORY_THRESHOLD} AS DOUBLE) END"
+    return base + f""",
+pc2 AS (SELECT user_id, category, SUM(cents) AS c FROM txn GROUP BY user_id, category),
+mo2 AS (SELECT user_id, COUNT(DISTINCT ym) AS n_months, SUM(cents) AS all_c FROM txn GROUP BY user_id),
+cm2 AS (SELECT user_id, category, ym, SUM(cents) AS c FROM txn GROUP BY user_id, category, ym),
+l32 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, category ORDER BY ym DESC) AS k FROM cm2) WHERE k <= 3),
+tr2 AS (SELECT user_id, category,
+          CASE WHEN COUNT(*) = 3 AND CAST(MAX(CASE WHEN k = 1 THEN c END) AS DOUBLE) / 100.0
+                    > (CAST(MAX(CASE WHEN k = 3 THEN c END) AS DOUBLE) / 100.0) * CAST(1.1 AS DOUBLE)
+               THEN 'increasing' ELSE 'stable' END AS trend FROM l32 GROUP BY user_id, category),
+stats2 AS (SELECT pc2.user_id, pc2.category, (CAST(pc2.c AS DOUBLE) / 100.0) / greatest(mo2.n_months, 1) AS monthly_avg,
+             ((CAST(pc2.c AS DOUBLE) / 100.0) / greatest(mo2.n_months, 1)) / u.monthly_income AS pct_of_income, tr2.trend
+           FROM pc2 JOIN mo2 USING (user_id) JOIN users u USING (user_id) JOIN tr2 USING (user_id, category)),
+inv2 AS (SELECT DISTINCT user_id FROM stats2 WHERE category = 'Investments'),
+sall AS (SELECT mo2.user_id, (CAST(mo2.all_c AS DOUBLE) / 100.0) / greatest(mo2.n_months, 1) AS mavg, u.monthly_income AS inc
+         FROM mo2 JOIN users u USING (user_id)),
+vg AS (SELECT user_id, SUM(CASE WHEN {r30} THEN cents END) AS c30, COUNT(CASE WHEN {r30} THEN 1 END) AS n30,
+         SUM(CASE WHEN {r7} THEN cents END) AS c7, COUNT(CASE WHEN {r7} THEN 1 END) AS n7 FROM txn GROUP BY user_id),
+vh AS (SELECT user_id, n30 > 0 AND n7 > 0 AND (CAST(COALESCE(c7, 0) AS DOUBLE) / 100.0 * CAST(4.3 AS DOUBLE))
+          > (CAST(COALESCE(c30, 0) AS DOUBLE) / 100.0) * CAST(1.2 AS DOUBLE) AS accelerating FROM vg),
+x0 AS (SELECT ranked.user_id, ranked.rec_index, ranked.rule_id, ranked.category, u.monthly_income,
+         inv2.user_id IS NOT NULL AS has_investments, st.pct_of_income, st.monthly_avg, st.trend,
+         sall.inc - sall.mavg AS savings_all, (sall.inc - sall.mavg) / sall.inc AS savings_rate_all, sall.mavg AS mavg_all,
+         vh.accelerating, r.first_total, r.last_total, r.increase_pct
+       FROM ranked JOIN users u ON ranked.user_id = u.user_id
+       LEFT JOIN inv2 ON ranked.user_id = inv2.user_id
+       LEFT JOIN stats2 st ON ranked.user_id = st.user_id AND ranked.category = st.category
+       LEFT JOIN sall ON ranked.user_id = sall.user_id
+       LEFT JOIN vh ON ranked.user_id = vh.user_id
+       LEFT JOIN r ON ranked.user_id = r.user_id),
+x AS (SELECT *, CASE WHEN rule_id IN ('J2', 'J6') THEN 'risk' WHEN rule_id IN ('J1', 'J5') THEN 'category'
+                     WHEN rule_id = 'J4a' AND has_investments THEN 'category' WHEN rule_id = 'J3' THEN 'forecast'
+                     WHEN rule_id = 'J4a' THEN 'savings' ELSE 'default' END AS kind FROM x0)
+SELECT user_id, rec_index, rule_id, category, kind, monthly_income,
+  CASE WHEN kind = 'category' THEN COALESCE(pct_of_income, 0.0) END AS cat_share,
+  CASE WHEN kind = 'category' THEN {thr_case} END AS cat_threshold,
+  CASE WHEN kind = 'category' THEN COALESCE(monthly_avg, 0.0) END AS cat_monthly_avg,
+  CASE WHEN kind = 'category' THEN COALESCE(trend, 'stable') END AS cat_trend,
+  CASE WHEN kind = 'category' THEN greatest(0.0, COALESCE(monthly_avg, 0.0) - monthly_income * {thr_case}) END AS cat_reduction,
+  CASE WHEN kind = 'savings' THEN savings_all END AS savings,
+  CASE WHEN kind = 'savings' THEN savings_rate_all END AS savings_rate,
+  CASE WHEN kind = 'savings' THEN mavg_all END AS savings_monthly_avg,
+  CASE WHEN kind = 'risk' THEN COALESCE(accelerating, false) END AS accelerating,
+  CASE WHEN kind = 'risk' THEN 0.0 END AS risk_probability,
+  CASE WHEN kind = 'risk' THEN 0.0 / monthly_income END AS spend_share,
+  CASE WHEN kind = 'trend' THEN increase_pct END AS trend_change_pct,
+  CASE WHEN kind = 'trend' THEN first_total END AS trend_first,
+  CASE WHEN kind = 'trend' THEN last_total END AS trend_last,
+  CASE WHEN kind = 'forecast' THEN 0.0 END AS forecast_total,
+  CASE WHEN kind = 'forecast' THEN CAST(30 AS BIGINT) END AS forecast_days,
+  CASE WHEN kind = 'forecast' THEN 'unknown' END AS forecast_model,
+  CASE WHEN kind = 'forecast' THEN CAST(NULL AS DOUBLE) END AS forecast_rmse
+FROM x"""
+
+
+def metrics_sql() -> dict[str, str]:
+    q = {}
+    q["d10_confusion_matrix"] = _scored() + "\nSELECT label, prediction, n FROM cm"
+    q["d10_per_class_metrics"] = _scored() + "\nSELECT cls, precision, recall, f1, support FROM pc"
+    q["d10_classification_summary"] = _scored() + "\nSELECT SUM(tp) / SUM(support) AS accuracy, AVG(f1) AS f1_macro FROM pc"
+    q["d10_binary_summary"] = _scored() + """,
+b AS (SELECT COUNT(*) AS n, COUNT(CASE WHEN label = 1 AND prediction = 1 THEN 1 END) AS tp,
+        COUNT(CASE WHEN label = 0 AND prediction = 1 THEN 1 END) AS fp,
+        COUNT(CASE WHEN label = 1 AND prediction = 0 THEN 1 END) AS fn,
+        COUNT(CASE WHEN label = prediction THEN 1 END) AS correct FROM sc),
+b2 AS (SELECT *, correct / n AS accuracy,
+         CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+         CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM b)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM b2"""
+    q["d11_auc_rank"] = _scored() + """,
+per AS (SELECT score AS s, COUNT(*) AS cnt, COUNT(CASE WHEN label = 1 THEN 1 END) AS pos FROM sc GROUP BY score),
+rk AS (SELECT *, COALESCE(SUM(cnt) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per),
+g2 AS (SELECT SUM(pos * (2 * before + cnt + 1)) AS rs2, SUM(pos) AS p, SUM(cnt) AS n_all FROM rk)
+SELECT CASE WHEN p > 0 AND n_all - p > 0
+            THEN CAST(rs2 - p * (p + 1) AS DOUBLE) / CAST(2 * p * (n_all - p) AS DOUBLE) ELSE 0.5 END AS auc FROM g2"""
+    q["d12_regression_metrics"] = f"""WITH {EV},
+d AS (SELECT user_id, date AS ds, {_money()} AS y FROM txn GROUP BY user_id, date),
+p AS (SELECT *, lag(y, 1) OVER (PARTITION BY user_id ORDER BY ds) AS prediction FROM d),
+q AS (SELECT * FROM p WHERE prediction IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ds)
+          <= greatest(COUNT(*) OVER (PARTITION BY user_id) - 30, CAST(floor(COUNT(*) OVER (PARTITION BY user_id) * 0.8) AS BIGINT)) AS is_train
+      FROM q)
+SELECT round(sqrt(avg((prediction - y) * (prediction - y))), 6) AS rmse,
+  round(avg(abs(prediction - y) / greatest(abs(y), 2.220446049250313e-16)) * 100, 6) AS mape, COUNT(*) AS n
+FROM s WHERE NOT is_train"""
+    q["d13_class_balance"] = _scored() + "\nSELECT label, COUNT(*) AS n FROM sc GROUP BY label"
+    q["k1_explanation_figures"] = _explain_figs()
     return q

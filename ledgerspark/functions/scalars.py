@@ -41,7 +41,7 @@ def from_cents(c) -> Column:
 
 def parse_date(c) -> Column:
     """H1: ``yyyy-MM-dd`` text to date, NULL when it does not parse."""
-    return F.try_to_date(F.trim(col(c)), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.trim(col(c)), "yyyy-MM-dd")
 
 
 def parse_amount(c) -> Column:

@@ -61,7 +61,11 @@ def apply_merchant_index(model: StringIndexerModel, df: DataFrame, col: str = "m
                 F.col("merchant_encoded")
             ),
         )
-    return out.drop("merchant_clean")
+    # the id is a number to the models (as in the reference), not a nominal
+    # feature: drop the indexer's attribute metadata
+    return out.drop("merchant_clean").withColumn(
+        "merchant_encoded", F.col("merchant_encoded").alias("merchant_encoded", metadata={})
+    )
 
 
 # --------------------------------------------------------------- I5 --------

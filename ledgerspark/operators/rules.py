@@ -286,6 +286,7 @@ def heuristic_inputs(users: DataFrame, forecast_days: int = S.FORECAST_DEFAULT_D
         "user_id",
         F.lit(0.0).alias("overspend_probability"),
         F.lit("unknown").alias("risk_level"),
+        F.lit(0.0).alias("current_spending"),
         F.lit(0.0).alias("projected_spending"),
         "monthly_income",
     )

@@ -409,3 +409,50 @@ _SQL_CHECKED += [
     d10_confusion_matrix, d10_per_class_metrics, d10_classification_summary, d10_binary_summary, d11_auc_rank,
     d12_regression_metrics, d13_class_balance, k1_explanation_figures,
 ]
+
+
+# ------------------------------------------------------------ maintenance
+
+def a2_validate_transactions(spark, d):
+    from ..sources.adapters import LINEITEM_AS_OF, raw_upload_lineitem
+    from ..sources.store import validate_transactions
+
+    v = validate_transactions(raw_upload_lineitem(spark, d), LINEITEM_AS_OF)
+    return v.select(
+        "batch_id", F.col("user_id").cast("long").alias("user_id"), F.col("parsed_date").alias("date"),
+        F.col("parsed_amount").alias("amount"), "category", "valid", F.array_join("errors", ",").alias("errors"),
+    )
+
+
+def a3_bulk_ingest(spark, d):
+    from ..sources.adapters import LINEITEM_AS_OF, raw_upload_lineitem
+    from ..sources.store import accept_batches
+
+    accepted, _ = accept_batches(raw_upload_lineitem(spark, d), LINEITEM_AS_OF)
+    return accepted.select("batch_id", "user_id", "date", "amount", "category", "merchant")
+
+
+def a3_rejected_batches(spark, d):
+    from ..sources.adapters import LINEITEM_AS_OF, raw_upload_lineitem
+    from ..sources.store import accept_batches
+
+    _, rejected = accept_batches(raw_upload_lineitem(spark, d), LINEITEM_AS_OF)
+    return rejected.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("reason") == "invalid_row", 1)).alias("invalid_rows")
+    )
+
+
+def a7_purge_users(spark, d):
+    """Users of the BUILDING segment close their accounts; their
+    transactions go with them."""
+    from ..sources.store import purge_users
+
+    L = txn_lineitem(spark, d)
+    removed = spark.read.parquet(f"{d.rstrip('/')}/customer.parquet").filter(
+        F.col("c_mktsegment") == "BUILDING"
+    ).select(F.col("c_custkey").alias("user_id"))
+    _, txn = purge_users(L.users, L.txn, removed)
+    return txn.select("user_id", "date", "amount", "category")
+
+
+_SQL_CHECKED += [a2_validate_transactions, a3_bulk_ingest, a3_rejected_batches, a7_purge_users]

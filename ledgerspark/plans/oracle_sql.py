@@ -435,6 +435,7 @@ SELECT user_id, n_recommendations, n_high,
        ELSE printf('%d suggestions to optimize your finances. No critical issues — focus on long-term improvements.', n_recommendations)
   END AS summary FROM summ"""
     q.update(metrics_sql())
+    q.update(store_sql())
     return q
 
 
@@ -551,3 +552,37 @@ FROM s WHERE NOT is_train"""
     q["d13_class_balance"] = _scored() + "\nSELECT label, COUNT(*) AS n FROM sc GROUP BY label"
     q["k1_explanation_figures"] = _explain_figs()
     return q
+
+
+def _raw_li() -> str:
+    valid_cats = ", ".join(f"'{c}'" for c in S.CATEGORIES)
+    return f"""raw AS (
+  SELECT CAST(l.l_orderkey AS VARCHAR) AS batch_id, o.o_custkey AS user_id, CAST(l.l_shipdate AS DATE) AS date,
+         l.l_extendedprice AS amount, list_extract({_CATS}, CAST(l.l_partkey % 16 AS INTEGER) + 1) AS category,
+         s.s_name AS merchant
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey),
+v AS (
+  SELECT *, concat_ws(',',
+           CASE WHEN date > DATE '{LINEITEM_AS_OF}' THEN 'future_date' END,
+           CASE WHEN amount IS NULL OR amount <= 0 THEN 'amount' END,
+           CASE WHEN category IS NULL OR category NOT IN ({valid_cats}) THEN 'category' END,
+           CASE WHEN length(merchant) > 255 THEN 'merchant_length' END) AS errors
+  FROM raw),
+vv AS (SELECT *, errors = '' AS valid FROM v),
+b AS (SELECT batch_id, COUNT(*) AS n, bool_and(valid) AS ok FROM vv GROUP BY batch_id)"""
+
+
+def store_sql() -> dict[str, str]:
+    q = {}
+    q["a2_validate_transactions"] = "WITH " + _raw_li() + "\nSELECT batch_id, user_id, date, amount, category, valid, errors FROM vv"
+    q["a3_bulk_ingest"] = "WITH " + _raw_li() + """
+SELECT vv.batch_id, user_id, date, amount, category, merchant FROM vv JOIN b USING (batch_id)
+WHERE b.ok AND b.n BETWEEN 1 AND 1000"""
+    q["a3_rejected_batches"] = "WITH " + _raw_li() + """
+SELECT vv.batch_id, COUNT(*) AS rows, COUNT(CASE WHEN NOT vv.valid THEN 1 END) AS invalid_rows
+FROM vv JOIN b USING (batch_id) WHERE NOT (b.ok AND b.n BETWEEN 1 AND 1000) GROUP BY vv.batch_id"""
+    q["a7_purge_users"] = f"""WITH {LI}
+SELECT t.user_id, t.date, t.amount, t.category FROM txn t
+WHERE t.user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"""
+    return q

@@ -113,3 +113,26 @@ def txn_events(spark: SparkSession, sf_dir: str) -> Ledger:
 
 
 ADAPTERS = {"lineitem": txn_lineitem, "events": txn_events}
+
+
+def raw_upload_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw upload (all strings) built from the whole lineitem table, one
+    upload batch per order, *without* the ``as_of`` cut: lines shipped
+    after ``as_of`` are future-dated uploads and make their batch fail."""
+    li = _read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"
+    )
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    j = li.join(orders, li.l_orderkey == orders.o_orderkey).join(
+        supplier, li.l_suppkey == supplier.s_suppkey, "left"
+    )
+    return j.select(
+        F.col("l_orderkey").cast("string").alias("batch_id"),
+        F.col("o_custkey").cast("string").alias("user_id"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"),
+        F.col("l_extendedprice").cast("string").alias("amount"),
+        category_by_index(F.col("l_partkey") % 16).alias("category"),
+        F.col("s_name").alias("merchant"),
+        F.lit(None).cast("string").alias("description"),
+    )

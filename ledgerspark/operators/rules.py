@@ -59,19 +59,20 @@ def thresholds_frame(spark: SparkSession) -> DataFrame:
 
 def chosen_month_spend(txn: DataFrame, as_of: dt.date) -> DataFrame:
     """B3 on the aggregate: per user and category, spend of ``as_of``'s month,
-    or of the user's latest month with data when that month is empty."""
+    or of the user's latest month with data when that month is empty. The
+    choice is a window over the (user, month, category) aggregate, which is
+    bounded per user by months x 16 rows, so the fact table is read once."""
     ym = month_start("date")
     per = txn.groupBy("user_id", ym.alias("year_month"), "category").agg(
         F.sum(cents("amount")).alias("cents")
     )
     as_of_ym = F.trunc(F.lit(as_of), "MM")
-    chosen = per.groupBy("user_id").agg(
-        F.coalesce(
-            F.max(F.when(F.col("year_month") == as_of_ym, F.col("year_month"))),
-            F.max("year_month"),
-        ).alias("chosen_month")
+    w = Window.partitionBy("user_id")
+    chosen = F.coalesce(
+        F.max(F.when(F.col("year_month") == as_of_ym, F.col("year_month"))).over(w),
+        F.max("year_month").over(w),
     )
-    return per.join(chosen, "user_id").filter(F.col("year_month") == F.col("chosen_month"))
+    return per.withColumn("chosen_month", chosen).filter(F.col("year_month") == F.col("chosen_month"))
 
 
 def rule_category_overspend(txn: DataFrame, users: DataFrame, as_of: dt.date) -> DataFrame:

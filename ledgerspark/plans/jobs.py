@@ -37,7 +37,7 @@ def train_all(
     users: DataFrame,
     num_trees: int = 20,
     risk_iters: int = 20,
-    folds: int = 0,
+    folds: int = 5,
     forecast_model: str = "ridge",
 ) -> Models:
     """I16: features -> three fits -> merged metrics (G3, later keys win)."""

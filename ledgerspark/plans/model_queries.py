@@ -108,19 +108,19 @@ def k2_k8_explanations_intent(spark, d):
 
 def i16_train_all(spark, d):
     L = txn_events(spark, d)
-    m = jobs.train_all(L.txn, L.users, num_trees=5, risk_iters=5)
+    m = jobs.train_all(L.txn, L.users, num_trees=5, risk_iters=5, folds=2)
     return jobs.model_metrics_view(spark, m.metrics)
 
 
 def k10_explain_report(spark, d):
     L = txn_events(spark, d)
-    m = jobs.train_all(L.txn, L.users, num_trees=5, risk_iters=5)
+    m = jobs.train_all(L.txn, L.users, num_trees=5, risk_iters=5, folds=2)
     return jobs.explain_report(L.txn, L.users, L.as_of, m)
 
 
 def i19_prediction_report(spark, d):
     L = txn_events(spark, d)
-    m = jobs.train_all(L.txn, L.users, num_trees=5, risk_iters=5)
+    m = jobs.train_all(L.txn, L.users, num_trees=5, risk_iters=5, folds=2)
     return jobs.prediction_report(L.txn, L.users, m)
 
 

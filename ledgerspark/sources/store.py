@@ -91,7 +91,7 @@ def with_ids(accepted: DataFrame) -> DataFrame:
     protocol, so ids within the committed table stay unique."""
     rid = F.xxhash64(F.col("batch_id"), F.spark_partition_id(), F.monotonically_increasing_id())
     return accepted.select(
-        (rid & F.lit(0x7FFFFFFFFFFFFFFF)).alias("id"),
+        rid.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("id"),
         "user_id",
         "date",
         "amount",

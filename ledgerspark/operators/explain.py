@@ -69,16 +69,19 @@ def explanation_figures(
     risk: DataFrame | None = None,
     forecast: DataFrame | None = None,
     mode: str = "reference",
+    rollup: DataFrame | None = None,
 ) -> DataFrame:
-    """Per recommendation: kind and the figures its explanation states."""
-    stats = FE.category_stats(txn, users)
+    """Per recommendation: kind and the figures its explanation states.
+    Every figure derives from the daily rollup (pass the job's shared one)."""
+    r = rollup if rollup is not None else FE.daily_rollup(txn)
+    stats = FE.category_stats(r, users)
     inv = stats.filter(F.col("category") == "Investments").select("user_id", F.lit(True).alias("_inv"))
-    sav = FE.savings_position(txn, users, None).select(
+    sav = FE.savings_position(r, users, None).select(
         "user_id", F.col("savings").alias("savings_all"), F.col("savings_rate").alias("savings_rate_all"),
         F.col("monthly_avg").alias("monthly_avg_all"),
     )
-    vel = FE.spending_velocity(txn, as_of).select("user_id", "accelerating")
-    rise = FE.three_month_rise(txn).select("user_id", "first_total", "last_total", "increase_pct")
+    vel = FE.spending_velocity(r, as_of).select("user_id", "accelerating")
+    rise = FE.three_month_rise(r).select("user_id", "first_total", "last_total", "increase_pct")
     j = (
         recs.join(users.select("user_id", "monthly_income"), "user_id")
         .join(inv, "user_id", "left")

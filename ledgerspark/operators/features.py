@@ -30,6 +30,26 @@ def _w_user_month():
     return Window.partitionBy("user_id").orderBy("year_month")
 
 
+def daily_rollup(txn: DataFrame) -> DataFrame:
+    """The shared parent of the calendar features: one row per (user, date,
+    category) with exact cents, the row count and the day's smallest row
+    id. One scan and one partially-aggregated shuffle; every feature below
+    that needs only sums, counts, dates or first appearances derives from
+    it, and identical rollup subtrees in one plan become one reused
+    exchange, so a full rules + explanations job reads the fact table once
+    for all of them."""
+    return txn.groupBy("user_id", "date", "category").agg(
+        F.sum(cents("amount")).alias("cents"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("id").alias("min_id"),
+    )
+
+
+def as_rollup(df: DataFrame) -> DataFrame:
+    """``df`` if it already is a daily rollup, else its rollup."""
+    return df if {"cents", "n_rows", "min_id"} <= set(df.columns) else daily_rollup(df)
+
+
 # ----------------------------------------------------------- monthly -------
 
 def monthly_aggregates(txn: DataFrame, with_ratios: bool = True) -> DataFrame:
@@ -159,8 +179,9 @@ def latest_row(df: DataFrame, order_col: str = "year_month") -> DataFrame:
 # ------------------------------------------------------ monthly rollups ----
 
 def month_totals(txn: DataFrame) -> DataFrame:
-    return txn.groupBy("user_id", month_start("date").alias("year_month")).agg(
-        F.sum(cents("amount")).alias("total_cents")
+    """Exact month totals per user (from the daily rollup)."""
+    return as_rollup(txn).groupBy("user_id", month_start("date").alias("year_month")).agg(
+        F.sum("cents").alias("total_cents")
     )
 
 
@@ -193,8 +214,8 @@ def three_month_rise(txn: DataFrame) -> DataFrame:
 def category_trend(txn: DataFrame) -> DataFrame:
     """Per user and category, ``increasing`` when the last of the last
     three present months exceeds 1.1 x the first (needs >= 3 months)."""
-    m = txn.groupBy("user_id", "category", month_start("date").alias("year_month")).agg(
-        F.sum(cents("amount")).alias("cents")
+    m = as_rollup(txn).groupBy("user_id", "category", month_start("date").alias("year_month")).agg(
+        F.sum("cents").alias("cents")
     )
     w = Window.partitionBy("user_id", "category").orderBy(F.col("year_month").desc())
     last3 = m.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= 3)
@@ -214,13 +235,14 @@ def category_trend(txn: DataFrame) -> DataFrame:
 def category_stats(txn: DataFrame, users: DataFrame) -> DataFrame:
     """Per user and category: total, total / all distinct months of the
     user, share of income, trend (E9)."""
-    per_cat = txn.groupBy("user_id", "category").agg(F.sum(cents("amount")).alias("cents"))
-    months = txn.groupBy("user_id").agg(F.countDistinct(month_start("date")).alias("n_months"))
+    r = as_rollup(txn)
+    per_cat = r.groupBy("user_id", "category").agg(F.sum("cents").alias("cents"))
+    months = r.groupBy("user_id").agg(F.countDistinct(month_start("date")).alias("n_months"))
     monthly_avg = (F.col("cents") / F.lit(100.0)) / F.greatest(F.col("n_months"), F.lit(1))
     return (
         per_cat.join(months, "user_id")
         .join(users.select("user_id", "monthly_income"), "user_id")
-        .join(category_trend(txn), ["user_id", "category"])
+        .join(category_trend(r), ["user_id", "category"])
         .select(
             "user_id",
             "category",
@@ -241,11 +263,11 @@ def savings_position(txn: DataFrame, users: DataFrame, as_of: dt.date | None, da
         recent = F.lit(True)
     else:
         recent = after_days_before("date", as_of, days)
-    g = txn.groupBy("user_id").agg(
-        F.sum(F.when(recent, cents("amount"))).alias("recent_cents"),
-        F.count(F.when(recent, 1)).alias("recent_rows"),
+    g = as_rollup(txn).groupBy("user_id").agg(
+        F.sum(F.when(recent, F.col("cents"))).alias("recent_cents"),
+        F.coalesce(F.sum(F.when(recent, F.col("n_rows"))), F.lit(0)).alias("recent_rows"),
         F.countDistinct(F.when(recent, ym)).alias("recent_months"),
-        F.sum(cents("amount")).alias("all_cents"),
+        F.sum("cents").alias("all_cents"),
         F.countDistinct(ym).alias("all_months"),
     )
     use_recent = F.col("recent_rows") > 0
@@ -270,11 +292,11 @@ def spending_velocity(txn: DataFrame, as_of: dt.date) -> DataFrame:
     latter exceeds 1.2 x the former and both windows have rows."""
     r30 = after_days_before("date", as_of, 30)
     r7 = after_days_before("date", as_of, 7)
-    g = txn.groupBy("user_id").agg(
-        F.sum(F.when(r30, cents("amount"))).alias("c30"),
-        F.count(F.when(r30, 1)).alias("rows_30d"),
-        F.sum(F.when(r7, cents("amount"))).alias("c7"),
-        F.count(F.when(r7, 1)).alias("rows_7d"),
+    g = as_rollup(txn).groupBy("user_id").agg(
+        F.sum(F.when(r30, F.col("cents"))).alias("c30"),
+        F.coalesce(F.sum(F.when(r30, F.col("n_rows"))), F.lit(0)).alias("rows_30d"),
+        F.sum(F.when(r7, F.col("cents"))).alias("c7"),
+        F.coalesce(F.sum(F.when(r7, F.col("n_rows"))), F.lit(0)).alias("rows_7d"),
     )
     monthly_rate = F.coalesce(F.col("c30"), F.lit(0)) / F.lit(100.0)
     weekly_rate = F.coalesce(F.col("c7"), F.lit(0)) / F.lit(100.0) * F.lit(4.3)
@@ -309,8 +331,8 @@ def group_stats_on_rows(txn: DataFrame) -> DataFrame:
 
 def first_appearance(txn: DataFrame) -> DataFrame:
     """Per user, the order in which categories first appear (date, id)."""
-    firsts = txn.groupBy("user_id", "category").agg(
-        F.min(F.struct("date", "id")).alias("first_seen")
+    firsts = as_rollup(txn).groupBy("user_id", "category").agg(
+        F.min(F.struct("date", F.col("min_id").alias("id"))).alias("first_seen")
     )
     w = Window.partitionBy("user_id").orderBy("first_seen")
     return firsts.withColumn("appearance", F.row_number().over(w)).select(

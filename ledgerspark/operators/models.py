@@ -348,7 +348,11 @@ def importance_frame(spark: SparkSession, pairs: list, prefix: str = "") -> Data
 
 def global_importances(spark: SparkSession, classifier_pairs: list, risk_pairs: list, k: int = 20) -> DataFrame:
     """both models' importances, prefixed, largest first, first k."""
+    from ..functions.scalars import feature_label, strip_model_prefix
+
     both = importance_frame(spark, classifier_pairs, "classifier_").unionByName(
         importance_frame(spark, risk_pairs, "risk_")
     )
-    return both.orderBy(F.col("importance").desc(), "feature").limit(k)
+    top = both.orderBy(F.col("importance").desc(), "feature").limit(k)
+    # H26 + H13: the label the dashboard shows (prefix stripped, title case)
+    return top.withColumn("label", feature_label(strip_model_prefix("feature")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import cents, month_start, priority_rank, whole_number, whole_percent
-from .features import group_stats_on_rows, first_appearance, savings_position, three_month_rise
+from .features import as_rollup, first_appearance, group_stats_on_rows, savings_position, three_month_rise
 
 RULE_COLUMNS = [
     "user_id",
@@ -63,8 +63,8 @@ def chosen_month_spend(txn: DataFrame, as_of: dt.date) -> DataFrame:
     choice is a window over the (user, month, category) aggregate, which is
     bounded per user by months x 16 rows, so the fact table is read once."""
     ym = month_start("date")
-    per = txn.groupBy("user_id", ym.alias("year_month"), "category").agg(
-        F.sum(cents("amount")).alias("cents")
+    per = as_rollup(txn).groupBy("user_id", ym.alias("year_month"), "category").agg(
+        F.sum("cents").alias("cents")
     )
     as_of_ym = F.trunc(F.lit(as_of), "MM")
     w = Window.partitionBy("user_id")
@@ -246,11 +246,11 @@ def anomalies(txn: DataFrame) -> DataFrame:
     return hits.select("user_id", "id", "date", "category", "amount", "cat_mean", "cat_std", "cat_count")
 
 
-def rule_anomaly(txn: DataFrame, limit: int = S.MAX_ANOMALIES) -> DataFrame:
+def rule_anomaly(txn: DataFrame, limit: int = S.MAX_ANOMALIES, rollup: DataFrame | None = None) -> DataFrame:
     """J5 + F3: the first ``limit`` anomalies per user in category-appearance
     order, then row order (not the largest ones)."""
-    hits = anomalies(txn).join(first_appearance(txn).select("user_id", "category", "appearance"),
-                               ["user_id", "category"])
+    firsts = first_appearance(rollup if rollup is not None else txn)
+    hits = anomalies(txn).join(firsts.select("user_id", "category", "appearance"), ["user_id", "category"])
     w = Window.partitionBy("user_id").orderBy("appearance", "date", "id")
     top = hits.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < limit)
     msg = F.format_string(
@@ -306,19 +306,25 @@ def all_rules(
     as_of: dt.date,
     risk: DataFrame | None = None,
     forecast: DataFrame | None = None,
+    rollup: DataFrame | None = None,
 ) -> DataFrame:
-    """G1: the six rules in fixed order."""
+    """G1: the six rules in fixed order.
+
+    ``rollup`` is the shared daily rollup (``features.daily_rollup``); a job
+    passes one materialized rollup to every rule so the fact table is read
+    once for J1, J4 and J6 (J5 needs the raw rows)."""
     if risk is None or forecast is None:
         h_risk, h_fc = heuristic_inputs(users)
         risk = risk if risk is not None else h_risk
         forecast = forecast if forecast is not None else h_fc
+    r = rollup if rollup is not None else txn
     parts = [
-        rule_category_overspend(txn, users, as_of),
+        rule_category_overspend(r, users, as_of),
         rule_risk(risk),
         rule_forecast(forecast),
-        rule_savings(savings_position(txn, users, as_of)),
-        rule_anomaly(txn),
-        rule_rising_trend(txn),
+        rule_savings(savings_position(r, users, as_of)),
+        rule_anomaly(txn, rollup=rollup),
+        rule_rising_trend(r),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -294,15 +294,18 @@ def j6_rising_trend(spark, d):
 
 
 def j7_recommendations(spark, d):
+    from . import jobs
+
     L = txn_events(spark, d)
-    recs = J.recommendations(J.all_rules(L.txn, L.users, L.as_of))
+    recs = jobs.recommendation_job(L.txn, L.users, L.as_of)
     return recs.select("user_id", "rec_index", "rule_id", "type", "priority", "confidence", "category", "amount")
 
 
 def j8_recommendation_summary(spark, d):
+    from . import jobs
+
     L = txn_events(spark, d)
-    recs = J.recommendations(J.all_rules(L.txn, L.users, L.as_of))
-    return J.recommendation_summary(recs, L.users)
+    return J.recommendation_summary(jobs.recommendation_job(L.txn, L.users, L.as_of), L.users)
 
 
 _SQL_CHECKED = [
@@ -398,11 +401,10 @@ def d13_class_balance(spark, d):
 
 def k1_explanation_figures(spark, d):
     """K1 dispatch + the figures of K2-K8, heuristic mode."""
-    from ..operators import explain as K
+    from . import jobs
 
     L = txn_events(spark, d)
-    recs = J.recommendations(J.all_rules(L.txn, L.users, L.as_of))
-    return K.explanation_figures(recs, L.txn, L.users, L.as_of)
+    return jobs.explanation_figures_job(L.txn, L.users, L.as_of)
 
 
 _SQL_CHECKED += [
@@ -456,3 +458,34 @@ def a7_purge_users(spark, d):
 
 
 _SQL_CHECKED += [a2_validate_transactions, a3_bulk_ingest, a3_rejected_batches, a7_purge_users]
+
+
+# ------------------------------------------------------------ more ops
+
+def b9_fill_feature_nulls(spark, d):
+    """The risk frame with NULL features set to 0 (a one-row month has
+    no sample std; the first month has no change)."""
+    L = txn_lineitem(spark, d)
+    m = FE.monthly_windows(FE.income_features(FE.monthly_aggregates(L.txn, with_ratios=False), L.users))
+    f = B.fill_feature_nulls(m, ["std_transaction", "spending_change", "prev_month_spending"])
+    return f.select("user_id", "year_month", F.round("std_transaction", 4).alias("std_transaction"),
+                    "spending_change", "prev_month_spending")
+
+
+def c1_monthly_join_ratios(spark, d):
+    """Monthly aggregates left-joined to the category ratios."""
+    t = txn_lineitem(spark, d).txn
+    j = FE.monthly_join_ratios(FE.monthly_aggregates(t, with_ratios=False), FE.category_ratios(t))
+    return j.select("user_id", "year_month", "total_spending", "transaction_count", *S.RATIO_COLUMNS)
+
+
+def f7_top_three_recs(spark, d):
+    """the dashboard's first three recommendations per user."""
+    from . import jobs
+
+    L = txn_events(spark, d)
+    recs = jobs.recommendation_job(L.txn, L.users, L.as_of)
+    return recs.filter(F.col("rec_index") < 3).select("user_id", "rec_index", "rule_id", "priority", "category")
+
+
+_SQL_CHECKED += [b9_fill_feature_nulls, c1_monthly_join_ratios, f7_top_three_recs]

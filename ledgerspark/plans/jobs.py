@@ -21,6 +21,8 @@ from ..operators import explain as K
 from ..operators import forecast as FC
 from ..operators import models as M
 from ..operators import rules as J
+from ..operators import features as FE
+from ..session import reliable_checkpoint
 from ..sources.files import merge_metrics
 
 
@@ -92,18 +94,34 @@ def model_outputs(txn: DataFrame, users: DataFrame, models: Models | None, days:
     return risk, fc, pts
 
 
-def recommendation_job(txn: DataFrame, users: DataFrame, as_of: dt.date, models: Models | None = None) -> DataFrame:
+def shared_rollup(txn: DataFrame) -> DataFrame:
+    """The job's one daily rollup, written to the shared checkpoint folder:
+    every rule and explanation reads it, the fact table is scanned once for
+    them, and a lost executor recomputes from the checkpoint, not the scan."""
+    return reliable_checkpoint(FE.daily_rollup(txn))
+
+
+def recommendation_job(txn: DataFrame, users: DataFrame, as_of: dt.date, models: Models | None = None,
+                       rollup: DataFrame | None = None) -> DataFrame:
     """J7 with model inputs when given (heuristic mode otherwise)."""
     risk, fc, _ = model_outputs(txn, users, models)
-    return J.recommendations(J.all_rules(txn, users, as_of, risk, fc))
+    r = rollup if rollup is not None else shared_rollup(txn)
+    return J.recommendations(J.all_rules(txn, users, as_of, risk, fc, rollup=r))
+
+
+def explanation_figures_job(txn: DataFrame, users: DataFrame, as_of: dt.date, models: Models | None = None,
+                            mode: str = "reference") -> DataFrame:
+    """K1 + the figures of K2-K8 for every recommendation of J7."""
+    risk, fc, _ = model_outputs(txn, users, models)
+    r = shared_rollup(txn)
+    recs = J.recommendations(J.all_rules(txn, users, as_of, risk, fc, rollup=r))
+    return K.explanation_figures(recs, txn, users, as_of, risk, fc, mode, rollup=r)
 
 
 def explanation_job(txn: DataFrame, users: DataFrame, as_of: dt.date, models: Models | None = None,
                     mode: str = "reference") -> DataFrame:
     """K1-K9 per recommendation, with the model inputs of J7."""
-    risk, fc, _ = model_outputs(txn, users, models)
-    recs = J.recommendations(J.all_rules(txn, users, as_of, risk, fc))
-    figs = K.explanation_figures(recs, txn, users, as_of, risk, fc, mode)
+    figs = explanation_figures_job(txn, users, as_of, models, mode)
     return K.explain(figs, models.risk.importances if models and models.risk else None)
 
 

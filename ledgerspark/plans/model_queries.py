@@ -124,6 +124,15 @@ def i19_prediction_report(spark, d):
     return jobs.prediction_report(L.txn, L.users, m)
 
 
+def c7_rec_with_explanation(spark, d):
+    """Recommendation n paired with explanation n."""
+    from ..operators import explain as K
+
+    L = txn_events(spark, d)
+    recs = jobs.recommendation_job(L.txn, L.users, L.as_of)
+    return K.pair_with_recommendations(recs, jobs.explanation_job(L.txn, L.users, L.as_of))
+
+
 def d1_summary_records(spark, d):
     from ..operators import summary as D
 
@@ -149,7 +158,7 @@ def model_queries() -> dict:
         i6_f8_risk_importances, f4_global_importances, i11_i13_ridge_forecast, i14_insufficient_history,
         i12_seasonal_forecast, j2_j3_model_rules, j7_recommendations_models, j7_recommendation_records,
         k2_k8_explanations, k2_k8_explanations_intent, i16_train_all, k10_explain_report, i19_prediction_report,
-        d1_summary_records, a1_a9_csv_roundtrip,
+        d1_summary_records, a1_a9_csv_roundtrip, c7_rec_with_explanation,
     ]
     return {f.__name__: f for f in fns}
 

@@ -436,6 +436,7 @@ SELECT user_id, n_recommendations, n_high,
   END AS summary FROM summ"""
     q.update(metrics_sql())
     q.update(store_sql())
+    q.update(more_sql())
     return q
 
 
@@ -586,3 +587,15 @@ FROM vv JOIN b USING (batch_id) WHERE NOT (b.ok AND b.n BETWEEN 1 AND 1000) GROU
 SELECT t.user_id, t.date, t.amount, t.category FROM txn t
 WHERE t.user_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"""
     return q
+
+
+def more_sql() -> dict[str, str]:
+    q = {}
+    q["b9_fill_feature_nulls"] = _monthly(LI) + """
+SELECT user_id, year_month, round(COALESCE(std_transaction, 0), 4) AS std_transaction,
+  COALESCE(spending_change, 0) AS spending_change, COALESCE(prev_month_spending, 0) AS prev_month_spending FROM f"""
+    q["c1_monthly_join_ratios"] = _monthly(LI) + "\nSELECT user_id, year_month, total_spending, transaction_count, " + \
+        ", ".join(S.RATIO_COLUMNS) + " FROM m"
+    q["f7_top_three_recs"] = _rules_union(EV, EVENTS_AS_OF) + """
+SELECT user_id, rec_index, rule_id, priority, category FROM ranked WHERE rec_index < 3"""
+    return q

@@ -437,6 +437,7 @@ SELECT user_id, n_recommendations, n_high,
     q.update(metrics_sql())
     q.update(store_sql())
     q.update(more_sql())
+    q.update(model_branch_sql())
     return q
 
 
@@ -599,3 +600,16 @@ SELECT user_id, year_month, round(COALESCE(std_transaction, 0), 4) AS std_transa
     q["f7_top_three_recs"] = _rules_union(EV, EVENTS_AS_OF) + """
 SELECT user_id, rec_index, rule_id, priority, category FROM ranked WHERE rec_index < 3"""
     return q
+
+
+def model_branch_sql() -> dict[str, str]:
+    q = {}
+    q["i14_insufficient_history"] = f"""WITH {LI},
+d AS (SELECT user_id, COUNT(DISTINCT date) AS n_days FROM txn GROUP BY user_id)
+SELECT user_id, 'Insufficient Data' AS model_used, 0.0 AS total_predicted, CAST(30 AS BIGINT) AS forecast_days,
+  0.0 AS rmse, 0.0 AS mape
+FROM d WHERE n_days < 8"""
+    q["a1_a9_csv_roundtrip"] = f"""WITH {EV}
+SELECT 'upload' AS batch_id, CAST(NULL AS VARCHAR) AS user_id, date, amount, category,
+  NULLIF(merchant, '') AS merchant, CAST(NULL AS VARCHAR) AS description FROM txn"""
+    return q

@@ -509,12 +509,12 @@ SELECT user_id, rec_index, rule_id, category, kind, monthly_income,
   CASE WHEN kind = 'savings' THEN savings_rate_all END AS savings_rate,
   CASE WHEN kind = 'savings' THEN mavg_all END AS savings_monthly_avg,
   CASE WHEN kind = 'risk' THEN COALESCE(accelerating, false) END AS accelerating,
-  CASE WHEN kind = 'risk' THEN 0.0 END AS risk_probability,
+  CASE WHEN kind = 'risk' THEN CAST(0.0 AS DOUBLE) END AS risk_probability,
   CASE WHEN kind = 'risk' THEN 0.0 / monthly_income END AS spend_share,
   CASE WHEN kind = 'trend' THEN increase_pct END AS trend_change_pct,
   CASE WHEN kind = 'trend' THEN first_total END AS trend_first,
   CASE WHEN kind = 'trend' THEN last_total END AS trend_last,
-  CASE WHEN kind = 'forecast' THEN 0.0 END AS forecast_total,
+  CASE WHEN kind = 'forecast' THEN CAST(0.0 AS DOUBLE) END AS forecast_total,
   CASE WHEN kind = 'forecast' THEN CAST(30 AS BIGINT) END AS forecast_days,
   CASE WHEN kind = 'forecast' THEN 'unknown' END AS forecast_model,
   CASE WHEN kind = 'forecast' THEN CAST(NULL AS DOUBLE) END AS forecast_rmse
@@ -606,8 +606,8 @@ def model_branch_sql() -> dict[str, str]:
     q = {}
     q["i14_insufficient_history"] = f"""WITH {LI},
 d AS (SELECT user_id, COUNT(DISTINCT date) AS n_days FROM txn GROUP BY user_id)
-SELECT user_id, 'Insufficient Data' AS model_used, 0.0 AS total_predicted, CAST(30 AS BIGINT) AS forecast_days,
-  0.0 AS rmse, 0.0 AS mape
+SELECT user_id, 'Insufficient Data' AS model_used, CAST(0.0 AS DOUBLE) AS total_predicted,
+  CAST(30 AS BIGINT) AS forecast_days, CAST(0.0 AS DOUBLE) AS rmse, CAST(0.0 AS DOUBLE) AS mape
 FROM d WHERE n_days < 8"""
     q["a1_a9_csv_roundtrip"] = f"""WITH {EV}
 SELECT 'upload' AS batch_id, CAST(NULL AS VARCHAR) AS user_id, date, amount, category,

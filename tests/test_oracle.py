@@ -35,6 +35,8 @@ def duck(sf_small):
 
 
 SQL = E.oracle_sql()
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+         "boolean": "BOOLEAN"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -47,6 +49,10 @@ def test_query_matches_sql(spark, duck, sf_small, name):
     order = [cols.index(c) for c in df.columns]
     exp = [tuple(_norm(r[i]) for i in order) for r in cur.fetchall()]
     assert sorted(got, key=_key) == sorted(exp, key=_key)
+    rel = duck.sql(SQL[name])
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert spark_types == duck_types
 
 
 def test_every_sql_key_is_a_query():

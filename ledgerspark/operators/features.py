@@ -237,7 +237,10 @@ def category_stats(txn: DataFrame, users: DataFrame) -> DataFrame:
     user, share of income, trend (E9)."""
     r = as_rollup(txn)
     per_cat = r.groupBy("user_id", "category").agg(F.sum("cents").alias("cents"))
-    months = r.groupBy("user_id").agg(F.countDistinct(month_start("date")).alias("n_months"))
+    months = (
+        r.groupBy("user_id", month_start("date").alias("year_month")).agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_months"))
+    )
     monthly_avg = (F.col("cents") / F.lit(100.0)) / F.greatest(F.col("n_months"), F.lit(1))
     return (
         per_cat.join(months, "user_id")
@@ -263,12 +266,19 @@ def savings_position(txn: DataFrame, users: DataFrame, as_of: dt.date | None, da
         recent = F.lit(True)
     else:
         recent = after_days_before("date", as_of, days)
-    g = as_rollup(txn).groupBy("user_id").agg(
-        F.sum(F.when(recent, F.col("cents"))).alias("recent_cents"),
-        F.coalesce(F.sum(F.when(recent, F.col("n_rows"))), F.lit(0)).alias("recent_rows"),
-        F.countDistinct(F.when(recent, ym)).alias("recent_months"),
-        F.sum("cents").alias("all_cents"),
-        F.countDistinct(ym).alias("all_months"),
+    # two-level aggregate (user, month) -> user: exact distinct month counts
+    # without the Expand of a multi-distinct aggregate
+    per_month = as_rollup(txn).groupBy("user_id", ym.alias("year_month")).agg(
+        F.sum(F.when(recent, F.col("cents"))).alias("rc"),
+        F.coalesce(F.sum(F.when(recent, F.col("n_rows"))), F.lit(0)).alias("rn"),
+        F.sum("cents").alias("ac"),
+    )
+    g = per_month.groupBy("user_id").agg(
+        F.sum("rc").alias("recent_cents"),
+        F.sum("rn").alias("recent_rows"),
+        F.count(F.when(F.col("rn") > 0, 1)).alias("recent_months"),
+        F.sum("ac").alias("all_cents"),
+        F.count(F.lit(1)).alias("all_months"),
     )
     use_recent = F.col("recent_rows") > 0
     cents_used = F.when(use_recent, F.col("recent_cents")).otherwise(F.col("all_cents"))

@@ -86,9 +86,12 @@ def count_before(per: DataFrame, order_col: str, count_col: str, parts: int | No
     same ranges."""
     from pyspark.ml.feature import Bucketizer
 
+    from ..session import reliable_checkpoint
+
     spark = per.sparkSession
     n = max(1, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    x = per.withColumn("_x", F.col(order_col).cast("double"))
+    # the quantile pass and the main pass read one materialized input
+    x = reliable_checkpoint(per.withColumn("_x", F.col(order_col).cast("double")))
     cuts = sorted(set(x.approxQuantile("_x", [i / n for i in range(1, n)], 0.001))) if n > 1 else []
     splits = [float("-inf")] + [c for c in cuts if c not in (float("-inf"), float("inf"))] + [float("inf")]
     b = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(x)

@@ -165,3 +165,28 @@ def test_train_all_and_reports(spark, sf_small):
     assert all(x.reasoning for x in e.explanations)
     assert len(e.feature_importance_global) <= 20
     assert "classifier_accuracy" in e.model_metrics
+
+
+def test_forecast_needs_eight_dates(spark):
+    # lag 7 plus one row needs 8 dates
+    rows = [(i, 1, dt.date(2025, 1, 1) + dt.timedelta(days=i), 10.0 + i, "Food") for i in range(7)]
+    rows += [(100 + i, 2, dt.date(2025, 1, 1) + dt.timedelta(days=i), 10.0 + i, "Food") for i in range(8)]
+    rows += [(200 + i, 3, dt.date(2024, 1, 1) + dt.timedelta(days=i), 5.0 + (i % 7), "Food") for i in range(120)]
+    t = txn_frame(spark, rows)
+    u = users_frame(spark, [(1, 1000), (2, 1000), (3, 1000)])
+    fm = FC.fit_ridge(t)
+    s = {r.user_id: r for r in FC.forecast_summary(FC.forecast_points(fm, t, u, 14), fm, 14).collect()}
+    assert s[1].model_used == "Insufficient Data" and s[1].total_predicted == 0.0
+    assert s[2].model_used == "regression_fallback"
+    pts = FC.forecast_points(fm, t, u, 14).filter("user_id = 1").orderBy("date").collect()
+    assert pts[0].date == dt.date(2025, 1, 8)  # horizon starts after the last transaction date
+
+
+def test_risk_score_zeros_for_one_month_user(spark):
+    rows = [(i, 1, dt.date(2025, 1 + (i % 6), 1 + i // 6), 300.0 + 500 * (i % 2), "Food") for i in range(24)]
+    rows += [(100, 2, dt.date(2025, 3, 1), 50.0, "Food")]
+    t = txn_frame(spark, rows)
+    u = users_frame(spark, [(1, 1000), (2, 1000)])
+    rm = MD.fit_risk_model(t, u, max_iter=3)
+    s = {r.user_id: r for r in MD.risk_score(rm, t, u).collect()}
+    assert s[2].overspend_probability == 0.0 and s[2].risk_level == "low" and s[2].current_spending == 0.0

@@ -260,3 +260,24 @@ def test_null_defaults(spark):
     t = txn_frame(spark, [(1, 1, "2025-06-01", 1.0, "Food", None, None), (2, 1, "2025-06-01", 1.0, "Food", "", "x")])
     r = {x.id: x for x in B.null_defaults(t).collect()}
     assert r[1].merchant == "Unknown" and r[1].description == "" and r[2].merchant == "Unknown"
+
+
+def test_scan_user_frame_empty_keeps_schema(spark):
+    t = txn_frame(spark, [(1, 1, "2025-06-01", 1.0, "Food")])
+    f = B.scan_user_frame(t, 2)
+    assert f.count() == 0 and f.columns == ["user_id", "id", "date", "amount", "category", "merchant", "description"]
+
+
+def test_rising_trend_steps_over_missing_month(spark):
+    rows = [(1, 1, "2025-01-05", 100.0, "Food"), (2, 1, "2025-03-05", 200.0, "Food"), (3, 1, "2025-06-05", 300.0, "Food")]
+    r = FE.three_month_rise(txn_frame(spark, rows)).first()
+    assert r.rising and r.first_total == 100.0 and r.last_total == 300.0
+    falling = [(1, 1, "2025-01-05", 300.0, "Food"), (2, 1, "2025-02-05", 200.0, "Food"), (3, 1, "2025-03-05", 100.0, "Food")]
+    assert not FE.three_month_rise(txn_frame(spark, falling)).first().rising
+
+
+def test_category_trend_needs_three_months(spark):
+    rows = [(1, 1, "2025-01-05", 100.0, "Food"), (2, 1, "2025-02-05", 100.0, "Food"), (3, 1, "2025-03-05", 111.0, "Food"),
+            (4, 1, "2025-01-05", 100.0, "Rent"), (5, 1, "2025-03-05", 500.0, "Rent")]
+    got = {r.category: r.trend for r in FE.category_trend(txn_frame(spark, rows)).collect()}
+    assert got == {"Food": "increasing", "Rent": "stable"}

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .. import texts as TX
 from ..functions.scalars import feature_label, literal_map, whole_number, whole_percent
 from . import features as FE
 
@@ -174,115 +175,94 @@ def explain(figures: DataFrame, risk_importances: list | None = None) -> DataFra
     k = F.col("kind")
     cat = F.col("category")
     inc = F.col("monthly_income")
-    velocity_text = F.lit("Spending velocity is accelerating — recent week is above monthly average")
+    no_text = F.array().cast("array<string>")
+    no_impacts = F.array().cast(f"array<{IMPACT}>")
 
+    # K2 risk
     risk_reason = F.format_string(
-        "The overspend risk score of %s is driven by your current spending trajectory (₹%s so far this month) "
-        "relative to your income of ₹%s. %scontributing to the elevated risk assessment.",
+        TX.RISK_REASONING,
         whole_percent("risk_probability"),
         whole_number(F.col("spend_share") * inc),
         whole_number(inc),
-        F.when(F.col("accelerating"), F.lit("Spending velocity has increased recently, ")).otherwise(F.lit("")),
+        F.when(F.col("accelerating"), F.lit(TX.RISK_VELOCITY_CLAUSE)).otherwise(F.lit("")),
     )
     risk_factors = F.concat(
-        F.when(F.col("accelerating"), F.array(velocity_text)).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("accelerating"), F.array(F.lit(TX.RISK_VELOCITY_FACTOR))).otherwise(no_text),
         F.array(
-            F.format_string("Current spending is %s of monthly income", whole_percent("spend_share")),
-            F.format_string("Model predicts %s probability of exceeding budget", whole_percent("risk_probability")),
+            F.format_string(TX.RISK_SHARE_FACTOR, whole_percent("spend_share")),
+            F.format_string(TX.RISK_MODEL_FACTOR, whole_percent("risk_probability")),
         ),
     )
+    # K3 category
     increasing = F.col("cat_trend") == "increasing"
     cat_reason = F.format_string(
-        "Your %s spending is %s of income (recommended threshold: %s). Average monthly spend: ₹%s. %s "
-        "Reducing by ₹%s/month would bring it within recommended limits.",
+        TX.CATEGORY_REASONING,
         F.lower(cat),
         whole_percent("cat_share"),
         whole_percent("cat_threshold"),
         whole_number("cat_monthly_avg"),
-        F.when(increasing, F.lit("The trend is increasing, amplifying the concern.")).otherwise(F.lit("")),
+        F.when(increasing, F.lit(TX.CATEGORY_TREND_CLAUSE)).otherwise(F.lit("")),
         whole_number("cat_reduction"),
     )
     cat_impacts = F.array(
-        _impact(F.concat(cat, F.lit(" Spending %")), F.round("cat_share", 4), F.lit("positive"),
-                F.concat(F.lit("Percentage of income spent on "), F.lower(cat))),
-        _impact(F.concat(cat, F.lit(" Trend")), F.when(increasing, F.lit(0.3)).otherwise(F.lit(0.1)),
+        _impact(F.format_string(TX.CATEGORY_SHARE_FEATURE, cat), F.round("cat_share", 4), F.lit("positive"),
+                F.format_string(TX.CATEGORY_SHARE_DESCRIPTION, F.lower(cat))),
+        _impact(F.format_string(TX.CATEGORY_TREND_FEATURE, cat), F.when(increasing, F.lit(0.3)).otherwise(F.lit(0.1)),
                 F.when(increasing, F.lit("positive")).otherwise(F.lit("negative")),
-                F.format_string("Spending trend for %s is %s", F.lower(cat), F.col("cat_trend"))),
+                F.format_string(TX.CATEGORY_TREND_DESCRIPTION, F.lower(cat), F.col("cat_trend"))),
     )
     cat_factors = F.array(
-        F.format_string("High %s spending at %s of income", F.lower(cat), whole_percent("cat_share")),
-        F.concat(F.when(increasing, F.lit("Increasing")).otherwise(F.lit("Stable")), F.lit(" spending trend")),
-        F.format_string("Monthly average: ₹%s", whole_number("cat_monthly_avg")),
+        F.format_string(TX.CATEGORY_SHARE_FACTOR, F.lower(cat), whole_percent("cat_share")),
+        F.format_string(TX.CATEGORY_TREND_FACTOR,
+                        F.when(increasing, F.lit("Increasing")).otherwise(F.lit("Stable"))),
+        F.format_string(TX.CATEGORY_AVERAGE_FACTOR, whole_number("cat_monthly_avg")),
     )
+    # K4 forecast
     fc_reason = F.format_string(
-        "Based on %s forecasting model analysis of your historical spending, the projected spending of ₹%s over "
-        "%d days suggests %s. This forecast accounts for weekly patterns, seasonal trends, and your recent behavior.",
+        TX.FORECAST_REASONING,
         F.col("forecast_model"),
         whole_number("forecast_total"),
         F.col("forecast_days"),
-        F.when(F.col("forecast_total") > inc * F.lit(0.8), F.lit("budget pressure")).otherwise(
-            F.lit("manageable spending")
+        F.when(F.col("forecast_total") > inc * F.lit(0.8), F.lit(TX.FORECAST_PRESSURE)).otherwise(
+            F.lit(TX.FORECAST_MANAGEABLE)
         ),
     )
-    fc_impacts = F.array(
-        _impact(F.lit("Historical Spending Pattern"), F.lit(0.4), F.lit("positive"),
-                F.lit("Past spending behavior is the strongest predictor")),
-        _impact(F.lit("Weekly Seasonality"), F.lit(0.25), F.lit("positive"),
-                F.lit("Day-of-week spending patterns affect projections")),
-    )
+    fc_impacts = F.array(*[_impact(F.lit(f), F.lit(v), F.lit(d), F.lit(t)) for f, v, d, t in TX.FORECAST_IMPACTS])
     fc_factors = F.array(
-        F.concat(F.lit("Forecast model: "), F.col("forecast_model")),
-        F.format_string("Projected %d-day total: ₹%s", F.col("forecast_days"), whole_number("forecast_total")),
-        F.concat(F.lit("RMSE: "), F.coalesce(F.col("forecast_rmse").cast("string"), F.lit("N/A"))),
+        F.format_string(TX.FORECAST_MODEL_FACTOR, F.col("forecast_model")),
+        F.format_string(TX.FORECAST_TOTAL_FACTOR, F.col("forecast_days"), whole_number("forecast_total")),
+        F.format_string(TX.FORECAST_RMSE_FACTOR, F.coalesce(F.col("forecast_rmse").cast("string"), F.lit("N/A"))),
     )
+    # K5 savings
     sav_reason = F.format_string(
-        "Your average monthly spending of ₹%s leaves ₹%s in savings (%s savings rate). Financial advisors recommend "
-        "investing surplus beyond 20%% of income for long-term wealth building. SIPs in diversified equity funds or "
-        "debt funds are good starting options.",
-        whole_number("savings_monthly_avg"),
-        whole_number("savings"),
-        whole_percent("savings_rate"),
+        TX.SAVINGS_REASONING, whole_number("savings_monthly_avg"), whole_number("savings"), whole_percent("savings_rate")
     )
     sav_factors = F.array(
-        F.concat(F.lit("Savings rate: "), whole_percent("savings_rate")),
-        F.concat(F.lit("Monthly surplus: ₹"), whole_number("savings")),
-        F.lit("Consistent positive cash flow observed"),
-    )
-    an_reason = F.format_string(
-        "This transaction was flagged because it significantly deviates from your typical spending in the %s "
-        "category. Transactions exceeding 3 standard deviations from the mean are considered unusual and may "
-        "warrant review.",
-        F.coalesce(cat, F.lit("this")),
-    )
-    an_factors = F.array(
-        F.lit("Amount significantly exceeds category average"),
-        F.lit("Statistical outlier (>3 standard deviations)"),
-        F.lit("May indicate an error or one-time expense"),
+        F.format_string(TX.SAVINGS_RATE_FACTOR, whole_percent("savings_rate")),
+        F.format_string(TX.SAVINGS_SURPLUS_FACTOR, whole_number("savings")),
+        F.lit(TX.SAVINGS_FLOW_FACTOR),
     )
+    # K6 anomaly
+    an_reason = F.format_string(TX.ANOMALY_REASONING, F.coalesce(cat, F.lit("this")))
+    an_factors = F.array(*[F.lit(t) for t in TX.ANOMALY_FACTORS])
+    # K7 trend (empty when the user has fewer than three months)
     has_rise = F.col("trend_first").isNotNull()
     tr_reason = F.when(
         has_rise,
-        F.format_string(
-            "Your spending has increased by %s%% over the last 3 months (₹%s → ₹%s). If this trend continues, you "
-            "risk exceeding your budget. Identifying and reducing discretionary expenses can help stabilize spending.",
-            whole_number("trend_change_pct"),
-            whole_number("trend_first"),
-            whole_number("trend_last"),
-        ),
+        F.format_string(TX.TREND_REASONING, whole_number("trend_change_pct"), whole_number("trend_first"),
+                        whole_number("trend_last")),
     ).otherwise(F.lit(""))
     tr_factors = F.when(
         has_rise,
         F.array(
-            F.format_string("3-month spending increase: %s%%", whole_number("trend_change_pct")),
-            F.concat(F.lit("Month 1: ₹"), whole_number("trend_first")),
-            F.concat(F.lit("Month 3: ₹"), whole_number("trend_last")),
+            F.format_string(TX.TREND_CHANGE_FACTOR, whole_number("trend_change_pct")),
+            F.format_string(TX.TREND_FIRST_FACTOR, whole_number("trend_first")),
+            F.format_string(TX.TREND_LAST_FACTOR, whole_number("trend_last")),
         ),
-    ).otherwise(F.array().cast("array<string>"))
-    default_reason = F.lit(
-        "This recommendation is based on your overall spending patterns and financial health indicators."
-    )
-    default_factors = F.array(F.lit("Overall spending analysis"), F.lit("Income-to-expense ratio"))
-    none_impacts = F.array().cast(f"array<{IMPACT}>")
+    ).otherwise(no_text)
+    # K8 default
+    default_reason = F.lit(TX.DEFAULT_REASONING)
+    default_factors = F.array(*[F.lit(t) for t in TX.DEFAULT_FACTORS])
 
     reasoning = (
         F.when(k == "risk", risk_reason)
@@ -297,7 +277,7 @@ def explain(figures: DataFrame, risk_importances: list | None = None) -> DataFra
         F.when(k == "risk", risk_impacts(risk_importances))
         .when(k == "category", cat_impacts)
         .when(k == "forecast", fc_impacts)
-        .otherwise(none_impacts)
+        .otherwise(no_impacts)
     )
     factors = (
         F.when(k == "risk", risk_factors)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from .. import texts as TX
 from ..functions.scalars import cents, month_start, priority_rank, whole_number, whole_percent
 from .features import as_rollup, first_appearance, group_stats_on_rows, savings_position, three_month_rise
 
@@ -89,7 +90,7 @@ def rule_category_overspend(txn: DataFrame, users: DataFrame, as_of: dt.date) ->
     j = j.withColumns({"spent": spent, "pct": pct}).filter(F.col("pct") > thr)
     excess = F.col("spent") - F.col("monthly_income") * thr
     msg = F.format_string(
-        "Reduce %s spending by ₹%s (%s of income vs %s recommended threshold)",
+        TX.CATEGORY_OVERSPEND,
         F.lower("category"),
         whole_number(excess),
         whole_percent("pct"),
@@ -118,7 +119,7 @@ def rule_risk(risk: DataFrame) -> DataFrame:
         F.when(
             p > 0.7,
             F.format_string(
-                "High risk of overspending this month! Probability: %s. Projected spending: ₹%s vs income ₹%s",
+                TX.RISK_HIGH,
                 whole_percent(p),
                 whole_number(F.coalesce("projected_spending", F.lit(0.0))),
                 whole_number("monthly_income"),
@@ -127,13 +128,13 @@ def rule_risk(risk: DataFrame) -> DataFrame:
         .when(
             p > 0.5,
             F.format_string(
-                "Moderate overspending risk detected (%s probability). Consider reducing discretionary spending.",
+                TX.RISK_MEDIUM,
                 whole_percent(p),
             ),
         )
         .otherwise(
             F.format_string(
-                "Slight overspending risk (%s probability). You're mostly on track — keep monitoring.",
+                TX.RISK_LOW,
                 whole_percent(p),
             )
         )
@@ -163,13 +164,13 @@ def rule_forecast(forecast: DataFrame) -> DataFrame:
     msg = F.when(
         hi,
         F.format_string(
-            "Forecast shows spending of ₹%s over next %d days. This exceeds your income — immediate action recommended!",
+            TX.FORECAST_HIGH,
             whole_number("total_predicted"),
             F.col("forecast_days"),
         ),
     ).otherwise(
         F.format_string(
-            "Forecast predicts ₹%s spending in %d days (%s of income). Monitor closely.",
+            TX.FORECAST_MEDIUM,
             whole_number("total_predicted"),
             F.col("forecast_days"),
             whole_percent(F.col("monthly_projected") / F.col("monthly_income")),
@@ -206,8 +207,7 @@ def rule_savings(savings: DataFrame) -> DataFrame:
         F.lit("Investments"),
         investable,
         F.format_string(
-            "You can safely invest ₹%s/month! Your savings rate is %s (₹%s/month surplus). "
-            "Consider SIPs in index funds or fixed deposits.",
+            TX.INVEST,
             whole_number(investable),
             whole_percent(rate),
             whole_number("savings"),
@@ -226,7 +226,7 @@ def rule_savings(savings: DataFrame) -> DataFrame:
         F.lit(None),
         amount,
         F.format_string(
-            "Maintain an emergency fund of at least ₹%s (%d months expenses).",
+            TX.EMERGENCY_FUND,
             whole_number(amount),
             F.lit(S.MIN_EMERGENCY_FUND_MONTHS),
         ),
@@ -254,7 +254,7 @@ def rule_anomaly(txn: DataFrame, limit: int = S.MAX_ANOMALIES, rollup: DataFrame
     w = Window.partitionBy("user_id").orderBy("appearance", "date", "id")
     top = hits.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < limit)
     msg = F.format_string(
-        "Unusual %s transaction of ₹%s detected on %s (category average: ₹%s)",
+        TX.ANOMALY,
         F.lower("category"),
         whole_number("amount"),
         F.date_format("date", "yyyy-MM-dd"),
@@ -270,8 +270,7 @@ def rule_rising_trend(txn: DataFrame) -> DataFrame:
     """The last three present months strictly increasing."""
     r = three_month_rise(txn).filter("rising")
     msg = F.format_string(
-        "Spending has increased %s%% over the last 3 months. "
-        "Review and adjust your budget to prevent overspending.",
+        TX.RISING_TREND,
         whole_number("increase_pct"),
     )
     return _rule(
@@ -352,26 +351,10 @@ def recommendation_summary(recs: DataFrame, users: DataFrame) -> DataFrame:
     j = users.select("user_id").join(counts, "user_id", "left").na.fill(0, ["n_recommendations", "n_high"])
     n, h = F.col("n_recommendations"), F.col("n_high")
     text = (
-        F.when(n == 0, F.lit("Your finances look healthy! No immediate actions needed."))
-        .when(
-            h >= 3,
-            F.format_string(
-                "%d critical issues found. Immediate attention required on spending and budget management.", h
-            ),
-        )
-        .when(
-            h >= 1,
-            F.format_string(
-                "%d recommendations generated, including %d high-priority alert(s). Review the critical items first.",
-                n,
-                h,
-            ),
-        )
-        .otherwise(
-            F.format_string(
-                "%d suggestions to optimize your finances. No critical issues — focus on long-term improvements.", n
-            )
-        )
+        F.when(n == 0, F.lit(TX.SUMMARY_HEALTHY))
+        .when(h >= 3, F.format_string(TX.SUMMARY_CRITICAL, h))
+        .when(h >= 1, F.format_string(TX.SUMMARY_REVIEW, n, h))
+        .otherwise(F.format_string(TX.SUMMARY_SUGGESTIONS, n))
     )
     return j.select("user_id", "n_recommendations", "n_high", text.alias("summary"))
 

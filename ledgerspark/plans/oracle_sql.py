@@ -7,6 +7,7 @@ left unrounded (the engines round ties differently)."""
 from __future__ import annotations
 
 from .. import schemas as S
+from .. import texts as TX
 from ..sources.adapters import EVENT_CATEGORY, EVENTS_AS_OF, LINEITEM_AS_OF
 
 _CATS = "[" + ", ".join(f"'{c}'" for c in S.CATEGORIES) + "]"
@@ -429,10 +430,10 @@ SELECT user_id, rec_index, rule_id, type, priority, confidence, category, amount
 cnt AS (SELECT user_id, COUNT(*) AS n, COUNT(CASE WHEN priority = 'high' THEN 1 END) AS h FROM ranked GROUP BY user_id),
 summ AS (SELECT u.user_id, COALESCE(cnt.n, 0) AS n_recommendations, COALESCE(cnt.h, 0) AS n_high FROM users u LEFT JOIN cnt USING (user_id))
 SELECT user_id, n_recommendations, n_high,
-  CASE WHEN n_recommendations = 0 THEN 'Your finances look healthy! No immediate actions needed.'
-       WHEN n_high >= 3 THEN printf('%d critical issues found. Immediate attention required on spending and budget management.', n_high)
-       WHEN n_high >= 1 THEN printf('%d recommendations generated, including %d high-priority alert(s). Review the critical items first.', n_recommendations, n_high)
-       ELSE printf('%d suggestions to optimize your finances. No critical issues — focus on long-term improvements.', n_recommendations)
+  CASE WHEN n_recommendations = 0 THEN '""" + TX.SUMMARY_HEALTHY + """'
+       WHEN n_high >= 3 THEN printf('""" + TX.SUMMARY_CRITICAL + """', n_high)
+       WHEN n_high >= 1 THEN printf('""" + TX.SUMMARY_REVIEW + """', n_recommendations, n_high)
+       ELSE printf('""" + TX.SUMMARY_SUGGESTIONS + """', n_recommendations)
   END AS summary FROM summ"""
     q.update(metrics_sql())
     q.update(store_sql())

@@ -111,7 +111,8 @@ def forecast_points(fm: ForecastModel, txn: DataFrame, users: DataFrame | None =
     scored = fm.pipeline.transform(latest).select(
         "user_id", F.col("ds").alias("last_ds"), F.greatest(F.col("prediction"), F.lit(0.0)).alias("p")
     )
-    last_txn = txn.groupBy("user_id").agg(F.max("date").alias("last_date"))
+    # last transaction date per user, from the same daily aggregate (no second scan)
+    last_txn = daily.groupBy("user_id").agg(F.max("ds").alias("last_date"))
     base = last_txn.join(scored, "user_id", "left")
     if users is not None:
         base = base.join(users.select("user_id"), "user_id")

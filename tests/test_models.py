@@ -190,3 +190,15 @@ def test_risk_score_zeros_for_one_month_user(spark):
     rm = MD.fit_risk_model(t, u, max_iter=3)
     s = {r.user_id: r for r in MD.risk_score(rm, t, u).collect()}
     assert s[2].overspend_probability == 0.0 and s[2].risk_level == "low" and s[2].current_spending == 0.0
+
+
+def test_batch_job_writes_every_output(spark, sf_small, tmp_path):
+    from ledgerspark.plans import run as R
+    from ledgerspark.sources.adapters import txn_events
+
+    out = str(tmp_path / "out")
+    metrics = R.run(spark, txn_events(spark, sf_small), out, num_trees=2, risk_iters=2, folds=2, forecast_days=10)
+    assert "classifier_accuracy" in metrics
+    for name in ["predictions", "recommendations", "explanations", "month_summary", "monthly_summaries"]:
+        assert spark.read.parquet(f"{out}/{name}").count() > 0
+    assert spark.read.json(f"{out}/metrics").count() == 1

@@ -4,6 +4,8 @@ The confusion matrix is a grouped count (classes x classes rows, bounded by
 the label set), so it is the only thing brought to the driver. AUC has two
 exact forms: the rank form over a distributed running count (``auc_rank``)
 and Spark's evaluator with ``numBins=0`` (used inside model training).
+``count_before`` is also the distributed numbering used for new user ids and
+for the merchant index.
 """
 
 from __future__ import annotations
@@ -77,33 +79,28 @@ def binary_summary(scored: DataFrame, label: str = "label", prediction: str = "p
 
 
 def count_before(per: DataFrame, order_col: str, count_col: str, parts: int | None = None) -> DataFrame:
-    """Exclusive running total of ``count_col`` in ``order_col`` order,
-    without a single-partition window. The order column is cut into ranges
-    at approximate quantiles (computed once, ``parts - 1`` numbers on the
-    driver), each range sums its own rows in one task, and the per-range
-    totals (one row per range, a proven bound) give every range its offset.
-    The cut points are constants of the plan, so a recomputed task gets the
-    same ranges."""
-    from pyspark.ml.feature import Bucketizer
-
+    """Exclusive running total of ``count_col`` in ``order_col`` order (any
+    sortable type), without a single-partition window. The rows are
+    range-partitioned on the order column and checkpointed, which fixes
+    each row's range for good (a recomputed task sees the same ranges);
+    each range sums its own rows in one task, and the per-range totals (one
+    row per range, a proven bound) give every range its offset. Equal keys
+    always fall in the same range."""
     from ..session import reliable_checkpoint
 
     spark = per.sparkSession
     n = max(1, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # the quantile pass and the main pass read one materialized input
-    x = reliable_checkpoint(per.withColumn("_x", F.col(order_col).cast("double")))
-    cuts = sorted(set(x.approxQuantile("_x", [i / n for i in range(1, n)], 0.001))) if n > 1 else []
-    splits = [float("-inf")] + [c for c in cuts if c not in (float("-inf"), float("inf"))] + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(x)
-    w_local = Window.partitionBy("_b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    local = b.withColumn("_local", F.coalesce(F.sum(count_col).over(w_local), F.lit(0)))
-    totals = b.groupBy("_b").agg(F.sum(count_col).alias("_tot"))
-    w_off = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
+    ranged = reliable_checkpoint(per.repartitionByRange(n, order_col))
+    r = ranged.withColumn("_pid", F.spark_partition_id())
+    w_local = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = r.withColumn("_local", F.coalesce(F.sum(count_col).over(w_local), F.lit(0)))
+    totals = r.groupBy("_pid").agg(F.sum(count_col).alias("_tot"))
+    w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
     return (
-        local.join(F.broadcast(offsets), "_b")
+        local.join(F.broadcast(offsets), "_pid")
         .withColumn("before", (F.col("_off") + F.col("_local")).cast("long"))
-        .drop("_b", "_x", "_local", "_off")
+        .drop("_pid", "_local", "_off")
     )
 
 

@@ -1,6 +1,7 @@
 """Models on ``pyspark.ml`` (ops I1, I3-I10, I5, I6, F4, F5, F8, D13).
 
-* I1: merchant index, alphabetical, unseen/NULL -> ``Unknown`` [Q7].
+* I1: merchant index, alphabetical, unseen/NULL -> ``Unknown`` [Q7], kept as
+  a distributed table (no label list on the driver).
 * I3/I4: 16-class category model. Boosted trees in Spark are binary only
   and one-vs-rest returns no probability, so a random forest is used
   (multi-class with probabilities).
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,35 +37,61 @@ UNKNOWN = "Unknown"
 
 # --------------------------------------------------------------- I1 --------
 
-def fit_merchant_index(frame: DataFrame, col: str = "merchant") -> StringIndexerModel:
-    """Label ids on merchants (NULL/empty -> ``Unknown`` first), in
-    alphabetical order; ``keep`` gives unseen values the id n."""
-    src = frame.select(default_if_blank(col, UNKNOWN).alias("merchant_clean"))
-    return StringIndexer(
-        inputCol="merchant_clean",
-        outputCol="merchant_encoded",
-        stringOrderType="alphabetAsc",
-        handleInvalid="keep",
-    ).fit(src)
-
-
-def apply_merchant_index(model: StringIndexerModel, df: DataFrame, col: str = "merchant") -> DataFrame:
-    """Q7: unseen merchants take ``Unknown``'s id when ``Unknown`` was seen in
-    training, otherwise the id n (``Unknown`` appended last)."""
-    labels = list(model.labels)
-    out = model.transform(df.withColumn("merchant_clean", default_if_blank(col, UNKNOWN)))
-    if UNKNOWN in labels:
-        n = float(len(labels))
-        out = out.withColumn(
-            "merchant_encoded",
-            F.when(F.col("merchant_encoded") == F.lit(n), F.lit(float(labels.index(UNKNOWN)))).otherwise(
-                F.col("merchant_encoded")
-            ),
-        )
-    # the id is a number to the models (as in the reference), not a nominal
-    # feature: drop the indexer's attribute metadata
-    return out.drop("merchant_clean").withColumn(
-        "merchant_encoded", F.col("merchant_encoded").alias("merchant_encoded", metadata={})
+@dataclass
+class MerchantIndex:
+    """Alphabetical label ids of the merchants seen in training, as a
+    table (merchant, merchant_encoded). ``n_labels`` and ``unknown_id`` are
+    the two scalars the transform needs (Q7)."""
+
+    table: DataFrame
+    n_labels: int
+    unknown_id: float | None
+
+    @property
+    def labels(self) -> list:  # small frames only (tests, inspection)
+        return [r[0] for r in self.table.orderBy("merchant_encoded").select("merchant").collect()]
+
+    def save(self, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "MerchantIndex":
+        return _index_from_table(spark.read.parquet(path))
+
+
+def _index_from_table(table: DataFrame) -> MerchantIndex:
+    r = table.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.when(F.col("merchant") == UNKNOWN, F.col("merchant_encoded"))).alias("u"),
+    ).first()
+    return MerchantIndex(table, int(r["n"]), None if r["u"] is None else float(r["u"]))
+
+
+def fit_merchant_index(frame: DataFrame, col: str = "merchant") -> MerchantIndex:
+    """Distinct merchants (NULL/empty -> ``Unknown`` first) numbered in
+    alphabetical order by a distributed running count; the label list
+    never passes through the driver. The table is checkpointed."""
+    from .metrics import count_before
+
+    labels = frame.select(default_if_blank(col, UNKNOWN).alias("merchant")).distinct().withColumn("_one", F.lit(1))
+    ranked = count_before(labels, "merchant", "_one")
+    table = reliable_checkpoint(ranked.select("merchant", F.col("before").cast("double").alias("merchant_encoded")))
+    return _index_from_table(table)
+
+
+def apply_merchant_index(index: MerchantIndex, df: DataFrame, col: str = "merchant") -> DataFrame:
+    """Q7: a join to the label table; merchants not seen in training take
+    ``Unknown``'s id when ``Unknown`` was seen, otherwise the id n
+    (``Unknown`` appended after the fitted labels). The join is an equi-join
+    on the merchant (broadcast when AQE measures the table small; a hot
+    merchant's partition is split by the skew join otherwise)."""
+    fallback = index.unknown_id if index.unknown_id is not None else float(index.n_labels)
+    m = df.withColumn("merchant_clean", default_if_blank(col, UNKNOWN))
+    t = index.table.select(F.col("merchant").alias("merchant_clean"), F.col("merchant_encoded").alias("_enc"))
+    return (
+        m.join(t, "merchant_clean", "left")
+        .withColumn("merchant_encoded", F.coalesce(F.col("_enc"), F.lit(fallback)))
+        .drop("_enc", "merchant_clean")
     )
 
 
@@ -84,7 +111,7 @@ def assign_folds(df: DataFrame, label: str, k: int, id_col: str = "id", seed: in
 @dataclass
 class CategoryModel:
     pipeline: PipelineModel
-    merchant_index: StringIndexerModel
+    merchant_index: MerchantIndex
     metrics: dict = field(default_factory=dict)
     importances: list = field(default_factory=list)
 
@@ -105,7 +132,7 @@ def _category_pipeline(num_trees: int, max_depth: int, seed: int) -> Pipeline:
     return Pipeline(stages=[label_idx, vec, rf])
 
 
-def category_training_frame(txn: DataFrame, merchant_index: StringIndexerModel) -> DataFrame:
+def category_training_frame(txn: DataFrame, merchant_index: MerchantIndex) -> DataFrame:
     from .filters import null_defaults
 
     f = FE.transaction_features(null_defaults(txn))

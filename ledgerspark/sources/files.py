@@ -77,8 +77,13 @@ def save_models(path: str, models: dict, meta: dict) -> None:
     """Every fitted ``pyspark.ml`` model under ``path/<name>`` plus a
     JSON metadata document (feature lists, importances, metrics)."""
     for name, m in models.items():
-        if m is not None:
-            m.write().overwrite().save(f"{path.rstrip('/')}/{name}")
+        if m is None:
+            continue
+        target = f"{path.rstrip('/')}/{name}"
+        if hasattr(m, "write"):
+            m.write().overwrite().save(target)  # pyspark.ml models
+        else:
+            m.save(target)  # tables such as the merchant index
     spark = SparkSession.getActiveSession()
     doc = json.dumps(meta, default=str)
     spark.createDataFrame([(doc,)], "meta string").coalesce(1).write.mode("overwrite").text(
@@ -89,13 +94,14 @@ def save_models(path: str, models: dict, meta: dict) -> None:
 def load_models(spark: SparkSession, path: str, names: list[str]) -> tuple[dict, dict]:
     """Load what ``save_models`` wrote (missing models -> None)."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.feature import StringIndexerModel
+
+    from ..operators.models import MerchantIndex
 
     out = {}
     for n in names:
         p = f"{path.rstrip('/')}/{n}"
         try:
-            out[n] = StringIndexerModel.load(p) if n.endswith("index") else PipelineModel.load(p)
+            out[n] = MerchantIndex.load(spark, p) if n.endswith("index") else PipelineModel.load(p)
         except Exception:  # noqa: BLE001 - absent model: heuristic mode (I18)
             out[n] = None
     try:

@@ -37,6 +37,9 @@ def test_count_before_is_a_running_count(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7 % 1000).alias("s"), F.lit(2).alias("cnt"))
     rows = M.count_before(df, "s", "cnt", parts=7).collect()
     assert all(r.before == 2 * r.s for r in rows)
+    words = spark.createDataFrame([(w, 1) for w in ["pear", "apple", "fig", "kiwi", "apple2"]], "s string, cnt int")
+    got = {r.s: r.before for r in M.count_before(words, "s", "cnt", parts=3).collect()}
+    assert got == {"apple": 0, "apple2": 1, "fig": 2, "kiwi": 3, "pear": 4}
 
 
 def test_classification_metrics(spark):
@@ -82,10 +85,12 @@ def test_merchant_index_unseen_and_unknown(spark):
     new = txn_frame(spark, [(3, 1, "2025-01-01", 1.0, "Food", "zz"), (4, 1, "2025-01-01", 1.0, "Food", None)])
     got = sorted(r.merchant_encoded for r in MD.apply_merchant_index(idx, new).collect())
     assert got == [2.0, 2.0]  # Unknown appended last
+    seen = {r.merchant: r.merchant_encoded for r in MD.apply_merchant_index(idx, train).collect()}
+    assert seen == {"a": 0.0, "b": 1.0}
     train2 = txn_frame(spark, [(1, 1, "2025-01-01", 1.0, "Food", None), (2, 1, "2025-01-01", 1.0, "Food", "a")])
     idx2 = MD.fit_merchant_index(train2)
     assert list(idx2.labels) == ["Unknown", "a"]
-    got2 = [r.merchant_encoded for r in MD.apply_merchant_index(idx2, new).collect()]
+    got2 = sorted(r.merchant_encoded for r in MD.apply_merchant_index(idx2, new).collect())
     assert got2 == [0.0, 0.0]  # unseen -> the trained Unknown id
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .. import texts as TX
-from ..functions.scalars import feature_label, literal_map, whole_number, whole_percent
+from ..functions.scalars import contains_ci, feature_label, literal_map, whole_number, whole_percent
 from . import features as FE
 
 IMPACT = "struct<feature:string,importance:double,direction:string,description:string>"
@@ -38,10 +38,36 @@ def describe_feature(name) -> F.Column:
     return F.coalesce(literal_map(S.FEATURE_DESCRIPTIONS)[n], F.concat(F.lit("Model feature: "), n))
 
 
+def dispatch_by_text() -> F.Column:
+    """K1 as the reference does it: the first matching case-insensitive
+    substring of the message (H16) wins; a category with statistics for the
+    user comes second (needs ``message``, ``category`` and ``has_stats``)."""
+    msg = F.col("message")
+
+    def has(*words):
+        out = contains_ci(msg, words[0])
+        for w in words[1:]:
+            out = out | contains_ci(msg, w)
+        return out
+
+    return (
+        F.when(has("overspend", "risk"), "risk")
+        .when(F.col("category").isNotNull() & F.col("has_stats"), "category")
+        .when(has("forecast"), "forecast")
+        .when(has("invest", "saving"), "savings")
+        .when(has("unusual", "anomal"), "anomaly")
+        .when(has("trend", "increas"), "trend")
+        .otherwise("default")
+    )
+
+
 def dispatch(mode: str = "reference") -> F.Column:
-    """K1: explanation kind of a recommendation row (needs ``rule_id`` and
-    ``has_investments``)."""
+    """K1: explanation kind of a recommendation row. ``reference`` and
+    ``intent`` dispatch on ``rule_id`` (+ ``has_investments``); ``text``
+    matches the message like the reference (``dispatch_by_text``)."""
     r = F.col("rule_id")
+    if mode == "text":
+        return dispatch_by_text()
     if mode == "intent":
         return (
             F.when(r == "J1", "category")
@@ -88,8 +114,11 @@ def explanation_figures(
         .join(inv, "user_id", "left")
         .withColumn("has_investments", F.coalesce(F.col("_inv"), F.lit(False)))
         .drop("_inv")
-        .join(stats.select("user_id", "category", "pct_of_income", "monthly_avg", "trend"),
+        .join(stats.select("user_id", "category", "pct_of_income", "monthly_avg", "trend",
+                           F.lit(True).alias("_has_stats")),
               ["user_id", "category"], "left")
+        .withColumn("has_stats", F.coalesce(F.col("_has_stats"), F.lit(False)))
+        .drop("_has_stats")
         .join(sav, "user_id", "left")
         .join(vel, "user_id", "left")
         .join(rise, "user_id", "left")

@@ -281,3 +281,19 @@ def test_category_trend_needs_three_months(spark):
             (4, 1, "2025-01-05", 100.0, "Rent"), (5, 1, "2025-03-05", 500.0, "Rent")]
     got = {r.category: r.trend for r in FE.category_trend(txn_frame(spark, rows)).collect()}
     assert got == {"Food": "increasing", "Rent": "stable"}
+
+
+def test_text_dispatch_equals_reference_mapping(spark, sf_small):
+    # Q13: matching the message text gives the same kinds as the rule_id mapping
+    from ledgerspark.plans import jobs
+    from ledgerspark.sources.adapters import txn_events, txn_lineitem
+
+    for adapter in (txn_lineitem, txn_events):
+        L = adapter(spark, sf_small)
+        recs = jobs.recommendation_job(L.txn, L.users, L.as_of)
+        ref = K.explanation_figures(recs, L.txn, L.users, L.as_of, mode="reference").select("user_id", "rec_index", "kind")
+        txt = K.explanation_figures(recs, L.txn, L.users, L.as_of, mode="text").select(
+            "user_id", "rec_index", F.col("kind").alias("kind_text"))
+        j = ref.join(txt, ["user_id", "rec_index"])
+        assert j.count() == recs.count() > 0
+        assert j.filter(F.col("kind") != F.col("kind_text")).count() == 0

@@ -106,6 +106,19 @@ def assign_folds(df: DataFrame, label: str, k: int, id_col: str = "id", seed: in
     return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(k)).cast("int"))
 
 
+def fit_concurrently(pipe: Pipeline, frames: list, parallelism: int) -> list:
+    """Fit one pipeline on several frames as concurrent Spark jobs (the fold
+    fits and the final fit are independent), like ``CrossValidator``'s
+    ``parallelism``: on small data the idle cores run other fits, on a
+    cluster the jobs share the executors."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    if parallelism <= 1 or len(frames) <= 1:
+        return [pipe.fit(f) for f in frames]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(frames))) as pool:
+        return list(pool.map(pipe.fit, frames))
+
+
 # ---------------------------------------------------------- I3 / I4 --------
 
 @dataclass
@@ -145,6 +158,7 @@ def fit_category_model(
     max_depth: int = 6,
     folds: int = 0,
     seed: int = 42,
+    parallelism: int = 6,
 ) -> CategoryModel:
     """I3 (+ I5, D10): fit on all rows; with ``folds`` >= 2 also out-of-fold
     accuracy and macro F1."""
@@ -155,11 +169,13 @@ def fit_category_model(
     train = reliable_checkpoint(category_training_frame(txn, mi).select("id", "category", *S.CLASSIFIER_FEATURES))
     pipe = _category_pipeline(num_trees, max_depth, seed)
     metrics = {}
-    if folds >= 2:
-        fr = assign_folds(train, "category", folds)
+    fr = assign_folds(train, "category", folds) if folds >= 2 else None
+    ks = list(range(folds)) if fr is not None else []
+    fitted = fit_concurrently(pipe, [fr.filter(F.col("fold") != k) for k in ks] + [train], parallelism)
+    model = fitted[-1]
+    if ks:
         oof = None
-        for k in range(folds):
-            m = pipe.fit(fr.filter(F.col("fold") != k))
+        for k, m in zip(ks, fitted):
             p = m.transform(fr.filter(F.col("fold") == k)).select("label", "prediction")
             oof = p if oof is None else oof.unionByName(p)
         cm = classification_metrics(oof)
@@ -167,7 +183,6 @@ def fit_category_model(
             "classifier_accuracy": cm["accuracy"],
             "classifier_f1_macro": cm["f1_macro"],
         }
-    model = pipe.fit(train)
     n_classes = len(model.stages[0].labels)
     metrics.update(
         {"n_classes": n_classes, "n_samples": train.count(), "n_features": len(S.CLASSIFIER_FEATURES)}
@@ -283,6 +298,7 @@ def fit_risk_model(
     max_iter: int = 20,
     seed: int = 42,
     exclude: list | None = None,
+    parallelism: int = 6,
 ) -> RiskModel:
     """I7 + I8 + I9 (+ D10, D11): evaluation by plan, then the final fit."""
     from .metrics import binary_metrics
@@ -307,14 +323,18 @@ def fit_risk_model(
     scored = None
     if plan == "kfold":
         fr = assign_folds(frame, "is_overspend", folds)
-        for k in range(folds):
-            m = pipe.fit(fr.filter(F.col("fold") != k))
-            p = m.transform(fr.filter(F.col("fold") == k))
-            scored = p if scored is None else scored.unionByName(p)
+        trains = [fr.filter(F.col("fold") != k) for k in range(folds)]
+        tests = [fr.filter(F.col("fold") == k) for k in range(folds)]
     elif plan == "split":
         fr = assign_folds(frame, "is_overspend", 10)
-        m = pipe.fit(fr.filter(F.col("fold") >= 3))
-        scored = m.transform(fr.filter(F.col("fold") < 3))
+        trains, tests = [fr.filter(F.col("fold") >= 3)], [fr.filter(F.col("fold") < 3)]
+    else:
+        trains, tests = [], []
+    fitted = fit_concurrently(pipe, trains + [frame], parallelism)
+    model = fitted[-1]
+    for m, t in zip(fitted, tests):
+        p = m.transform(t)
+        scored = p if scored is None else scored.unionByName(p)
     if scored is not None:
         s = scored.select(
             F.col("is_overspend").alias("label"),
@@ -329,7 +349,6 @@ def fit_risk_model(
     else:
         metrics = {"risk_accuracy": 0.0, "risk_f1": 0.0, "risk_precision": 0.0, "risk_recall": 0.0,
                    "risk_auc_roc": 0.0, **base}
-    model = pipe.fit(frame)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     importances = sorted(zip(feats, [round(float(x), 4) for x in imp]), key=lambda x: -x[1])
     return RiskModel(model, None, feats, metrics, importances)

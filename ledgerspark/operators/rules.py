@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .. import texts as TX
-from ..functions.scalars import cents, month_start, priority_rank, whole_number, whole_percent
+from ..functions.scalars import month_start, priority_rank, whole_number, whole_percent
 from .features import as_rollup, first_appearance, group_stats_on_rows, savings_position, three_month_rise
 
 RULE_COLUMNS = [

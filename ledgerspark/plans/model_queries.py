@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 from ..operators import forecast as FC
 from ..operators import models as M
 from ..operators import rules as J
@@ -163,4 +162,3 @@ def model_queries() -> dict:
     return {f.__name__: f for f in fns}
 
 
-__all__ = ["model_queries", "S"]

@@ -15,9 +15,7 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
-import os
 
-from pyspark.sql import functions as F
 
 from ..operators import summary as D
 from ..session import checkpoint_dir, get_spark

@@ -1,10 +1,6 @@
 """Sources, sinks and table maintenance (ops A1-A11)."""
 
 import os
-import time
-
-import pytest
-from pyspark.sql import functions as F
 
 from helpers import D, txn_frame, users_frame
 from ledgerspark import schemas as S

@@ -163,9 +163,16 @@ def whole_number(c) -> Column:
     return F.format_number(col(c), 0)
 
 
+def plain_number(c) -> Column:
+    """Whole number without separators, half-even like Python's ``.0f``
+    (``format_number`` rounds half-even on the binary value; ``format_string``
+    with ``%.0f`` would round half-up)."""
+    return F.regexp_replace(F.format_number(col(c), 0), ",", "")
+
+
 def whole_percent(c) -> Column:
-    """Ratio as a whole percent, e.g. 0.355 -> ``36%``."""
-    return F.concat(F.format_number(col(c) * 100, 0), F.lit("%"))
+    """Ratio as a whole percent like Python's ``.0%``, e.g. 0.355 -> ``36%``."""
+    return F.concat(plain_number(col(c) * 100), F.lit("%"))
 
 
 def feature_label(name) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .. import texts as TX
-from ..functions.scalars import contains_ci, feature_label, literal_map, whole_number, whole_percent
+from ..functions.scalars import contains_ci, feature_label, literal_map, plain_number, whole_number, whole_percent
 from . import features as FE
 
 IMPACT = "struct<feature:string,importance:double,direction:string,description:string>"
@@ -278,13 +278,13 @@ def explain(figures: DataFrame, risk_importances: list | None = None) -> DataFra
     has_rise = F.col("trend_first").isNotNull()
     tr_reason = F.when(
         has_rise,
-        F.format_string(TX.TREND_REASONING, whole_number("trend_change_pct"), whole_number("trend_first"),
+        F.format_string(TX.TREND_REASONING, plain_number("trend_change_pct"), whole_number("trend_first"),
                         whole_number("trend_last")),
     ).otherwise(F.lit(""))
     tr_factors = F.when(
         has_rise,
         F.array(
-            F.format_string(TX.TREND_CHANGE_FACTOR, whole_number("trend_change_pct")),
+            F.format_string(TX.TREND_CHANGE_FACTOR, plain_number("trend_change_pct")),
             F.format_string(TX.TREND_FIRST_FACTOR, whole_number("trend_first")),
             F.format_string(TX.TREND_LAST_FACTOR, whole_number("trend_last")),
         ),

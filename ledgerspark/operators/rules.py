@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from .. import texts as TX
-from ..functions.scalars import month_start, priority_rank, whole_number, whole_percent
+from ..functions.scalars import month_start, plain_number, priority_rank, whole_number, whole_percent
 from .features import as_rollup, first_appearance, group_stats_on_rows, savings_position, three_month_rise
 
 RULE_COLUMNS = [
@@ -271,7 +271,7 @@ def rule_rising_trend(txn: DataFrame) -> DataFrame:
     r = three_month_rise(txn).filter("rising")
     msg = F.format_string(
         TX.RISING_TREND,
-        whole_number("increase_pct"),
+        plain_number("increase_pct"),
     )
     return _rule(
         r, 6, "J6", F.lit(0), F.lit("warning"), F.lit("medium"), F.lit(0.75),

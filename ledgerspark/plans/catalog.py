@@ -489,3 +489,29 @@ def f7_top_three_recs(spark, d):
 
 
 _SQL_CHECKED += [b9_fill_feature_nulls, c1_monthly_join_ratios, f7_top_three_recs]
+
+
+# ----------------------------------------------------------------- messages
+
+def j_messages(spark, d):
+    """The recommendation messages of J1, J4a, J4b, J5, J6 as text."""
+    from . import jobs
+
+    L = txn_events(spark, d)
+    return jobs.recommendation_job(L.txn, L.users, L.as_of).select("user_id", "rule_id", "pos", "message")
+
+
+def j_messages_lineitem(spark, d):
+    """H14/H15 over the lineitem adapter."""
+    L = txn_lineitem(spark, d)
+    r = FE.daily_rollup(L.txn)
+    parts = [
+        J.rule_category_overspend(r, L.users, L.as_of),
+        J.rule_savings(FE.savings_position(r, L.users, L.as_of)),
+        J.rule_rising_trend(r),
+    ]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("user_id", "rule_id", "pos", "message")
+
+
+_SQL_CHECKED += [j_messages, j_messages_lineitem]

@@ -439,6 +439,7 @@ SELECT user_id, n_recommendations, n_high,
     q.update(store_sql())
     q.update(more_sql())
     q.update(model_branch_sql())
+    q.update(message_sql())
     return q
 
 
@@ -614,3 +615,51 @@ FROM d WHERE n_days < 8"""
 SELECT 'upload' AS batch_id, CAST(NULL AS VARCHAR) AS user_id, date, amount, category,
   NULLIF(merchant, '') AS merchant, CAST(NULL AS VARCHAR) AS description FROM txn"""
     return q
+
+
+def _tpl(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+def _num(x: str) -> str:
+    return f"format('{{:,.0f}}', {x})"
+
+
+def _plain(x: str) -> str:
+    return f"format('{{:.0f}}', {x})"
+
+
+def _pct(x: str) -> str:
+    return f"(format('{{:.0f}}', ({x}) * 100) || '%')"
+
+
+def _message_selects(with_anomaly: bool) -> list[str]:
+    parts = [
+        f"""SELECT user_id, 'J1' AS rule_id, CAST(pos AS BIGINT) AS pos,
+  printf({_tpl(TX.CATEGORY_OVERSPEND)}, lower(category), {_num('spent - monthly_income * threshold')},
+         {_pct('pct')}, {_pct('threshold')}) AS message FROM j WHERE pct > threshold""",
+        f"""SELECT user_id, 'J4a', CAST(0 AS BIGINT),
+  printf({_tpl(TX.INVEST)}, {_num('savings * CAST(0.5 AS DOUBLE)')}, {_pct('savings_rate')}, {_num('savings')})
+FROM sp WHERE savings_rate > CAST(0.2 AS DOUBLE)""",
+        f"""SELECT user_id, 'J4b', CAST(1 AS BIGINT),
+  printf({_tpl(TX.EMERGENCY_FUND)}, {_num('monthly_income * CAST(3.0 AS DOUBLE)')}, 3)
+FROM sp WHERE savings > 0 AND savings_rate > CAST(0.1 AS DOUBLE)""",
+        f"""SELECT user_id, 'J6', CAST(0 AS BIGINT), printf({_tpl(TX.RISING_TREND)}, {_plain('increase_pct')})
+FROM r WHERE rising""",
+    ]
+    if with_anomaly:
+        parts.append(
+            f"""SELECT user_id, 'J5', CAST(pos AS BIGINT),
+  printf({_tpl(TX.ANOMALY)}, lower(category), {_num('amount')}, strftime(date, '%Y-%m-%d'), {_num('cat_mean')})
+FROM j5""")
+    return parts
+
+
+def message_sql() -> dict[str, str]:
+    q = {}
+    q["j_messages"] = _rules_union(EV, EVENTS_AS_OF) + "\n" + "\nUNION ALL\n".join(_message_selects(True))
+    j1 = _j1(LI, LINEITEM_AS_OF).split("\nSELECT ", 1)[0]
+    sav = _savings("", LINEITEM_AS_OF).split("WITH ,", 1)[1]
+    rise = _j6_ctes("").split("WITH ,", 1)[1]
+    q["j_messages_lineitem"] = f"{j1},\n{sav},\n{rise}\n" + "\nUNION ALL\n".join(_message_selects(False))
+    return q

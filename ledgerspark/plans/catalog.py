@@ -515,3 +515,14 @@ def j_messages_lineitem(spark, d):
 
 
 _SQL_CHECKED += [j_messages, j_messages_lineitem]
+
+
+def k_reasoning(spark, d):
+    """K2-K8 reasoning texts (heuristic mode, reference dispatch)."""
+    from . import jobs
+
+    L = txn_events(spark, d)
+    return jobs.explanation_job(L.txn, L.users, L.as_of).select("user_id", "rec_index", "kind", "reasoning")
+
+
+_SQL_CHECKED += [k_reasoning]

@@ -440,6 +440,7 @@ SELECT user_id, n_recommendations, n_high,
     q.update(more_sql())
     q.update(model_branch_sql())
     q.update(message_sql())
+    q.update(reasoning_sql())
     return q
 
 
@@ -663,3 +664,23 @@ def message_sql() -> dict[str, str]:
     rise = _j6_ctes("").split("WITH ,", 1)[1]
     q["j_messages_lineitem"] = f"{j1},\n{sav},\n{rise}\n" + "\nUNION ALL\n".join(_message_selects(False))
     return q
+
+
+def reasoning_sql() -> dict[str, str]:
+    inc = "monthly_income"
+    reason = f"""CASE kind
+  WHEN 'risk' THEN printf({_tpl(TX.RISK_REASONING)}, {_pct('risk_probability')}, {_num(f'spend_share * {inc}')},
+       {_num(inc)}, CASE WHEN accelerating THEN {_tpl(TX.RISK_VELOCITY_CLAUSE)} ELSE '' END)
+  WHEN 'category' THEN printf({_tpl(TX.CATEGORY_REASONING)}, lower(category), {_pct('cat_share')}, {_pct('cat_threshold')},
+       {_num('cat_monthly_avg')}, CASE WHEN cat_trend = 'increasing' THEN {_tpl(TX.CATEGORY_TREND_CLAUSE)} ELSE '' END,
+       {_num('cat_reduction')})
+  WHEN 'forecast' THEN printf({_tpl(TX.FORECAST_REASONING)}, forecast_model, {_num('forecast_total')}, forecast_days,
+       CASE WHEN forecast_total > {inc} * CAST(0.8 AS DOUBLE) THEN {_tpl(TX.FORECAST_PRESSURE)}
+            ELSE {_tpl(TX.FORECAST_MANAGEABLE)} END)
+  WHEN 'savings' THEN printf({_tpl(TX.SAVINGS_REASONING)}, {_num('savings_monthly_avg')}, {_num('savings')},
+       {_pct('savings_rate')})
+  WHEN 'anomaly' THEN printf({_tpl(TX.ANOMALY_REASONING)}, COALESCE(category, 'this'))
+  WHEN 'trend' THEN CASE WHEN trend_first IS NOT NULL THEN printf({_tpl(TX.TREND_REASONING)}, {_plain('trend_change_pct')},
+       {_num('trend_first')}, {_num('trend_last')}) ELSE '' END
+  ELSE {_tpl(TX.DEFAULT_REASONING)} END"""
+    return {"k_reasoning": f"SELECT user_id, rec_index, kind, {reason} AS reasoning FROM ({_explain_figs()}) AS f"}

@@ -45,13 +45,18 @@ def get_spark(
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder must be configured (a shared file system).
     Only a local-mode session (tests, bench) gets a scratch folder of its own.
+    A Spark Connect session has no ``SparkContext``: the server's
+    ``spark.checkpoint.dir`` is used as configured.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: checkpoints are server-side
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():

@@ -116,4 +116,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     from ..session import checkpoint_dir
 
     base = checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("spark.checkpoint.dir is not set: no shared folder for written tables")
     return os.path.join(base, "tables", name)

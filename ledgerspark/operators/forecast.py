@@ -227,6 +227,28 @@ def seasonal_points(fm: ForecastModel, days: int = S.FORECAST_DEFAULT_DAYS) -> D
     )
 
 
+def seasonal_points_per_user(fm: ForecastModel, user_ids: DataFrame, days: int = S.FORECAST_DEFAULT_DAYS) -> DataFrame:
+    """I13 (seasonal) per user: the global model forecasts the global series,
+    so every user gets the same points, as in the reference [Q11]. The <= 60
+    points are attached as a literal array and exploded per user (no cross
+    join)."""
+    pts = seasonal_points(fm, days).orderBy("date").collect()  # bounded: 10..60 rows
+    arr = F.array(
+        *[
+            F.struct(
+                F.lit(p["date"]).alias("date"),
+                F.lit(float(p["predicted_amount"])).alias("predicted_amount"),
+                F.lit(float(p["lower_bound"])).alias("lower_bound"),
+                F.lit(float(p["upper_bound"])).alias("upper_bound"),
+            )
+            for p in pts
+        ]
+    )
+    return user_ids.select("user_id", F.lit("seasonal").alias("model_used"), F.explode(arr).alias("p")).select(
+        "user_id", "model_used", "p.*"
+    )
+
+
 def fit_forecaster(txn: DataFrame, model: str = "seasonal", **kw) -> ForecastModel:
     """Explicit model choice; no silent fallback."""
     if model == "seasonal":

@@ -88,6 +88,9 @@ def model_outputs(txn: DataFrame, users: DataFrame, models: Models | None, days:
     if models and models.forecast and models.forecast.kind == "ridge":
         pts = FC.forecast_points(models.forecast, txn, users, days)
         fc = FC.forecast_summary(pts, models.forecast, days).join(users.select("user_id", "monthly_income"), "user_id")
+    elif models and models.forecast and models.forecast.kind == "seasonal":
+        pts = FC.seasonal_points_per_user(models.forecast, txn.select("user_id").distinct(), days)
+        fc = FC.forecast_summary(pts, models.forecast, days).join(users.select("user_id", "monthly_income"), "user_id")
     else:
         pts = None
         fc = h_fc.withColumns({"model_used": F.lit("unknown"), "rmse": F.lit(None).cast("double")})

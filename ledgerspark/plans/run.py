@@ -37,9 +37,10 @@ def load(spark, args) -> Ledger:
 
 
 def run(spark, led: Ledger, out: str, num_trees: int = 20, risk_iters: int = 20, folds: int = 5,
-        forecast_days: int = 30) -> dict:
+        forecast_days: int = 30, forecast_model: str = "ridge") -> dict:
     checkpoint_dir(spark)
-    models = jobs.train_all(led.txn, led.users, num_trees=num_trees, risk_iters=risk_iters, folds=folds)
+    models = jobs.train_all(led.txn, led.users, num_trees=num_trees, risk_iters=risk_iters, folds=folds,
+                            forecast_model=forecast_model)
     IO.metrics_sink(spark, models.metrics, f"{out}/metrics")
     IO.save_models(
         f"{out}/models",
@@ -72,10 +73,11 @@ def main(argv=None) -> None:
     ap.add_argument("--risk-iters", type=int, default=20)
     ap.add_argument("--folds", type=int, default=5)
     ap.add_argument("--forecast-days", type=int, default=30)
+    ap.add_argument("--forecast-model", choices=["ridge", "seasonal"], default="ridge")
     args = ap.parse_args(argv)
     spark = get_spark(app="ledgerspark-batch")
     metrics = run(spark, load(spark, args), args.out.rstrip("/"), args.trees, args.risk_iters, args.folds,
-                  args.forecast_days)
+                  args.forecast_days, args.forecast_model)
     print(json.dumps(metrics, default=str))
 
 

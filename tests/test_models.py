@@ -207,3 +207,15 @@ def test_batch_job_writes_every_output(spark, sf_small, tmp_path):
     for name in ["predictions", "recommendations", "explanations", "month_summary", "monthly_summaries"]:
         assert spark.read.parquet(f"{out}/{name}").count() > 0
     assert spark.read.json(f"{out}/metrics").count() == 1
+
+
+def test_seasonal_forecast_in_reports(spark, sf_small):
+    L = txn_lineitem(spark, sf_small)
+    m = jobs.Models(forecast=FC.fit_forecaster(L.txn, model="seasonal"))
+    risk, fc, pts = jobs.model_outputs(L.txn, L.users, m, 14)
+    per_user = pts.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("predicted_amount").alias("t"))
+    assert per_user.filter("n != 14").count() == 0
+    assert per_user.select("t").distinct().count() == 1  # the same global forecast for every user
+    assert fc.filter(F.col("model_used") != "seasonal").count() == 0
+    with pytest.raises(ValueError):
+        FC.fit_forecaster(L.txn, model="prophet")

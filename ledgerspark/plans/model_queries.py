@@ -77,6 +77,14 @@ def i12_seasonal_forecast(spark, d):
     return FC.seasonal_points(fm)
 
 
+def i12_i15_seasonal_per_user(spark, d):
+    """I15 (explicit model choice) + I12: the global seasonal forecast given
+    to every user, as the reference does [Q11]."""
+    L = txn_lineitem(spark, d)
+    fm = FC.fit_forecaster(L.txn, model="seasonal")
+    return FC.seasonal_points_per_user(fm, L.txn.select("user_id").distinct())
+
+
 def j2_j3_model_rules(spark, d):
     L = txn_lineitem(spark, d)
     models = jobs.Models(risk=M.fit_risk_model(L.txn, L.users, max_iter=RISK_ITERS), forecast=FC.fit_ridge(L.txn))
@@ -155,7 +163,7 @@ def model_queries() -> dict:
     fns = [
         i3_i4_category_predict, i5_category_cv_metrics, f6_last_ten_predictions, i7_i10_risk_score,
         i6_f8_risk_importances, f4_global_importances, i11_i13_ridge_forecast, i14_insufficient_history,
-        i12_seasonal_forecast, j2_j3_model_rules, j7_recommendations_models, j7_recommendation_records,
+        i12_seasonal_forecast, i12_i15_seasonal_per_user, j2_j3_model_rules, j7_recommendations_models, j7_recommendation_records,
         k2_k8_explanations, k2_k8_explanations_intent, i16_train_all, k10_explain_report, i19_prediction_report,
         d1_summary_records, a1_a9_csv_roundtrip, c7_rec_with_explanation,
     ]

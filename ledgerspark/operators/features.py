@@ -234,7 +234,8 @@ def category_trend(txn: DataFrame) -> DataFrame:
 
 def category_stats(txn: DataFrame, users: DataFrame) -> DataFrame:
     """Per user and category: total, total / all distinct months of the
-    user, share of income, trend (E9)."""
+    user, share of income, trend (E9). Unrounded; the reference rounds the
+    average to 2 and the share to 4 places for its texts."""
     r = as_rollup(txn)
     per_cat = r.groupBy("user_id", "category").agg(F.sum("cents").alias("cents"))
     months = (
@@ -260,7 +261,8 @@ def category_stats(txn: DataFrame, users: DataFrame) -> DataFrame:
 def savings_position(txn: DataFrame, users: DataFrame, as_of: dt.date | None, days: int = 90) -> DataFrame:
     """D8 + D15 (+ B4): monthly average over the rows of the last ``days``
     days (all rows when there are none, or when ``as_of`` is None), savings
-    and savings rate. One aggregate pass, conditional sums."""
+    and savings rate. Conditional sums over the daily rollup, aggregated to
+    (user, month) and then to the user."""
     ym = month_start("date")
     if as_of is None:
         recent = F.lit(True)

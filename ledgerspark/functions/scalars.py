@@ -105,7 +105,7 @@ def category_by_index(idx) -> Column:
 # ---------------------------------------------------------------- bands ----
 
 def risk_level(prob) -> Column:
-    """Ladder tried from the highest threshold down, ``>=``."""
+    """H19 + F9: ladder tried from the highest threshold down, ``>=``."""
     p = col(prob)
     return reduce(
         lambda acc, lv: acc.when(p >= F.lit(lv[1]), F.lit(lv[0])),

@@ -80,7 +80,7 @@ def fit_merchant_index(frame: DataFrame, col: str = "merchant") -> MerchantIndex
 
 
 def apply_merchant_index(index: MerchantIndex, df: DataFrame, col: str = "merchant") -> DataFrame:
-    """Q7: a join to the label table; merchants not seen in training take
+    """C5 + Q7: a join to the label table; merchants not seen in training take
     ``Unknown``'s id when ``Unknown`` was seen, otherwise the id n
     (``Unknown`` appended after the fitted labels). The join is an equi-join
     on the merchant (broadcast when AQE measures the table small; a hot

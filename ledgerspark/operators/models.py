@@ -97,13 +97,32 @@ def apply_merchant_index(index: MerchantIndex, df: DataFrame, col: str = "mercha
 
 # --------------------------------------------------------------- I5 --------
 
-def assign_folds(df: DataFrame, label: str, k: int, id_col: str = "id", seed: int = 42) -> DataFrame:
-    """fold = seeded hash of the row id modulo k. Every label's rows are
-    spread evenly over the folds in expectation (stratified by construction
-    of the hash), with no window, sort or shuffle: a per-label window would
-    put all rows of a label into one task. ``label`` is kept for the
-    signature of a stratified split."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(k)).cast("int"))
+def assign_folds(df: DataFrame, label: str, k: int, id_col: str = "id", seed: int = 42,
+                 exact: bool = False) -> DataFrame:
+    """Fold of every row, seeded by a hash of the row id (no ``rand``).
+
+    ``exact=False``: fold = hash modulo k. Every label is spread evenly in
+    expectation, with no sort or shuffle (used for the row-level category
+    model). ``exact=True``: shuffled stratified folds as in the reference.
+    Rows are ordered by (label, hash), numbered by the distributed running
+    count, and dealt round-robin within each label, so fold sizes of a
+    label differ by at most one (used for the smaller user-month risk
+    frame). Neither form uses a window over a whole label."""
+    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    if not exact:
+        return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
+    from .metrics import count_before
+
+    x = df.withColumn("_ord", F.struct(F.col(label).alias("l"), h.alias("h"), F.col(id_col).alias("i"))).withColumn(
+        "_one", F.lit(1)
+    )
+    ranked = count_before(x, "_ord", "_one")
+    starts = ranked.groupBy(label).agg(F.min("before").alias("_start"))  # one row per label
+    return (
+        ranked.join(F.broadcast(starts), label)
+        .withColumn("fold", ((F.col("before") - F.col("_start")) % F.lit(k)).cast("int"))
+        .drop("_ord", "_one", "before", "_start")
+    )
 
 
 def fit_concurrently(pipe: Pipeline, frames: list, parallelism: int) -> list:
@@ -322,11 +341,11 @@ def fit_risk_model(
     pipe = _risk_pipeline(feats, max_iter, seed)
     scored = None
     if plan == "kfold":
-        fr = assign_folds(frame, "is_overspend", folds)
+        fr = assign_folds(frame, "is_overspend", folds, exact=True)
         trains = [fr.filter(F.col("fold") != k) for k in range(folds)]
         tests = [fr.filter(F.col("fold") == k) for k in range(folds)]
     elif plan == "split":
-        fr = assign_folds(frame, "is_overspend", 10)
+        fr = assign_folds(frame, "is_overspend", 10, exact=True)
         trains, tests = [fr.filter(F.col("fold") >= 3)], [fr.filter(F.col("fold") < 3)]
     else:
         trains, tests = [], []

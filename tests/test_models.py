@@ -219,3 +219,15 @@ def test_seasonal_forecast_in_reports(spark, sf_small):
     assert fc.filter(F.col("model_used") != "seasonal").count() == 0
     with pytest.raises(ValueError):
         FC.fit_forecaster(L.txn, model="prophet")
+
+
+def test_exact_stratified_folds(spark):
+    df = spark.range(0, 103).select(F.col("id"), (F.col("id") % 10 == 0).cast("int").alias("y"))
+    f = MD.assign_folds(df, "y", 5, exact=True)
+    sizes = {(r.y, r.fold): r["count"] for r in f.groupBy("y", "fold").count().collect()}
+    for y in (0, 1):
+        per = [sizes.get((y, k), 0) for k in range(5)]
+        assert max(per) - min(per) <= 1
+    assert f.count() == 103 and f.select("id").distinct().count() == 103
+    again = {r.id: r.fold for r in MD.assign_folds(df, "y", 5, exact=True).collect()}
+    assert again == {r.id: r.fold for r in f.collect()}  # deterministic

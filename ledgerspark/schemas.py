@@ -102,6 +102,11 @@ FORECAST_MIN_DAYS = 10
 FORECAST_MAX_DAYS = 60
 FORECAST_DEFAULT_DAYS = 30
 RIDGE_BAND = 0.3
+# Seasonal model: the reference's prior scales and its extra monthly term.
+CHANGEPOINT_PRIOR_SCALE = 0.05
+SEASONALITY_PRIOR_SCALE = 10.0
+MONTHLY_PERIOD_DAYS = 30.5
+MONTHLY_FOURIER_ORDER = 5
 
 LIST_DEFAULT_LIMIT = 100
 LIST_MAX_LIMIT = 500

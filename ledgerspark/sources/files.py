@@ -12,25 +12,34 @@ from .. import schemas as S
 from ..functions.scalars import parse_amount, parse_date
 
 
+CSV_REQUIRED = ["date", "amount", "category"]
+CSV_OPTIONAL = ["merchant", "description"]
+
+
 def csv_source(spark: SparkSession, path: str, user_id: int | None = None, batch_id: str | None = None) -> DataFrame:
-    """A1: a transaction CSV with header ``date, amount, category[,
-    merchant, description]``, read with an explicit all-string schema (no
-    inference pass over the data), blank lines skipped. Returns the raw
-    upload shape (all strings) for A2; empty merchant/description -> NULL."""
-    raw = (
-        spark.read.option("header", True)
-        .option("mode", "PERMISSIVE")
-        .schema(S.CSV_TRANSACTIONS)
-        .csv(path)
-    )
+    """A1: a transaction CSV with a header naming ``date, amount, category``
+    and optionally ``merchant, description``, in any order. Columns are
+    matched by header name (as the upload does), every value is read as a
+    string (no inference pass over the data), blank lines are skipped, a
+    missing optional column or an empty value is NULL. Returns the raw
+    upload shape for A2; a missing required column is an error."""
+    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+    names = {c.strip().lower(): c for c in raw.columns}
+    missing = [c for c in CSV_REQUIRED if c not in names]
+    if missing:
+        raise ValueError(f"CSV is missing required columns: {missing}")
+
+    def pick(name):
+        return F.col(f"`{names[name]}`").cast("string") if name in names else F.lit(None).cast("string")
+
     return raw.select(
         (F.lit(batch_id) if batch_id is not None else F.input_file_name()).cast("string").alias("batch_id"),
         F.lit(None if user_id is None else str(user_id)).cast("string").alias("user_id"),
-        F.col("date"),
-        F.col("amount"),
-        F.col("category"),
-        F.nullif(F.col("merchant"), F.lit("")).alias("merchant"),
-        F.nullif(F.col("description"), F.lit("")).alias("description"),
+        pick("date").alias("date"),
+        pick("amount").alias("amount"),
+        pick("category").alias("category"),
+        F.nullif(pick("merchant"), F.lit("")).alias("merchant"),
+        F.nullif(pick("description"), F.lit("")).alias("description"),
     )
 
 

@@ -135,3 +135,22 @@ def test_streaming_ingest(spark, tmp_dir):
     t = spark.read.parquet(table)
     assert t.count() == 2
     assert spark.read.parquet(os.path.join(tmp_dir, "rej")).count() == 1
+
+
+def test_csv_columns_by_header_name(spark, tmp_dir):
+    import pytest
+
+    path = os.path.join(tmp_dir, "up.csv")
+    with open(path, "w") as f:
+        f.write("category,amount,date\n")
+        f.write("Food,12.5,2025-06-01\n")
+        f.write("\n")
+        f.write("Rent,100,2025-06-02\n")
+    rows = IO.typed_csv(IO.csv_source(spark, path, batch_id="b")).orderBy("date").collect()
+    assert [(r.date, r.amount, r.category, r.merchant) for r in rows] == [
+        (D("2025-06-01"), 12.5, "Food", None), (D("2025-06-02"), 100.0, "Rent", None)]
+    bad = os.path.join(tmp_dir, "bad.csv")
+    with open(bad, "w") as f:
+        f.write("date,amount\n2025-06-01,1\n")
+    with pytest.raises(ValueError):
+        IO.csv_source(spark, bad)

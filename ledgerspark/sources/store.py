@@ -22,7 +22,7 @@ from ..functions.scalars import month_start, parse_amount, parse_date
 def validate_transactions(raw: DataFrame, as_of: dt.date) -> DataFrame:
     """A2: per row, the list of broken rules (empty when valid):
     ``date`` (missing or unparsable), ``future_date`` (after ``as_of``),
-    ``amount`` (missing, unparsable or <= 0), ``category`` (not one of the
+    ``amount`` (missing, unparsable, NaN or <= 0), ``category`` (not one of the
     16), ``merchant_length`` (> 255), ``description_length`` (> 500)."""
     d = parse_date("date")
     a = parse_amount("amount")
@@ -30,7 +30,8 @@ def validate_transactions(raw: DataFrame, as_of: dt.date) -> DataFrame:
         F.array(
             F.when(d.isNull(), F.lit("date")),
             F.when(d > F.lit(as_of), F.lit("future_date")),
-            F.when(a.isNull() | (a <= 0), F.lit("amount")),
+            # NaN sorts above every number in Spark, so it is rejected explicitly
+            F.when(a.isNull() | F.isnan(a) | (a <= 0), F.lit("amount")),
             F.when(~F.coalesce(F.col("category").isin(S.CATEGORIES), F.lit(False)), F.lit("category")),
             F.when(F.char_length("merchant") > S.MERCHANT_MAX_CHARS, F.lit("merchant_length")),
             F.when(F.char_length("description") > S.DESCRIPTION_MAX_CHARS, F.lit("description_length")),

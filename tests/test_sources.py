@@ -26,6 +26,7 @@ def test_validation_rules(spark):
         ("b6", "1", "2025-06-01", "1", "Food", "m" * 256, None),  # merchant too long
         ("b7", "1", "2025-06-01", "1", "Food", None, "d" * 501),  # description too long
         ("b8", "1", "2025-06-01", "1", "Food", "<b>tag</b>", "<i>x</i>"),  # markup stays text
+        ("b9", "1", "2025-06-01", "NaN", "Food", None, None),  # not a number either
     ]
     v = {(r.batch_id, r.date): r for r in ST.validate_transactions(_raw(spark, rows), AS_OF).collect()}
     assert v[("b1", "2025-06-01")].valid and v[("b1", "2025-07-01")].errors == ["future_date"]
@@ -34,6 +35,7 @@ def test_validation_rules(spark):
     assert v[("b6", "2025-06-01")].errors == ["merchant_length"]
     assert v[("b7", "2025-06-01")].errors == ["description_length"]
     assert v[("b8", "2025-06-01")].valid
+    assert v[("b9", "2025-06-01")].errors == ["amount"]
 
 
 def test_batches_are_all_or_nothing_and_bounded(spark):

@@ -526,3 +526,17 @@ def k_reasoning(spark, d):
 
 
 _SQL_CHECKED += [k_reasoning]
+
+
+def c7_rec_with_explanation(spark, d):
+    """Recommendation n paired with explanation n (heuristic mode)."""
+    from ..operators import explain as K
+    from . import jobs
+
+    L = txn_events(spark, d)
+    recs = jobs.recommendation_job(L.txn, L.users, L.as_of)
+    paired = K.pair_with_recommendations(recs, jobs.explanation_job(L.txn, L.users, L.as_of))
+    return paired.select("user_id", "rec_index", "rule_id", "priority", "message", "kind", "reasoning")
+
+
+_SQL_CHECKED += [c7_rec_with_explanation]

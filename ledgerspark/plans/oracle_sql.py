@@ -441,6 +441,7 @@ SELECT user_id, n_recommendations, n_high,
     q.update(model_branch_sql())
     q.update(message_sql())
     q.update(reasoning_sql())
+    q.update(pairing_sql())
     return q
 
 
@@ -684,3 +685,13 @@ def reasoning_sql() -> dict[str, str]:
        {_num('trend_first')}, {_num('trend_last')}) ELSE '' END
   ELSE {_tpl(TX.DEFAULT_REASONING)} END"""
     return {"k_reasoning": f"SELECT user_id, rec_index, kind, {reason} AS reasoning FROM ({_explain_figs()}) AS f"}
+
+
+def pairing_sql() -> dict[str, str]:
+    recs = _rules_union(EV, EVENTS_AS_OF) + ",\nmsg AS (\n" + "\nUNION ALL\n".join(_message_selects(True)) + """
+)
+SELECT ranked.user_id, ranked.rec_index, ranked.rule_id, ranked.priority, msg.message
+FROM ranked JOIN msg ON ranked.user_id = msg.user_id AND ranked.rule_id = msg.rule_id AND ranked.pos = msg.pos"""
+    reasons = reasoning_sql()["k_reasoning"]
+    return {"c7_rec_with_explanation": f"""SELECT a.user_id, a.rec_index, a.rule_id, a.priority, a.message, b.kind, b.reasoning
+FROM ({recs}) AS a LEFT JOIN ({reasons}) AS b ON a.user_id = b.user_id AND a.rec_index = b.rec_index"""}

@@ -330,15 +330,17 @@ def group_stats_on_rows(txn: DataFrame) -> DataFrame:
     """Category mean, sample std and count beside each row.
 
     Computed as a grouped aggregate joined back on (user, category) instead
-    of a window over raw rows: the aggregate is partial/final (skew-safe) and
-    the join back is a sort-merge join whose skewed partitions AQE splits.
+    of a window over raw rows: the aggregate is partial/final (skew-safe),
+    and the join back salts hot (user, category) groups (``skew.join_back``).
     """
+    from .skew import join_back
+
     stats = txn.groupBy("user_id", "category").agg(
         (F.sum(cents("amount")) / F.lit(100.0) / F.count(F.lit(1))).alias("cat_mean"),
         F.stddev_samp("amount").alias("cat_std"),
         F.count(F.lit(1)).alias("cat_count"),
     )
-    return txn.join(stats, ["user_id", "category"])
+    return join_back(txn, stats, ["user_id", "category"], "cat_count")
 
 
 def first_appearance(txn: DataFrame) -> DataFrame:

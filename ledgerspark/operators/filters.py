@@ -3,8 +3,9 @@
 Every filter is a plain column predicate on the fact table, so Catalyst
 pushes it into the Parquet scan (``PushedFilters``) and, on a table
 partitioned by month, prunes partitions. Per-user fallbacks (B3, B4) are
-decided on a per-user aggregate joined back, never by a window over raw
-rows: a user holding a third of all rows would otherwise land in one task.
+decided on a per-user aggregate joined back with hot users salted
+(``skew.join_back``), never by a window over raw rows: a user holding a
+third of all rows would otherwise land in one task.
 """
 
 from __future__ import annotations
@@ -54,22 +55,33 @@ def by_month(txn: DataFrame, year: int, month: int) -> DataFrame:
 def current_or_latest_month(txn: DataFrame, as_of: dt.date) -> DataFrame:
     """Per user, rows of ``as_of``'s month; for users without any, rows of
     their latest month with data."""
+    from .skew import join_back
+
     ym = month_start("date")
     as_of_ym = F.trunc(F.lit(as_of), "MM")
     chosen = txn.groupBy("user_id").agg(
-        F.coalesce(F.max(F.when(ym == as_of_ym, ym)), F.max(ym)).alias("chosen_month")
+        F.coalesce(F.max(F.when(ym == as_of_ym, ym)), F.max(ym)).alias("chosen_month"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    return (
+        join_back(txn, chosen, ["user_id"], "_rows")
+        .filter(month_start("date") == F.col("chosen_month"))
+        .drop("_rows")
     )
-    return txn.join(chosen, "user_id").filter(month_start("date") == F.col("chosen_month"))
 
 
 def recent_or_all(txn: DataFrame, as_of: dt.date, days: int = 90) -> DataFrame:
     """Rows of the last ``days`` days; users with none keep all rows."""
+    from .skew import join_back
+
     recent = after_days_before("date", as_of, days)
-    flags = txn.groupBy("user_id").agg(F.max(recent.cast("int")).alias("has_recent"))
+    flags = txn.groupBy("user_id").agg(
+        F.max(recent.cast("int")).alias("has_recent"), F.count(F.lit(1)).alias("_rows")
+    )
     return (
-        txn.join(flags, "user_id")
+        join_back(txn, flags, ["user_id"], "_rows")
         .filter((F.col("has_recent") == 0) | recent)
-        .drop("has_recent")
+        .drop("has_recent", "_rows")
     )
 
 

@@ -2,7 +2,8 @@
 
 Validation is a set of rule columns turned into an array of error codes;
 batch acceptance is a grouped aggregate per ``batch_id`` (all-or-nothing,
-1..1000 rows) joined back, so a huge batch never sits in one task; the
+1..1000 rows) joined back with hot batches salted (``skew.join_back``), so
+a huge batch never sits in one task; the
 accepted rows are appended to Parquet partitioned by ``year_month`` (Spark's
 commit protocol makes a retried task safe). Removal and replacement are
 anti-joins, which keep the work distributed and need no row-level delete.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import month_start, parse_amount, parse_date
+from ..operators.skew import join_back
 
 
 def validate_transactions(raw: DataFrame, as_of: dt.date) -> DataFrame:
@@ -57,7 +59,7 @@ def accept_batches(raw: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame
         & (F.col("batch_rows") >= S.BATCH_MIN_ROWS)
         & (F.col("batch_rows") <= S.BATCH_MAX_ROWS)
     )
-    j = v.join(per_batch.withColumn("accepted", ok), "batch_id")
+    j = join_back(v, per_batch.withColumn("accepted", ok), ["batch_id"], "batch_rows")
     accepted = j.filter("accepted").select(
         "batch_id",
         F.col("user_id").cast("long").alias("user_id"),

@@ -52,3 +52,13 @@ def join_back(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_buckets"), F.lit(1)) - F.lit(1)))
     ).drop("_buckets")
     return salted_rows.join(salted_agg, [*keys, "_salt"], how).drop("_salt")
+
+
+def anti_join(rows: DataFrame, keys_df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
+    """``rows`` without the keys listed in ``keys_df`` (left anti join), with
+    a hot key's rows spread over several tasks: the keys to drop carry the
+    number of rows they have in ``rows`` (a map-side combined count), and the
+    anti join runs through ``join_back``."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    marked = counts.join(keys_df.select(*keys).distinct(), keys, "left_semi")
+    return join_back(rows, marked, keys, "_rows", how="left_anti", hot_rows=hot_rows)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import month_start, parse_amount, parse_date
-from ..operators.skew import join_back
+from ..operators.skew import anti_join, join_back
 
 
 def validate_transactions(raw: DataFrame, as_of: dt.date) -> DataFrame:
@@ -137,14 +137,15 @@ def append_one(spark, user_id: int, record: dict, table_path: str, as_of: dt.dat
 def replace_user_rows(txn: DataFrame, new_rows: DataFrame) -> DataFrame:
     """Drop every existing row of the users present in ``new_rows`` and
     add the new rows."""
-    replaced = new_rows.select("user_id").distinct()
-    return txn.join(replaced, "user_id", "left_anti").unionByName(new_rows, allowMissingColumns=True)
+    kept = anti_join(txn, new_rows.select("user_id"), ["user_id"])
+    return kept.unionByName(new_rows, allowMissingColumns=True)
 
 
 def purge_users(users: DataFrame, txn: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Removing users removes their transactions (cascade)."""
     ids = removed.select("user_id").distinct()
-    return users.join(ids, "user_id", "left_anti"), txn.join(ids, "user_id", "left_anti")
+    # users: one row per user; transactions: a hot user's rows are salted
+    return users.join(ids, "user_id", "left_anti"), anti_join(txn, ids, ["user_id"])
 
 
 def register_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -96,3 +96,14 @@ def test_anomaly_rule_on_hot_key(spark, skew_conf):
     )
     hits = J.rule_anomaly(txn.unionByName(spike)).filter("user_id = 1").collect()
     assert [h.amount for h in hits] == [100000.0]
+
+
+def test_salted_anti_join(spark):
+    from ledgerspark.operators.skew import anti_join
+
+    rows = spark.range(0, 3000).select(F.when(F.col("id") < 1000, 1).otherwise(F.col("id") % 7 + 2).alias("user_id"),
+                                       F.col("id"))
+    drop = spark.createDataFrame([(1,), (3,), (99,)], "user_id long")
+    got = anti_join(rows, drop, ["user_id"], hot_rows=100)
+    exp = rows.join(drop, "user_id", "left_anti")
+    assert got.count() == exp.count() and got.exceptAll(exp.select(*got.columns)).count() == 0

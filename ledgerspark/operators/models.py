@@ -229,6 +229,17 @@ def predict_category(cm: CategoryModel, txn: DataFrame) -> DataFrame:
     )
 
 
+def with_predicted_category(cm: CategoryModel, txn: DataFrame) -> DataFrame:
+    """Q12: the transactions with ``predicted_category`` filled by the
+    category model (one pass: a transform, no join back)."""
+    f = apply_merchant_index(cm.merchant_index, FE.transaction_features(txn)).withColumnRenamed(
+        "predicted_category", "_stored_prediction"
+    )
+    p = IndexToString(inputCol="prediction", outputCol="predicted_category",
+                      labels=cm.pipeline.stages[0].labels).transform(cm.pipeline.transform(f))
+    return p.select(*[c for c in txn.columns])
+
+
 def last_ten_predictions(pred: DataFrame, n: int = 10) -> DataFrame:
     """per user, the predictions of the last n rows by (date, id),
     numbered 1..n in date order (position), with the real row id too [Q8]."""

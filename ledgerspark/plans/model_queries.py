@@ -24,6 +24,13 @@ def i3_i4_category_predict(spark, d):
     return M.predict_category(cm, t).select("id", "user_id", "predicted_category", F.round("confidence", 4).alias("confidence"))
 
 
+def i4_with_predicted_category(spark, d):
+    """Q12: the transactions with ``predicted_category`` written by I4."""
+    t = txn_events(spark, d).txn
+    cm = M.fit_category_model(t, num_trees=TREES, max_depth=5)
+    return M.with_predicted_category(cm, t).drop("created_at")
+
+
 def i5_category_cv_metrics(spark, d):
     t = txn_events(spark, d).txn
     cm = M.fit_category_model(t, num_trees=5, max_depth=4, folds=3)
@@ -152,7 +159,7 @@ def a1_a9_csv_roundtrip(spark, d):
 
 def model_queries() -> dict:
     fns = [
-        i3_i4_category_predict, i5_category_cv_metrics, f6_last_ten_predictions, i7_i10_risk_score,
+        i3_i4_category_predict, i4_with_predicted_category, i5_category_cv_metrics, f6_last_ten_predictions, i7_i10_risk_score,
         i6_f8_risk_importances, f4_global_importances, i11_i13_ridge_forecast, i14_insufficient_history,
         i12_seasonal_forecast, i12_i15_seasonal_per_user, j2_j3_model_rules, j7_recommendations_models, j7_recommendation_records,
         k2_k8_explanations, k2_k8_explanations_intent, i16_train_all, k10_explain_report, i19_prediction_report,

@@ -231,3 +231,13 @@ def test_exact_stratified_folds(spark):
     assert f.count() == 103 and f.select("id").distinct().count() == 103
     again = {r.id: r.fold for r in MD.assign_folds(df, "y", 5, exact=True).collect()}
     assert again == {r.id: r.fold for r in f.collect()}  # deterministic
+
+
+def test_predicted_category_is_written(spark, sf_small):
+    t = txn_events(spark, sf_small).txn
+    cm = MD.fit_category_model(t, num_trees=2, max_depth=3)
+    filled = MD.with_predicted_category(cm, t)
+    assert filled.columns == t.columns and filled.count() == t.count()
+    assert filled.filter(F.col("predicted_category").isNull()).count() == 0
+    cats = {r[0] for r in filled.select("predicted_category").distinct().collect()}
+    assert cats <= {r[0] for r in t.select("category").distinct().collect()}

@@ -135,7 +135,8 @@ def fit_concurrently(pipe: Pipeline, frames: list, parallelism: int) -> list:
     if parallelism <= 1 or len(frames) <= 1:
         return [pipe.fit(f) for f in frames]
     with ThreadPoolExecutor(max_workers=min(parallelism, len(frames))) as pool:
-        return list(pool.map(pipe.fit, frames))
+        # one copy per fit: each thread gets its own JVM estimator objects
+        return list(pool.map(lambda f: pipe.copy().fit(f), frames))
 
 
 # ---------------------------------------------------------- I3 / I4 --------

@@ -540,3 +540,24 @@ def c7_rec_with_explanation(spark, d):
 
 
 _SQL_CHECKED += [c7_rec_with_explanation]
+
+
+def a8_register_users(spark, d):
+    """A8 + C6: every customer registers as a user next to the users already
+    known from the events table; new ids continue after the largest one in
+    customer-key order."""
+    from ..sources.store import register_users
+
+    existing = txn_events(spark, d).users
+    batch = spark.read.parquet(f"{d.rstrip('/')}/customer.parquet").select(
+        F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.com")).alias("email"),
+        F.col("c_name").alias("full_name"),
+        (F.lit(60000.0) + F.lit(3.0) * F.col("c_acctbal")).alias("monthly_income"),
+        F.lit(None).cast("string").alias("currency"),
+        F.col("c_custkey").alias("seq"),
+    )
+    users, _ = register_users(existing, batch)
+    return users.select("user_id", "email", "full_name", "monthly_income", "currency")
+
+
+_SQL_CHECKED += [a8_register_users]

@@ -442,6 +442,7 @@ SELECT user_id, n_recommendations, n_high,
     q.update(message_sql())
     q.update(reasoning_sql())
     q.update(pairing_sql())
+    q.update(registration_sql())
     return q
 
 
@@ -695,3 +696,22 @@ FROM ranked JOIN msg ON ranked.user_id = msg.user_id AND ranked.rule_id = msg.ru
     reasons = reasoning_sql()["k_reasoning"]
     return {"c7_rec_with_explanation": f"""SELECT a.user_id, a.rec_index, a.rule_id, a.priority, a.message, b.kind, b.reasoning
 FROM ({recs}) AS a LEFT JOIN ({reasons}) AS b ON a.user_id = b.user_id AND a.rec_index = b.rec_index"""}
+
+
+def registration_sql() -> dict[str, str]:
+    return {"a8_register_users": f"""WITH
+ex AS (SELECT DISTINCT user_id, 'user' || CAST(user_id AS VARCHAR) || '@example.com' AS email,
+         CAST(NULL AS VARCHAR) AS full_name, CAST(3000 + 10 * (user_id % 150) AS DOUBLE) AS monthly_income,
+         'INR' AS currency
+       FROM events WHERE CAST(ts AS DATE) <= DATE '{EVENTS_AS_OF}'),
+b AS (SELECT lower(replace(c_name, '#', '.')) || '@example.com' AS email, c_name AS full_name,
+        CAST(60000.0 AS DOUBLE) + CAST(3.0 AS DOUBLE) * c_acctbal AS monthly_income, c_custkey AS seq FROM customer),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY seq) AS k FROM b)
+           WHERE k = 1),
+fresh AS (SELECT * FROM firsts WHERE lower(trim(email)) NOT IN (SELECT lower(trim(email)) FROM ex)
+          AND monthly_income > 0),
+base AS (SELECT COALESCE(MAX(user_id), 0) AS m FROM ex)
+SELECT user_id, email, full_name, monthly_income, currency FROM ex
+UNION ALL
+SELECT CAST(base.m + row_number() OVER (ORDER BY seq) AS BIGINT), email, full_name, monthly_income, 'INR'
+FROM fresh, base"""}

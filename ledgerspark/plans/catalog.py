@@ -561,3 +561,16 @@ def a8_register_users(spark, d):
 
 
 _SQL_CHECKED += [a8_register_users]
+
+
+def a6_replace_user_rows(spark, d):
+    """Users who appear in the events table have their lineitem-derived
+    rows replaced by their events rows (delete, then load)."""
+    from ..sources.store import replace_user_rows
+
+    old = txn_lineitem(spark, d).txn.drop("id")
+    new = txn_events(spark, d).txn.drop("id")
+    return replace_user_rows(old, new).select("user_id", "date", "amount", "category", "merchant")
+
+
+_SQL_CHECKED += [a6_replace_user_rows]

@@ -443,6 +443,7 @@ SELECT user_id, n_recommendations, n_high,
     q.update(reasoning_sql())
     q.update(pairing_sql())
     q.update(registration_sql())
+    q.update(replace_sql())
     return q
 
 
@@ -715,3 +716,14 @@ SELECT user_id, email, full_name, monthly_income, currency FROM ex
 UNION ALL
 SELECT CAST(base.m + row_number() OVER (ORDER BY seq) AS BIGINT), email, full_name, monthly_income, 'INR'
 FROM fresh, base"""}
+
+
+def replace_sql() -> dict[str, str]:
+    li = LI.replace("txn AS (", "old AS (", 1).split("\nusers AS (")[0].rstrip().rstrip(",")
+    ev = EV.replace("txn AS (", "new AS (", 1).split("\nusers AS (")[0].rstrip().rstrip(",")
+    return {"a6_replace_user_rows": f"""WITH {li},
+{ev}
+SELECT user_id, date, amount, category, merchant FROM old
+WHERE user_id NOT IN (SELECT DISTINCT user_id FROM new)
+UNION ALL
+SELECT user_id, date, amount, category, merchant FROM new"""}

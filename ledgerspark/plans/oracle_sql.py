@@ -575,7 +575,8 @@ v AS (
            CASE WHEN date > DATE '{LINEITEM_AS_OF}' THEN 'future_date' END,
            CASE WHEN amount IS NULL OR amount <= 0 THEN 'amount' END,
            CASE WHEN category IS NULL OR category NOT IN ({valid_cats}) THEN 'category' END,
-           CASE WHEN length(merchant) > 255 THEN 'merchant_length' END) AS errors
+           CASE WHEN length(merchant) > 255 THEN 'merchant_length' END,
+           CASE WHEN user_id IS NULL THEN 'user_id' END) AS errors
   FROM raw),
 vv AS (SELECT *, errors = '' AS valid FROM v),
 b AS (SELECT batch_id, COUNT(*) AS n, bool_and(valid) AS ok FROM vv GROUP BY batch_id)"""

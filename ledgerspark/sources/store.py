@@ -25,7 +25,8 @@ def validate_transactions(raw: DataFrame, as_of: dt.date) -> DataFrame:
     """A2: per row, the list of broken rules (empty when valid):
     ``date`` (missing or unparsable), ``future_date`` (after ``as_of``),
     ``amount`` (missing, unparsable, NaN or <= 0), ``category`` (not one of the
-    16), ``merchant_length`` (> 255), ``description_length`` (> 500)."""
+    16), ``merchant_length`` (> 255), ``description_length`` (> 500),
+    ``user_id`` (missing or not a number; a bad row never fails the job)."""
     d = parse_date("date")
     a = parse_amount("amount")
     errors = F.array_compact(
@@ -37,6 +38,7 @@ def validate_transactions(raw: DataFrame, as_of: dt.date) -> DataFrame:
             F.when(~F.coalesce(F.col("category").isin(S.CATEGORIES), F.lit(False)), F.lit("category")),
             F.when(F.char_length("merchant") > S.MERCHANT_MAX_CHARS, F.lit("merchant_length")),
             F.when(F.char_length("description") > S.DESCRIPTION_MAX_CHARS, F.lit("description_length")),
+            F.when(F.trim(F.col("user_id")).try_cast("long").isNull(), F.lit("user_id")),
         )
     )
     return raw.withColumns(
@@ -62,7 +64,7 @@ def accept_batches(raw: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame
     j = join_back(v, per_batch.withColumn("accepted", ok), ["batch_id"], "batch_rows")
     accepted = j.filter("accepted").select(
         "batch_id",
-        F.col("user_id").cast("long").alias("user_id"),
+        F.trim(F.col("user_id")).try_cast("long").alias("user_id"),
         F.col("parsed_date").alias("date"),
         F.col("parsed_amount").alias("amount"),
         "category",

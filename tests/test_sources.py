@@ -27,6 +27,7 @@ def test_validation_rules(spark):
         ("b7", "1", "2025-06-01", "1", "Food", None, "d" * 501),  # description too long
         ("b8", "1", "2025-06-01", "1", "Food", "<b>tag</b>", "<i>x</i>"),  # markup stays text
         ("b9", "1", "2025-06-01", "NaN", "Food", None, None),  # not a number either
+        ("b10", "x1", "2025-06-01", "1", "Food", None, None),  # bad user id: rejected, no failure
     ]
     v = {(r.batch_id, r.date): r for r in ST.validate_transactions(_raw(spark, rows), AS_OF).collect()}
     assert v[("b1", "2025-06-01")].valid and v[("b1", "2025-07-01")].errors == ["future_date"]
@@ -36,6 +37,9 @@ def test_validation_rules(spark):
     assert v[("b7", "2025-06-01")].errors == ["description_length"]
     assert v[("b8", "2025-06-01")].valid
     assert v[("b9", "2025-06-01")].errors == ["amount"]
+    assert v[("b10", "2025-06-01")].errors == ["user_id"]
+    acc, rej = ST.accept_batches(_raw(spark, rows), AS_OF)
+    assert "b10" not in {r.batch_id for r in acc.select("batch_id").distinct().collect()}
 
 
 def test_batches_are_all_or_nothing_and_bounded(spark):

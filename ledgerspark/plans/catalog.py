@@ -421,7 +421,7 @@ def a2_validate_transactions(spark, d):
 
     v = validate_transactions(raw_upload_lineitem(spark, d), LINEITEM_AS_OF)
     return v.select(
-        "batch_id", F.col("user_id").cast("long").alias("user_id"), F.col("parsed_date").alias("date"),
+        "batch_id", F.col("user_id").try_cast("long").alias("user_id"), F.col("parsed_date").alias("date"),
         F.col("parsed_amount").alias("amount"), "category", "valid", F.array_join("errors", ",").alias("errors"),
     )
 

@@ -574,3 +574,15 @@ def a6_replace_user_rows(spark, d):
 
 
 _SQL_CHECKED += [a6_replace_user_rows]
+
+
+def k_factors(spark, d):
+    """K2-K8 contributing factors, one row per factor (heuristic mode)."""
+    from . import jobs
+
+    L = txn_events(spark, d)
+    ex = jobs.explanation_job(L.txn, L.users, L.as_of)
+    return ex.select("user_id", "rec_index", "kind", F.posexplode("contributing_factors").alias("pos", "factor"))
+
+
+_SQL_CHECKED += [k_factors]

@@ -444,6 +444,7 @@ SELECT user_id, n_recommendations, n_high,
     q.update(pairing_sql())
     q.update(registration_sql())
     q.update(replace_sql())
+    q.update(factors_sql())
     return q
 
 
@@ -728,3 +729,34 @@ SELECT user_id, date, amount, category, merchant FROM old
 WHERE user_id NOT IN (SELECT DISTINCT user_id FROM new)
 UNION ALL
 SELECT user_id, date, amount, category, merchant FROM new"""}
+
+
+def factors_sql() -> dict[str, str]:
+    def row(kind, pos, text, cond="TRUE"):
+        return (f"SELECT user_id, rec_index, kind, CAST({pos} AS BIGINT) AS pos, {text} AS factor FROM f "
+                f"WHERE kind = '{kind}' AND ({cond})")
+
+    acc = "COALESCE(accelerating, false)"
+    rows = [
+        row("risk", 0, _tpl(TX.RISK_VELOCITY_FACTOR), acc),
+        row("risk", f"CASE WHEN {acc} THEN 1 ELSE 0 END", f"printf({_tpl(TX.RISK_SHARE_FACTOR)}, {_pct('spend_share')})"),
+        row("risk", f"CASE WHEN {acc} THEN 2 ELSE 1 END",
+            f"printf({_tpl(TX.RISK_MODEL_FACTOR)}, {_pct('risk_probability')})"),
+        row("category", 0, f"printf({_tpl(TX.CATEGORY_SHARE_FACTOR)}, lower(category), {_pct('cat_share')})"),
+        row("category", 1, f"printf({_tpl(TX.CATEGORY_TREND_FACTOR)}, "
+                           f"CASE WHEN cat_trend = 'increasing' THEN 'Increasing' ELSE 'Stable' END)"),
+        row("category", 2, f"printf({_tpl(TX.CATEGORY_AVERAGE_FACTOR)}, {_num('cat_monthly_avg')})"),
+        row("forecast", 0, f"printf({_tpl(TX.FORECAST_MODEL_FACTOR)}, forecast_model)"),
+        row("forecast", 1, f"printf({_tpl(TX.FORECAST_TOTAL_FACTOR)}, forecast_days, {_num('forecast_total')})"),
+        row("forecast", 2, f"printf({_tpl(TX.FORECAST_RMSE_FACTOR)}, COALESCE(CAST(forecast_rmse AS VARCHAR), 'N/A'))"),
+        row("savings", 0, f"printf({_tpl(TX.SAVINGS_RATE_FACTOR)}, {_pct('savings_rate')})"),
+        row("savings", 1, f"printf({_tpl(TX.SAVINGS_SURPLUS_FACTOR)}, {_num('savings')})"),
+        row("savings", 2, _tpl(TX.SAVINGS_FLOW_FACTOR)),
+        *[row("anomaly", i, _tpl(t)) for i, t in enumerate(TX.ANOMALY_FACTORS)],
+        row("trend", 0, f"printf({_tpl(TX.TREND_CHANGE_FACTOR)}, {_plain('trend_change_pct')})", "trend_first IS NOT NULL"),
+        row("trend", 1, f"printf({_tpl(TX.TREND_FIRST_FACTOR)}, {_num('trend_first')})", "trend_first IS NOT NULL"),
+        row("trend", 2, f"printf({_tpl(TX.TREND_LAST_FACTOR)}, {_num('trend_last')})", "trend_first IS NOT NULL"),
+        *[row("default", i, _tpl(t)) for i, t in enumerate(TX.DEFAULT_FACTORS)],
+    ]
+    body = "\nUNION ALL\n".join(rows)
+    return {"k_factors": f"WITH f AS ({_explain_figs()})\n{body}"}

@@ -586,3 +586,17 @@ def k_factors(spark, d):
 
 
 _SQL_CHECKED += [k_factors]
+
+
+def k_impacts(spark, d):
+    """K3/K4 feature-impact records, one row per impact (heuristic mode)."""
+    from . import jobs
+
+    L = txn_events(spark, d)
+    ex = jobs.explanation_job(L.txn, L.users, L.as_of)
+    e = ex.select("user_id", "rec_index", "kind", F.posexplode("feature_impacts").alias("pos", "imp"))
+    return e.select("user_id", "rec_index", "kind", "pos", "imp.feature", "imp.importance", "imp.direction",
+                    "imp.description")
+
+
+_SQL_CHECKED += [k_impacts]

@@ -445,6 +445,7 @@ SELECT user_id, n_recommendations, n_high,
     q.update(registration_sql())
     q.update(replace_sql())
     q.update(factors_sql())
+    q.update(impacts_sql())
     return q
 
 
@@ -760,3 +761,22 @@ def factors_sql() -> dict[str, str]:
     ]
     body = "\nUNION ALL\n".join(rows)
     return {"k_factors": f"WITH f AS ({_explain_figs()})\n{body}"}
+
+
+def impacts_sql() -> dict[str, str]:
+    def row(kind, pos, feature, importance, direction, description, cond="TRUE"):
+        return (f"SELECT user_id, rec_index, kind, CAST({pos} AS BIGINT) AS pos, {feature} AS feature, "
+                f"CAST({importance} AS DOUBLE) AS importance, {direction} AS direction, {description} AS description "
+                f"FROM f WHERE kind = '{kind}' AND ({cond})")
+
+    inc = "cat_trend = 'increasing'"
+    rows = [
+        row("category", 0, f"printf({_tpl(TX.CATEGORY_SHARE_FEATURE)}, category)", "round(cat_share, 4)", "'positive'",
+            f"printf({_tpl(TX.CATEGORY_SHARE_DESCRIPTION)}, lower(category))"),
+        row("category", 1, f"printf({_tpl(TX.CATEGORY_TREND_FEATURE)}, category)",
+            f"CASE WHEN {inc} THEN 0.3 ELSE 0.1 END", f"CASE WHEN {inc} THEN 'positive' ELSE 'negative' END",
+            f"printf({_tpl(TX.CATEGORY_TREND_DESCRIPTION)}, lower(category), cat_trend)"),
+        *[row("forecast", i, _tpl(feat), v, _tpl(dirn), _tpl(desc))
+          for i, (feat, v, dirn, desc) in enumerate(TX.FORECAST_IMPACTS)],
+    ]
+    return {"k_impacts": f"WITH f AS ({_explain_figs()})\n" + "\nUNION ALL\n".join(rows)}

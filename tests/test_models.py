@@ -241,3 +241,23 @@ def test_predicted_category_is_written(spark, sf_small):
     assert filled.filter(F.col("predicted_category").isNull()).count() == 0
     cats = {r[0] for r in filled.select("predicted_category").distinct().collect()}
     assert cats <= {r[0] for r in t.select("category").distinct().collect()}
+
+
+def test_corner_case_one_day_two_rows(spark, sf_small):
+    # a new user with one day of data still gets predictions, recommendations
+    # and explanations (FIXTURES: one-day transactions, income 50000)
+    L = txn_events(spark, sf_small)
+    models = jobs.train_all(L.txn, L.users, num_trees=2, risk_iters=2, folds=2)
+    as_of = D("2025-06-30")
+    t = txn_frame(spark, [(1, 77, "2025-06-30", 1000.0, "Food"), (2, 77, "2025-06-30", 500.0, "Transport")])
+    u = users_frame(spark, [(77, 50000)])
+    pred = jobs.prediction_report(t, u, models, days=30).collect()
+    assert len(pred) == 1
+    p = pred[0]
+    assert len(p.category_predictions) == 2 and p.risk.risk_level == "low" and p.risk.overspend_probability == 0.0
+    assert p.forecast.model_used == "Insufficient Data" and len(p.forecast.forecast) == 30
+    recs = jobs.recommendation_job(t, u, as_of, models).collect()
+    assert {r.rule_id for r in recs} == {"J4a", "J4b"}
+    assert all(r.priority in {"low", "medium", "high"} and 0 <= r.confidence <= 1 for r in recs)
+    ex = jobs.explain_report(t, u, as_of, models).first()
+    assert len(ex.explanations) == len(recs) and all(e.reasoning for e in ex.explanations)

@@ -49,12 +49,13 @@ def form(text: Column, n: Column) -> Column:
             .when(letters * 10 < F.length(text) * 8, "symbols").when(n < SHORT, "short").otherwise("prose"))
 
 
-def cells_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens; nulls as the text ``(none)``."""
+def cells_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens (and ``more``); nulls as the text ``(none)``."""
     n = tokens(F.col("text"))
     topic = F.col("topic").cast("string") if "topic" in docs.columns else form(F.col("text"), n)
     named = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
-    return docs.select("doc_id", named(F.col("source")).alias("source"), named(F.col("lang")).alias("lang"), named(topic).alias("topic"), n.alias("n_tokens"))
+    return docs.select("doc_id", named(F.col("source")).alias("source"), named(F.col("lang")).alias("lang"), named(topic).alias("topic"),
+                       n.alias("n_tokens"), *more)
 
 
 def default_targets(cells: DataFrame, dim: str, power: float = POWER) -> DataFrame:
@@ -109,17 +110,21 @@ def draw(doc_id: Column) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, prob, sampled for each row of ``docs``.
+def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """source, lang, topic, prob of each cell of ``rows`` (from ``cells_of``) that has tokens.
 
     ``targets``: per dimension a table (dimension, target), any positive scale.
     """
-    rows = materialize(cells_of(docs))
     cells = materialize(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n_tokens")))
     goals = targets or {d: default_targets(cells, d) for d in DIMS}
     total = float(cells.agg(F.sum("n_tokens")).first()[0] or 0)
-    probs = materialize(inclusion(rake(cells, goals), budget * total).select(*DIMS, "prob"))
-    out = rows.join(probs, list(DIMS), "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
+    return materialize(inclusion(rake(cells, goals), budget * total).select(*DIMS, "prob"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, prob, sampled for each row of ``docs``."""
+    rows = materialize(cells_of(docs))
+    out = rows.join(probabilities(rows, targets, budget), list(DIMS), "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
     return out.select("doc_id", *DIMS, "n_tokens", "prob", (draw(F.col("doc_id")) < F.col("prob")).alias("sampled"))
 
 
@@ -128,6 +133,9 @@ def op1_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("prob", F.round("prob", 12))
 
 
-def sampled_documents(docs: DataFrame) -> DataFrame:
-    """The sampled documents: doc_id, source, lang, topic, n_tokens, prob."""
-    return mix(docs).where("sampled").drop("sampled")
+def sampled_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+    """The sampled rows of ``docs`` with ``sample_prob``."""
+    probs = probabilities(cells_of(docs), targets, budget)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "sample_prob"]).alias("row")
+    rows = cells_of(docs, whole).join(probs, list(DIMS), "left")
+    return rows.where(draw(F.col("doc_id")) < F.col("prob")).select("row.*", F.col("prob").alias("sample_prob"))

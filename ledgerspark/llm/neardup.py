@@ -7,13 +7,15 @@ are two small collections of half keys, ``LEFT`` and ``RIGHT`` of them, each of
 give 100 tables of 6 rows. Two sets of Jaccard similarity s share a key with
 chance (1 - (1 - s^3)^10)^2: 0.998 at 0.8, 0.9999 at 0.85.
 
-Equal sets are collapsed first. Then, round by round, each table key that still
-holds sets of different classes gets leaders (its 1, 4, 16, ... smallest ids);
-every other member is checked against them on the full sets, confirmed links
-are merged into classes, and leaders, now compared with all, leave the key.
-The rounds end when no key holds two classes, so every candidate pair was
-compared or already in one class; a group of g copies costs about g checks,
-never its g * g pairs. Hot keys are only ever grouped by minima and limited
+Equal sets are collapsed first. In ``HUB_ROUNDS`` first rounds every document
+is checked on the full sets against one other of its keys, the same for most of
+a group, which joins large groups at one check a document. Then, round by
+round, each table key that still holds sets of different classes gets leaders
+(its 1, 4, 16, ... smallest ids); every other member of another class is
+checked against them, confirmed links are merged into classes, and leaders, now
+compared with all, leave the key. The rounds end when no key holds two classes,
+so every candidate pair was compared or already in one class; a group of g
+copies costs a few g checks, never its g * g pairs. Hot keys are only ever grouped by minima and limited
 windows (partial before the shuffle) and joined as plain tables, which AQE
 splits; a leader's checks are dealt to buckets of ``BUCKET`` members.
 
@@ -38,6 +40,7 @@ from .graph import connected_components
 
 LEFT, RIGHT, ROWS = 10, 10, 3
 BUCKET = 500
+HUB_ROUNDS = 3
 SEED = 0x5EED
 
 
@@ -149,26 +152,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     wanted = members.select(F.col("doc").alias("member")).distinct()
     bodies = materialize(wanted.join(texts.select(F.col("doc_id").alias("member"), "text"), "member").dropDuplicates(["member"]))
-    links, leaders_per_key = None, 1
-    classes = None
+    links = classes = None
+    rounds, leaders_per_key = 0, 1
     while True:
-        now = members if classes is None else members.join(classes, members["doc"] == classes["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("class"))
-        if classes is None:
-            now = now.withColumn("class", F.col("doc"))
-        else:
-            now = materialize(now)
+        now = members.withColumn("class", F.col("doc"))
+        if classes is not None:
+            now = members.join(classes, members["doc"] == classes["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("class"))
             mixed = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-            now = materialize(now.join(materialize(mixed), "key"))
+            now = materialize(now.join(mixed, "key"))
             if is_empty(now):
                 break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
-        lead = materialize(now.withColumn("rank", rank).where(F.col("rank") <= leaders_per_key).select("key", F.col("doc").alias("leader"), F.col("class").alias("leads")))
-        pairs = (now.join(lead, "key").where("leader < doc and leads <> class").select("leader", F.col("doc").alias("member")).distinct())
+        if rounds < HUB_ROUNDS:
+            # each member meets one hub: of its keys' first members in an order drawn anew, the first
+            order = F.struct(F.xxhash64("doc", F.lit(rounds)).alias("o"), "doc", "class")
+            first = now.groupBy("key").agg(F.min(order).alias("hub"))
+            met = now.join(materialize(first), "key").where("hub.class <> class")
+            one = met.groupBy("doc").agg(F.min("hub").alias("hub"))
+            pairs = one.select(F.col("hub.doc").alias("leader"), F.col("doc").alias("member"))
+        else:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
+            lead = materialize(now.withColumn("rank", rank).where(F.col("rank") <= leaders_per_key).select("key", F.col("doc").alias("leader"), F.col("class").alias("leads")))
+            pairs = now.join(lead, "key").where("leader < doc and leads <> class").select("leader", F.col("doc").alias("member")).distinct()
+            leaders_per_key *= 4
         found = materialize(confirm_pairs(materialize(pairs), bodies, shingle, percent).where("linked").select("a", "b"))
         links = found if links is None else links.unionByName(found)
-        classes = connected_components(links)
-        members = materialize(now.select("key", "doc").join(lead.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti"))
-        leaders_per_key *= 4
+        classes = materialize(connected_components(links))
+        if rounds >= HUB_ROUNDS:
+            members = now.select("key", "doc").join(lead.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti")
+            members = materialize(members)
+        else:
+            members = now.select("key", "doc")
+        rounds += 1
     # links are few rows a document; the classes of all copies in one last pass
     classes = connected_components(links.unionByName(same_set))
     out = sig.select("doc_id", "n_shingles").join(classes, sig["doc_id"] == classes["node"], "left")

@@ -105,8 +105,9 @@ def shingle_hashes(ids: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.zeros(m, np.uint64)
     for j in range(k):
-        h = mix64(h * MIX + ids[j : j + m])
-    return h
+        h *= MIX
+        h += ids[j : j + m]
+    return mix64(h)
 
 
 def shards_for(spark: SparkSession, df: DataFrame, column: str, bytes_per_shard: int) -> int:

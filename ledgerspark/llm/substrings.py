@@ -10,7 +10,7 @@ has its words removed.
    Spark counts them and so confirms the recurring ones.
 2. Documents are dealt by id to shards of bounded size. A shard gets each
    recurring phrase found in it once, compiles an Aho-Corasick automaton over
-   word numbers, and streams its documents through it to locate every
+   the words, and streams its documents through it to locate every
    occurrence of every phrase.
 3. The windows that name a located phrase are keyed by a 64-bit hash; Spark
    takes the first place of each key (partial minima, so no hot key), and all
@@ -39,6 +39,7 @@ WINDOW = 20
 PHRASE = 6
 SHARD_BYTES = 4 << 20
 _LAST = (1 << 63) - 1
+_HIGH = np.uint64(((1 << 40) - 1) << 24)  # texts have less than 2 ** 24 words
 
 
 def named(hashes: np.ndarray, window: int, phrase: int) -> np.ndarray:
@@ -47,8 +48,14 @@ def named(hashes: np.ndarray, window: int, phrase: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.int64)
     g = shingle_hashes(hashes, phrase)
-    view = np.lib.stride_tricks.sliding_window_view(g, window - phrase + 1)
-    return view.argmin(axis=1) + np.arange(n)
+    # 40 bits of hash and the place itself: the minimum is the first of the smallest
+    low = (g & _HIGH) | np.arange(len(g), dtype=np.uint64)
+    span, want = 1, window - phrase + 1
+    while span < want:  # minima of spans of 1, 2, 4, ... and at last ``want`` places
+        step = min(span, want - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    return (low & ~_HIGH).astype(np.int64)
 
 
 def _anchors(window: int, phrase: int):
@@ -73,9 +80,22 @@ def _anchors(window: int, phrase: int):
     return run
 
 
-def compile_automaton(phrases: list[tuple[int, ...]]):
-    """Aho-Corasick automaton over word numbers."""
-    auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+class Letters(dict):
+    """word -> three letters, each from an alphabet of its own.
+
+    The automaton looks through a node's children one by one, so a node must not
+    have as many as there are words; and no match can start within a word.
+    """
+
+    def __missing__(self, w: bytes) -> str:
+        n = len(self)
+        s = self[w] = chr(0x1000 + n % 64) + chr(0x2000 + (n >> 6) % 64) + chr(0x10000 + (n >> 12))
+        return s
+
+
+def compile_automaton(phrases):
+    """Aho-Corasick automaton over strings of ``Letters``."""
+    auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in phrases:
         auto.add_word(p)
     auto.make_automaton()
@@ -88,35 +108,33 @@ def _locate(window: int, phrase: int):
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         key, doc, start = [], [], []
         if len(phrases) and len(docs):
-            numbers: dict[bytes, int] = {}
-            words: dict[int, list[list[bytes]]] = {}
+            letter = Letters()
+            texts: dict[int, list[tuple[list[bytes], str]]] = {}
             for d, text in zip(docs.column("doc").to_pylist(), docs.column("text"), strict=True):
                 w = (text.as_py() or b"").split()
                 if len(w) >= window:
-                    words.setdefault(d, []).append([numbers.setdefault(x, len(numbers) + 1) for x in w])
-            hashes = WordHash()
-            of = np.zeros(len(numbers) + 1, np.uint64)
-            of[1:] = hashes.ids(list(numbers))
-            wanted = {
-                tuple(w[p : p + phrase])
+                    texts.setdefault(d, []).append((w, "".join(map(letter.__getitem__, w))))
+            auto = compile_automaton({
+                t[3 * p : 3 * (p + phrase)]
                 for d, p in zip(phrases.column("doc").to_pylist(), phrases.column("pos").to_pylist(), strict=True)
-                for w in words.get(d, ())
+                for w, t in texts.get(d, ())
                 if p + phrase <= len(w)
-            }
-            auto = compile_automaton(list(wanted))
-            for d, texts in words.items():
-                for w in texts:
-                    ends = np.fromiter((e for e, _ in auto.iter(tuple(w))), np.int64)
+            })
+            hashes = WordHash()
+            for d, own in texts.items():
+                for w, t in own:
+                    ends = np.fromiter((e for e, _ in auto.iter(t)), np.int64)
                     if not len(ends):
                         continue
                     located = np.zeros(len(w), bool)
-                    located[ends - phrase + 1] = True
-                    ids = of[np.array(w)]
+                    located[(ends + 1) // 3 - phrase] = True
+                    ids = hashes.ids(w)
                     at = np.flatnonzero(located[named(ids, window, phrase)])
                     if len(at):
                         h = np.zeros(len(ids) - window + 1, np.uint64)
                         for j in range(window):
-                            h = h * MIX + ids[j : j + len(h)]
+                            h *= MIX
+                            h += ids[j : j + len(h)]
                         key.append(h[at])
                         doc.append(np.full(len(at), d, np.int64))
                         start.append(at.astype(np.int32))
@@ -154,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     spark = docs.sparkSession
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
     texts = docs.where("text is not null").select(doc.alias("doc"), F.col("text").cast("binary").alias("text"))
-    anchors = texts.mapInArrow(_anchors(window, phrase), "phrase long, doc long, pos int")
+    anchors = materialize(texts.mapInArrow(_anchors(window, phrase), "phrase long, doc long, pos int"))
     recurring = materialize(anchors.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase"))
     shards = shards_for(spark, docs, "text", shard_bytes)
     shard = F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")

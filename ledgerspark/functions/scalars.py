@@ -115,13 +115,13 @@ def risk_level(prob) -> Column:
 
 
 def gauge_band(prob) -> Column:
-    """Gauge colour band, strict ``>`` at 0.7 / 0.5 / 0.3."""
+    """Gauge colour (fixed values), strict ``>`` at 0.7 / 0.5 / 0.3."""
     p = col(prob)
     return (
-        F.when(p > 0.7, F.lit("red"))
-        .when(p > 0.5, F.lit("amber"))
-        .when(p > 0.3, F.lit("blue"))
-        .otherwise(F.lit("green"))
+        F.when(p > 0.7, F.lit("#f43f5e"))
+        .when(p > 0.5, F.lit("#f59e0b"))
+        .when(p > 0.3, F.lit("#3b82f6"))
+        .otherwise(F.lit("#10b981"))
     )
 
 

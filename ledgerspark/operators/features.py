@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import (
+    default_if_blank,
     after_days_before,
     cents,
     day_of_week,
@@ -147,6 +148,7 @@ def monthly_windows(monthly: DataFrame) -> DataFrame:
 def risk_features(txn: DataFrame, users: DataFrame, keep_first_month: bool = False) -> DataFrame:
     """The monthly risk frame, one row per user-month
     with a previous month (the first month of each user is dropped)."""
+    txn = txn.withColumn("merchant", default_if_blank("merchant", "Unknown"))  # as in the reference frame (Q15)
     m = monthly_windows(income_features(monthly_aggregates(txn), users))
     if not keep_first_month:
         m = m.filter(F.col("prev_month_spending").isNotNull())

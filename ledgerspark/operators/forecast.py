@@ -75,11 +75,11 @@ def ridge_training_frame(txn: DataFrame, horizon: int = S.FORECAST_DEFAULT_DAYS,
 
 
 def fit_ridge(txn: DataFrame, horizon: int = S.FORECAST_DEFAULT_DAYS, alpha: float = S.FORECAST_RIDGE_ALPHA,
-              per_user: bool = False, leak_free: bool = False) -> ForecastModel:
+              per_user: bool = True, leak_free: bool = False) -> ForecastModel:
     """I11 (+ D12): fit on the train part, RMSE/MAPE on the holdout.
 
-    ``per_user=False`` (the reference's shape) fits the global daily series;
-    ``per_user=True`` pools every user's daily rows into one fit."""
+    ``per_user=True`` pools every user's daily rows into one fit, so that it is
+    on the scale of the users it scores; ``per_user=False`` fits the global daily series."""
     frame = ridge_training_frame(txn, horizon, per_user, leak_free).cache()
     train = frame.filter("is_train")
     feats = FE.FORECAST_FEATURES
@@ -246,11 +246,14 @@ def seasonal_points(fm: ForecastModel, days: int = S.FORECAST_DEFAULT_DAYS) -> D
     )
 
 
-def seasonal_points_per_user(fm: ForecastModel, user_ids: DataFrame, days: int = S.FORECAST_DEFAULT_DAYS) -> DataFrame:
-    """I13 (seasonal) per user: the global model forecasts the global series,
-    so every user gets the same points, as in the reference [Q11]. The <= 60
-    points are attached as a literal array and exploded per user (no cross
-    join)."""
+def seasonal_points_per_user(fm: ForecastModel, txn: DataFrame, days: int = S.FORECAST_DEFAULT_DAYS) -> DataFrame:
+    """I13 (seasonal) per user, on the user's own scale: the pooled series is
+    forecast once and each user gets the part that their spending has in it.
+    The <= 60 points are attached as a literal array and exploded per user (no
+    cross join)."""
+    spent = txn.groupBy("user_id").agg(F.sum(F.col("amount")).alias("spent"))
+    whole = float(spent.agg(F.sum("spent")).first()[0] or 1.0)
+    shares = spent.withColumn("share", F.col("spent") / F.lit(whole))
     pts = seasonal_points(fm, days).orderBy("date").collect()  # bounded: 10..60 rows
     arr = F.array(
         *[
@@ -263,8 +266,9 @@ def seasonal_points_per_user(fm: ForecastModel, user_ids: DataFrame, days: int =
             for p in pts
         ]
     )
-    return user_ids.select("user_id", F.lit("seasonal").alias("model_used"), F.explode(arr).alias("p")).select(
-        "user_id", "model_used", "p.*"
+    scaled = [F.round(F.col(f"p.{c}") * F.col("share"), 2).alias(c) for c in ("predicted_amount", "lower_bound", "upper_bound")]
+    return shares.select("user_id", "share", F.lit("seasonal").alias("model_used"), F.explode(arr).alias("p")).select(
+        "user_id", "model_used", "p.date", *scaled
     )
 
 

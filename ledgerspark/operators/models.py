@@ -174,7 +174,7 @@ def category_training_frame(txn: DataFrame, merchant_index: MerchantIndex) -> Da
 
 def fit_category_model(
     txn: DataFrame,
-    num_trees: int = 20,
+    num_trees: int = 200,
     max_depth: int = 6,
     folds: int = 0,
     seed: int = 42,
@@ -189,7 +189,7 @@ def fit_category_model(
     train = reliable_checkpoint(category_training_frame(txn, mi).select("id", "category", *S.CLASSIFIER_FEATURES))
     pipe = _category_pipeline(num_trees, max_depth, seed)
     metrics = {}
-    fr = assign_folds(train, "category", folds) if folds >= 2 else None
+    fr = assign_folds(train, "category", folds, exact=True) if folds >= 2 else None
     ks = list(range(folds)) if fr is not None else []
     fitted = fit_concurrently(pipe, [fr.filter(F.col("fold") != k) for k in ks] + [train], parallelism)
     model = fitted[-1]
@@ -241,15 +241,22 @@ def with_predicted_category(cm: CategoryModel, txn: DataFrame) -> DataFrame:
     return p.select(*[c for c in txn.columns])
 
 
+def last_rows(txn: DataFrame, n: int = 10) -> DataFrame:
+    """The last n rows of each user by (date, id); a partial group limit runs before the shuffle."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy(F.col("date").desc(), F.col("id").desc())
+    return txn.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
+
+
 def last_ten_predictions(pred: DataFrame, n: int = 10) -> DataFrame:
     """per user, the predictions of the last n rows by (date, id),
     numbered 1..n in date order (position), with the real row id too [Q8]."""
     from pyspark.sql import Window
 
-    w_desc = Window.partitionBy("user_id").orderBy(F.col("date").desc(), F.col("id").desc())
-    last = pred.withColumn("_k", F.row_number().over(w_desc)).filter(F.col("_k") <= n)
+    last = last_rows(pred, n)
     w_asc = Window.partitionBy("user_id").orderBy("date", "id")
-    return last.withColumn("transaction_id", F.row_number().over(w_asc)).drop("_k")
+    return last.withColumn("transaction_id", F.row_number().over(w_asc))
 
 
 # ---------------------------------------------------------- I7-I10 ---------
@@ -326,7 +333,7 @@ def risk_training_frame(txn: DataFrame, users: DataFrame, exclude: list | None =
 def fit_risk_model(
     txn: DataFrame,
     users: DataFrame,
-    max_iter: int = 20,
+    max_iter: int = 150,
     seed: int = 42,
     exclude: list | None = None,
     parallelism: int = 6,
@@ -403,7 +410,7 @@ def risk_score(rm: RiskModel, txn: DataFrame, users: DataFrame) -> DataFrame:
     return out.select(
         "user_id",
         prob.alias("overspend_probability"),
-        F.when(F.col("p").isNull(), F.lit("low")).otherwise(risk_level(prob)).alias("risk_level"),
+        F.when(F.col("p").isNull(), F.lit("low")).otherwise(risk_level(F.col("p"))).alias("risk_level"),
         F.lit(30).alias("days_remaining"),
         cur.alias("current_spending"),
         F.coalesce(F.round(F.col("total_spending") * (30 / max(1, 15)), 2), F.lit(0.0)).alias(

@@ -252,7 +252,8 @@ def rule_anomaly(txn: DataFrame, limit: int = S.MAX_ANOMALIES, rollup: DataFrame
     firsts = first_appearance(rollup if rollup is not None else txn)
     hits = anomalies(txn).join(firsts.select("user_id", "category", "appearance"), ["user_id", "category"])
     w = Window.partitionBy("user_id").orderBy("appearance", "date", "id")
-    top = hits.withColumn("pos", F.row_number().over(w) - 1).filter(F.col("pos") < limit)
+    top = hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
+    top = top.withColumn("pos", F.col("pos") - 1)
     msg = F.format_string(
         TX.ANOMALY,
         F.lower("category"),

@@ -44,11 +44,11 @@ def join_back(
     limit = hot_rows or hot_rows_setting(rows)
     buckets = F.ceil(F.col(count_col) / F.lit(float(limit))).cast("int")
     hot = agg.filter(F.col(count_col) > F.lit(limit)).select(*keys, buckets.alias("_buckets"))
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
+    salted_rows = rows.join(hot, keys, "left").withColumn(
         "_salt",
         F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.coalesce(F.col("_buckets"), F.lit(1))),
     ).drop("_buckets")
-    salted_agg = agg.join(F.broadcast(hot), keys, "left").withColumn(
+    salted_agg = agg.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_buckets"), F.lit(1)) - F.lit(1)))
     ).drop("_buckets")
     return salted_rows.join(salted_agg, [*keys, "_salt"], how).drop("_salt")

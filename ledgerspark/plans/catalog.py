@@ -328,12 +328,9 @@ def sql_checked_queries() -> dict[str, Query]:
 
 def all_queries() -> dict[str, Query]:
     out = sql_checked_queries()
-    try:
-        from .model_queries import model_queries
+    from .model_queries import model_queries  # imports this module's operators; a broken import fails here
 
-        out.update({k: _q(v) for k, v in model_queries().items()})
-    except ImportError:
-        pass
+    out.update({k: _q(v) for k, v in model_queries().items()})
     return out
 
 

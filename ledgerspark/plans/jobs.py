@@ -37,8 +37,8 @@ class Models:
 def train_all(
     txn: DataFrame,
     users: DataFrame,
-    num_trees: int = 20,
-    risk_iters: int = 20,
+    num_trees: int = 200,
+    risk_iters: int = 150,
     folds: int = 5,
     forecast_model: str = "ridge",
 ) -> Models:
@@ -89,7 +89,7 @@ def model_outputs(txn: DataFrame, users: DataFrame, models: Models | None, days:
         pts = FC.forecast_points(models.forecast, txn, users, days)
         fc = FC.forecast_summary(pts, models.forecast, days).join(users.select("user_id", "monthly_income"), "user_id")
     elif models and models.forecast and models.forecast.kind == "seasonal":
-        pts = FC.seasonal_points_per_user(models.forecast, txn.select("user_id").distinct(), days)
+        pts = FC.seasonal_points_per_user(models.forecast, txn, days)
         fc = FC.forecast_summary(pts, models.forecast, days).join(users.select("user_id", "monthly_income"), "user_id")
     else:
         pts = None

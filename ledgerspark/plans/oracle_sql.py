@@ -20,8 +20,7 @@ txn AS (
          s.s_name AS merchant, CAST(round(l.l_extendedprice * 100) AS BIGINT) AS cents,
          CAST(date_trunc('month', CAST(l.l_shipdate AS DATE)) AS DATE) AS ym
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  WHERE CAST(l.l_shipdate AS DATE) <= DATE '{LINEITEM_AS_OF}'),
+  LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey),
 users AS (
   SELECT c_custkey AS user_id, CAST(60000.0 AS DOUBLE) + CAST(3.0 AS DOUBLE) * c_acctbal AS monthly_income
   FROM customer)"""
@@ -31,7 +30,7 @@ txn AS (
   SELECT event_id AS id, user_id, CAST(ts AS DATE) AS date, value AS amount, {_EV_CASE} AS category,
          'M' || json_extract_string(props, '$.k') AS merchant, CAST(round(value * 100) AS BIGINT) AS cents,
          CAST(date_trunc('month', CAST(ts AS DATE)) AS DATE) AS ym
-  FROM events WHERE CAST(ts AS DATE) <= DATE '{EVENTS_AS_OF}'),
+  FROM events),
 users AS (
   SELECT DISTINCT user_id, CAST(3000 + 10 * (user_id % 150) AS DOUBLE) AS monthly_income FROM events)"""
 
@@ -327,7 +326,7 @@ l AS (SELECT user_id, least(1.0, spending_to_income) AS score FROM (
 b AS (SELECT user_id, score,
   CASE WHEN score >= 0.85 THEN 'critical' WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium'
        WHEN score >= 0.3 THEN 'low' ELSE 'low' END AS risk_level,
-  CASE WHEN score > 0.7 THEN 'red' WHEN score > 0.5 THEN 'amber' WHEN score > 0.3 THEN 'blue' ELSE 'green' END AS gauge_band,
+  CASE WHEN score > 0.7 THEN '#f43f5e' WHEN score > 0.5 THEN '#f59e0b' WHEN score > 0.3 THEN '#3b82f6' ELSE '#10b981' END AS gauge_band,
   CASE WHEN score > 0.7 THEN 'rose' WHEN score > 0.4 THEN 'amber' ELSE 'emerald' END AS score_band FROM l)
 SELECT *, CASE risk_level WHEN 'critical' THEN 'Critical Risk' WHEN 'high' THEN 'High Risk'
   WHEN 'medium' THEN 'Moderate Risk' ELSE 'Low Risk' END AS level_text FROM b"""
@@ -707,12 +706,12 @@ def registration_sql() -> dict[str, str]:
 ex AS (SELECT DISTINCT user_id, 'user' || CAST(user_id AS VARCHAR) || '@example.com' AS email,
          CAST(NULL AS VARCHAR) AS full_name, CAST(3000 + 10 * (user_id % 150) AS DOUBLE) AS monthly_income,
          'INR' AS currency
-       FROM events WHERE CAST(ts AS DATE) <= DATE '{EVENTS_AS_OF}'),
+       FROM events),
 b AS (SELECT lower(replace(c_name, '#', '.')) || '@example.com' AS email, c_name AS full_name,
         CAST(60000.0 AS DOUBLE) + CAST(3.0 AS DOUBLE) * c_acctbal AS monthly_income, c_custkey AS seq FROM customer),
-firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY seq) AS k FROM b)
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY seq) AS k FROM b)
            WHERE k = 1),
-fresh AS (SELECT * FROM firsts WHERE lower(trim(email)) NOT IN (SELECT lower(trim(email)) FROM ex)
+fresh AS (SELECT * FROM firsts WHERE email NOT IN (SELECT email FROM ex)
           AND monthly_income > 0),
 base AS (SELECT COALESCE(MAX(user_id), 0) AS m FROM ex)
 SELECT user_id, email, full_name, monthly_income, currency FROM ex

@@ -36,7 +36,7 @@ def load(spark, args) -> Ledger:
     return led
 
 
-def run(spark, led: Ledger, out: str, num_trees: int = 20, risk_iters: int = 20, folds: int = 5,
+def run(spark, led: Ledger, out: str, num_trees: int = 200, risk_iters: int = 150, folds: int = 5,
         forecast_days: int = 30, forecast_model: str = "ridge") -> dict:
     checkpoint_dir(spark)
     models = jobs.train_all(led.txn, led.users, num_trees=num_trees, risk_iters=risk_iters, folds=folds,
@@ -69,8 +69,8 @@ def main(argv=None) -> None:
     ap.add_argument("--users", help="Parquet users table (with --transactions)")
     ap.add_argument("--as-of", help="report date, yyyy-MM-dd")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
-    ap.add_argument("--trees", type=int, default=20)
-    ap.add_argument("--risk-iters", type=int, default=20)
+    ap.add_argument("--trees", type=int, default=200)
+    ap.add_argument("--risk-iters", type=int, default=150)
     ap.add_argument("--folds", type=int, default=5)
     ap.add_argument("--forecast-days", type=int, default=30)
     ap.add_argument("--forecast-model", choices=["ridge", "seasonal"], default="ridge")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import SparkSession
 
 # Settings every job wants: AQE (runtime coalescing, skew-join splitting,
@@ -57,14 +59,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: checkpoints are server-side
+    except PySparkAttributeError:  # Spark Connect: checkpoints are server-side
         return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):  # local-cluster has executors of its own
         raise RuntimeError(
             "spark.checkpoint.dir is not set: configure a shared folder for checkpoints"
         )

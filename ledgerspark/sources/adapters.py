@@ -54,7 +54,6 @@ def txn_lineitem(spark: SparkSession, sf_dir: str) -> Ledger:
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"
     )
-    li = li.filter(F.to_date("l_shipdate") <= F.lit(LINEITEM_AS_OF))
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     supplier = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     # lineitem x orders is a large equi-join (sort-merge, or broadcast when AQE
@@ -88,7 +87,6 @@ def txn_lineitem(spark: SparkSession, sf_dir: str) -> Ledger:
 
 def txn_events(spark: SparkSession, sf_dir: str) -> Ledger:
     ev = _read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    ev = ev.filter(F.to_date("ts") <= F.lit(EVENTS_AS_OF))
     txn = ev.select(
         F.col("event_id").alias("id"),
         F.col("user_id"),
@@ -117,7 +115,7 @@ ADAPTERS = {"lineitem": txn_lineitem, "events": txn_events}
 
 def raw_upload_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw upload (all strings) built from the whole lineitem table, one
-    upload batch per order, *without* the ``as_of`` cut: lines shipped
+    upload batch per order: lines shipped
     after ``as_of`` are future-dated uploads and make their batch fail."""
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +66,22 @@ def metrics_sink(spark: SparkSession, metrics: dict, path: str) -> DataFrame:
     return df
 
 
+def missing(spark: SparkSession, path: str) -> bool:
+    """Whether nothing exists at ``path``; any other trouble is raised when reading."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return True
+        raise
+    return False
+
+
 def metrics_source(spark: SparkSession, path: str) -> dict:
     """A10: the metrics document back as a dict; empty when missing."""
-    try:
-        rows = spark.read.json(path).limit(1).collect()
-    except Exception:  # noqa: BLE001 - a missing document reads as empty
+    if missing(spark, path):
         return {}
+    rows = spark.read.json(path).limit(1).collect()
     return rows[0].asDict() if rows else {}
 
 
@@ -109,14 +120,12 @@ def load_models(spark: SparkSession, path: str, names: list[str]) -> tuple[dict,
     out = {}
     for n in names:
         p = f"{path.rstrip('/')}/{n}"
-        try:
-            out[n] = MerchantIndex.load(spark, p) if n.endswith("index") else PipelineModel.load(p)
-        except Exception:  # noqa: BLE001 - absent model: heuristic mode (I18)
+        if missing(spark, p):  # absent model: heuristic mode (I18); a damaged one fails the job
             out[n] = None
-    try:
-        meta = json.loads(spark.read.text(f"{path.rstrip('/')}/_meta").first()[0])
-    except Exception:  # noqa: BLE001
-        meta = {}
+        else:
+            out[n] = MerchantIndex.load(spark, p) if n.endswith("index") else PipelineModel.load(p)
+    doc = f"{path.rstrip('/')}/_meta"
+    meta = {} if missing(spark, doc) else json.loads(spark.read.text(doc).first()[0])
     return out, meta
 
 

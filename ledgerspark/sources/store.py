@@ -12,6 +12,7 @@ anti-joins, which keep the work distributed and need no row-level delete.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,10 +92,10 @@ def accept_batches(raw: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame
 def with_ids(accepted: DataFrame) -> DataFrame:
     """Stamp row ids and ``created_at`` on accepted rows. Within one ingest
     ``monotonically_increasing_id`` is unique per row (partition id in the
-    high bits); hashing it with the batch id keeps ids of separate ingests
-    apart. A retried task rewrites its whole output under the commit
+    high bits); hashing it with an id of the ingest and the batch id keeps ids
+    of separate ingests apart, also of equal purchases and equal batch ids. A retried task rewrites its whole output under the commit
     protocol, so ids within the committed table stay unique."""
-    rid = F.xxhash64(F.col("batch_id"), F.spark_partition_id(), F.monotonically_increasing_id())
+    rid = F.xxhash64(F.lit(uuid.uuid4().hex), F.col("batch_id"), F.spark_partition_id(), F.monotonically_increasing_id())
     return accepted.select(
         rid.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("id"),
         "user_id",
@@ -118,6 +119,7 @@ def bulk_ingest(
     table partitioned by ``year_month``; rejects go to a side table."""
     accepted, rejected = accept_batches(raw, as_of)
     rows = with_ids(accepted).withColumn("year_month", F.date_format(month_start("date"), "yyyy-MM"))
+    rows = rows.repartition("year_month", F.pmod(F.xxhash64("id"), F.lit(32)))  # a few files a month
     rows.write.mode("append").partitionBy("year_month").parquet(table_path)
     if rejected_path:
         rejected.write.mode("append").parquet(rejected_path)
@@ -160,10 +162,10 @@ def register_users(users: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataF
     from ..operators.metrics import count_before
 
     b = batch if "seq" in batch.columns else batch.withColumn("seq", F.monotonically_increasing_id())
-    b = b.withColumn("email_key", F.lower(F.trim("email")))
+    b = b.withColumn("email_key", F.col("email"))
     keep = [c for c in b.columns if c != "email_key"]
     first = b.groupBy("email_key").agg(F.min_by(F.struct(*keep), "seq").alias("r")).select("email_key", "r.*")
-    existing = users.select(F.lower(F.trim("email")).alias("email_key"))
+    existing = users.select(F.col("email").alias("email_key"))
     fresh = first.join(existing, "email_key", "left_anti")
     ok = F.col("monthly_income").isNotNull() & (F.col("monthly_income") > 0)
     base = users.agg(F.coalesce(F.max("user_id"), F.lit(0)).alias("b")).first()["b"]

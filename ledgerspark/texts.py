@@ -11,7 +11,7 @@ the structured fields, not these strings.
 # Recommendation messages (J1-J6), in rule order.
 # ---------------------------------------------------------------------------
 CATEGORY_OVERSPEND = "Reduce %s spending by ₹%s (%s of income vs %s recommended threshold)"
-RISK_HIGH = "High risk of overspending this month! Probability: %s. Projected spending: ₹%s vs income ₹%s"
+RISK_HIGH = "⚠️ High risk of overspending this month! Probability: %s. Projected spending: ₹%s vs income ₹%s"
 RISK_MEDIUM = "Moderate overspending risk detected (%s probability). Consider reducing discretionary spending."
 RISK_LOW = "Slight overspending risk (%s probability). You're mostly on track — keep monitoring."
 FORECAST_HIGH = (
@@ -19,13 +19,13 @@ FORECAST_HIGH = (
 )
 FORECAST_MEDIUM = "Forecast predicts ₹%s spending in %d days (%s of income). Monitor closely."
 INVEST = (
-    "You can safely invest ₹%s/month! Your savings rate is %s (₹%s/month surplus). "
+    "💰 You can safely invest ₹%s/month! Your savings rate is %s (₹%s/month surplus). "
     "Consider SIPs in index funds or fixed deposits."
 )
 EMERGENCY_FUND = "Maintain an emergency fund of at least ₹%s (%d months expenses)."
 ANOMALY = "Unusual %s transaction of ₹%s detected on %s (category average: ₹%s)"
 RISING_TREND = (
-    "Spending has increased %s%% over the last 3 months. "
+    "📈 Spending has increased %s%% over the last 3 months. "
     "Review and adjust your budget to prevent overspending."
 )
 
@@ -33,7 +33,7 @@ RISING_TREND = (
 # Recommendation summary.
 # ---------------------------------------------------------------------------
 SUMMARY_HEALTHY = "Your finances look healthy! No immediate actions needed."
-SUMMARY_CRITICAL = "%d critical issues found. Immediate attention required on spending and budget management."
+SUMMARY_CRITICAL = "⚠️ %d critical issues found. Immediate attention required on spending and budget management."
 SUMMARY_REVIEW = "%d recommendations generated, including %d high-priority alert(s). Review the critical items first."
 SUMMARY_SUGGESTIONS = "%d suggestions to optimize your finances. No critical issues — focus on long-term improvements."
 

@@ -215,7 +215,10 @@ def test_seasonal_forecast_in_reports(spark, sf_small):
     risk, fc, pts = jobs.model_outputs(L.txn, L.users, m, 14)
     per_user = pts.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("predicted_amount").alias("t"))
     assert per_user.filter("n != 14").count() == 0
-    assert per_user.select("t").distinct().count() == 1  # the same global forecast for every user
+    # each user's forecast is on the user's own scale: the same part of the total as of the past spending
+    spent = L.txn.groupBy("user_id").agg(F.sum("amount").alias("s"))
+    r = per_user.join(spent, "user_id").agg(F.min(F.col("t") / F.col("s")), F.max(F.col("t") / F.col("s"))).first()
+    assert r[1] - r[0] < 1e-3 * r[1]
     assert fc.filter(F.col("model_used") != "seasonal").count() == 0
     with pytest.raises(ValueError):
         FC.fit_forecaster(L.txn, model="prophet")

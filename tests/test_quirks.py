@@ -128,7 +128,7 @@ def test_risk_ladder_is_ge_and_rule_is_gt(spark):
 def test_bands_and_labels(spark):
     df = spark.createDataFrame([(0.71,), (0.5,), (0.41,), (0.2,)], "p double")
     r = df.select(H.gauge_band("p").alias("g"), H.score_band("p").alias("s")).collect()
-    assert [(x.g, x.s) for x in r] == [("red", "rose"), ("blue", "amber"), ("blue", "amber"), ("green", "emerald")]
+    assert [(x.g, x.s) for x in r] == [("#f43f5e", "rose"), ("#3b82f6", "amber"), ("#3b82f6", "amber"), ("#10b981", "emerald")]
     lv = spark.createDataFrame([("critical",), ("medium",), ("unknown",)], "l string")
     assert [x[0] for x in lv.select(H.level_text("l")).collect()] == ["Critical Risk", "Moderate Risk", "Low Risk"]
 

@@ -99,6 +99,21 @@ def test_model_store_round_trip(spark, tmp_dir, sf_small):
     assert a == b
 
 
+def test_equal_purchases_get_two_ids(spark, tmp_dir):
+    table = os.path.join(tmp_dir, "single")
+    for merchant in ("A cafe", "B cafe"):
+        ST.append_one(spark, 1, {"date": "2024-01-02", "amount": 5, "category": "Food", "merchant": merchant}, table, AS_OF)
+    rows = spark.read.parquet(table).collect()
+    assert len(rows) == 2 and len({r.id for r in rows}) == 2
+
+
+def test_damaged_store_is_not_taken_for_a_missing_one(spark, tmp_dir):
+    bad = os.path.join(tmp_dir, "models", "category")
+    os.makedirs(bad)
+    with pytest.raises(Exception):  # noqa: B017 - any reading error, but an error
+        IO.load_models(spark, os.path.join(tmp_dir, "models"), ["category"])
+
+
 def test_replace_and_purge(spark):
     t = txn_frame(spark, [(1, 1, "2025-06-01", 1.0, "Food"), (2, 2, "2025-06-01", 2.0, "Food")])
     new = txn_frame(spark, [(3, 1, "2025-06-03", 9.0, "Rent")])
@@ -112,16 +127,17 @@ def test_replace_and_purge(spark):
 def test_register_users(spark):
     u = users_frame(spark, [(5, 100)])  # email u5@example.com
     batch = spark.createDataFrame(
-        [("new@x.com", "N", 50.0, None, 1), ("NEW@x.com", "dup", 60.0, None, 2), ("u5@example.com", "e", 1.0, None, 3),
+        [("new@x.com", "N", 50.0, None, 1), ("new@x.com", "dup", 60.0, None, 2), ("NEW@x.com", "other", 60.0, None, 2), ("u5@example.com", "e", 1.0, None, 3),
          ("neg@x.com", "n", -1.0, None, 4), ("b@x.com", "B", 70.0, "USD", 5)],
         "email string, full_name string, monthly_income double, currency string, seq long",
     )
     out, rej = ST.register_users(u, batch)
     got = {r.email: r for r in out.collect()}
     assert got["new@x.com"].user_id == 6 and got["new@x.com"].currency == "INR"
-    assert got["b@x.com"].user_id == 7 and got["b@x.com"].currency == "USD"
+    assert got["NEW@x.com"].user_id == 7  # e-mails are compared exactly
+    assert got["b@x.com"].user_id == 8 and got["b@x.com"].currency == "USD"
     assert {(r.email, r.reason) for r in rej.collect()} == {
-        ("NEW@x.com", "duplicate_in_batch"), ("u5@example.com", "email_exists"), ("neg@x.com", "income")}
+        ("new@x.com", "duplicate_in_batch"), ("u5@example.com", "email_exists"), ("neg@x.com", "income")}
 
 
 def test_streaming_ingest(spark, tmp_dir):

@@ -9,7 +9,7 @@ the sum over its n-grams of the difference in rank, ``PROFILE`` for one that
 the profile lacks. The language with the smallest distance wins (ties: the
 language first in order), and score is 1 - distance / largest distance.
 
-Counting is a narrow pass with one row per n-gram, language and batch, summed
+Counting is a narrow pass with one row per n-gram, language and part of a batch, summed
 by Spark; only the profiles (``PROFILE`` rows a language) reach the driver.
 
 Defined cases: null text, text without a letter or no training row: ``und``,
@@ -32,6 +32,7 @@ PROFILE = 400
 GRAM_BITS = 20
 FOLDS, HELD_OUT = 4, 2
 MIN_SCORE = 0.1
+COUNT_CHARS = 1 << 20  # characters of one language counted at a time
 _TOP = 0x30000  # code points from here on count as no letters
 
 
@@ -65,16 +66,26 @@ def grams(cp: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = letters_table()
+
+    def counted(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
+        n = np.bincount(grams(np.concatenate(parts)), minlength=1 << GRAM_BITS)
+        seen = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen], pa.int64())],
+            names=["lang", "gram", "n"])
+
     for batch in batches:
         by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            by.setdefault(lang, []).append(characters(text, table))
+        size: dict[str, int] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            cp = characters(text.as_py(), table)
+            by.setdefault(lang, []).append(cp)
+            size[lang] = size.get(lang, 0) + len(cp)
+            if size[lang] >= COUNT_CHARS:
+                yield counted(lang, by.pop(lang))
+                size[lang] = 0
         for lang, parts in by.items():
-            n = np.bincount(grams(np.concatenate(parts)), minlength=1 << GRAM_BITS)
-            seen = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(seen), pa.string()), pa.array(seen.astype(np.int32)), pa.array(n[seen], pa.int64())],
-                names=["lang", "gram", "n"])
+            yield counted(lang, parts)
 
 
 def fit_profiles(train: DataFrame, profile: int = PROFILE) -> dict[str, list[int]]:

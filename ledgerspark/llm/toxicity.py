@@ -15,7 +15,8 @@ documents. A text's evidence is the sum of -ln(chance) over its significant
 segments (chance below ``SIGNIFICANT``); a logistic curve fitted on counts per
 evidence bin turns log1p(evidence) into the score.
 
-Only sums and bounded tables (tokens, bins) reach the driver. Defined cases:
+Labels grow with the corpus, so they are never broadcast: texts meet them in a
+merge join at every size. Only sums and bounded tables (tokens, bins) reach the driver. Defined cases:
 null or wordless text has no segment and gets the score of no evidence;
 documents without a label are scored only; several labels of one id count as
 the largest; a null label or id is not learned from; with no labelled toxic or
@@ -159,7 +160,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, prior: float = PRIOR, min
     """
     known = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id")
              .agg((F.max("toxic") > 0).cast("int").alias("toxic")))
-    learn = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known, "doc_id").select("text", "toxic")
+    learn = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(known.hint("merge"), "doc_id").select("text", "toxic")
     counts = learn.mapInArrow(_count, "token binary, clean long, toxic long").groupBy("token").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     scores, rest, decay = log_odds(materialize(counts), prior, min_z, max_tokens)
@@ -170,7 +171,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, prior: float = PRIOR, min
     found = materialize(src.mapInArrow(_scan(scores, rest), schema))
 
     top = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
-    seen = found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "segments").join(known, "doc_id")
+    seen = found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "segments").join(known.hint("merge"), "doc_id")
     k = (seen.where("toxic = 0 and n_words > 0").agg(F.count("*"), F.sum(F.col("n_words") * F.exp(-decay * top))).first())
     rate = float(k[0]) / float(k[1]) if k[0] and k[1] else 1.0
 

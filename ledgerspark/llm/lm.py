@@ -42,6 +42,7 @@ CONTEXT, DIM = 3, 24
 FREQUENT = 1 << 17
 STRIDE, ROUNDS, BATCH, NOISE = 16, 2, 256, 32
 RATE = 0.1
+LEARN_TOKENS = 1 << 18  # tokens held at a time while training
 FOLDS, HELD_OUT = 7, 2
 UNITS = HEAD + 1 + BUCKETS
 END_UNIT = HEAD
@@ -208,9 +209,17 @@ def windows(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _train(vocab: Vocabulary, flat: np.ndarray, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen, trainer, first = Codes(), 0, None, True
+        codes, seen, trainer = Codes(), 0, None
+        units, every, size = [], [], 0
+
+        def learn() -> int:
+            ctx, y = windows(units)
+            at = trainer.rng.permutation(np.flatnonzero(np.concatenate(every)))
+            for i in range(0, len(at), BATCH):
+                trainer.step(ctx[at[i : i + BATCH]], y[at[i : i + BATCH]])
+            return len(at)
+
         for batch in batches:
-            units, every = [], []
             for text in batch.column("text"):
                 c = codes.of(text.as_py())
                 if trainer is None:  # noise as the first text of the partition says: same rows, same model
@@ -219,14 +228,12 @@ def _train(vocab: Vocabulary, flat: np.ndarray, rate: float):
                 at = np.zeros(len(c), bool)
                 at[int(c[0] % np.uint64(STRIDE)) :: STRIDE] = True
                 every.append(at)
-            if not units:
-                continue
-            ctx, y = windows(units)
-            at = np.flatnonzero(np.concatenate(every))
-            at = trainer.rng.permutation(at)
-            for i in range(0, len(at), BATCH):
-                trainer.step(ctx[at[i : i + BATCH]], y[at[i : i + BATCH]])
-            seen += len(at)
+                size += len(c)
+                if size >= LEARN_TOKENS:
+                    seen += learn()
+                    units, every, size = [], [], 0
+        if units:
+            seen += learn()
         if seen:
             v = trainer.model.flat()
             yield pa.RecordBatch.from_arrays(

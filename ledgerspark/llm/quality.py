@@ -74,19 +74,19 @@ _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48
 
 
 class Features(dict):
-    """word -> its feature numbers: the word's own and its shape's."""
+    """word -> its own feature number and, ``FEATURE_BITS`` higher, its shape's."""
 
     def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, w: bytes) -> tuple[int, int]:
+    def __missing__(self, w: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
         s = w.translate(_SHAPE)
         shape = bytes(c for i, c in enumerate(s) if not i or c != s[i - 1])
         mask = (1 << FEATURE_BITS) - 1
-        out = self[w] = (xxhash.xxh3_64_intdigest(w) & mask, xxhash.xxh3_64_intdigest(b" " + shape) & mask)
+        out = self[w] = (xxhash.xxh3_64_intdigest(w) & mask) | (xxhash.xxh3_64_intdigest(b" " + shape) & mask) << FEATURE_BITS
         return out
 
     def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +94,11 @@ class Features(dict):
         w = (text or b"").split()
         if not w:
             return np.empty(0, np.int64), np.empty(0)
-        ids, n = np.unique(np.array([self[x] for x in w]), return_counts=True)
-        return ids, n / math.sqrt(float((n.astype(np.float64) ** 2).sum()))
+        both = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+        n = np.bincount(both & ((1 << FEATURE_BITS) - 1), minlength=1 << FEATURE_BITS) + np.bincount(both >> FEATURE_BITS, minlength=1 << FEATURE_BITS)
+        ids = np.flatnonzero(n)
+        n = n[ids].astype(np.float64)
+        return ids, n / math.sqrt(float((n * n).sum()))
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ def test_no_udf_no_cross_join(spark, sf_small, name):
         assert node not in plan, f"{name} plans a {node}"
 
 
-@pytest.mark.parametrize("name", ["f1_list_page", "d3_top_merchants", "d19_daily_trend"])
+@pytest.mark.parametrize("name", ["f1_list_page", "d3_top_merchants", "d19_daily_trend", "j5_anomaly"])
 def test_top_k_has_partial_group_limit(spark, sf_small, name):
     plan = _plan(spark, name, sf_small)
     assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -23,8 +23,12 @@ count each and share their fate; extra columns are ignored or kept.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -35,27 +39,42 @@ SHORT = 50
 DIMS = ("source", "lang", "topic")
 
 
-def tokens(text: Column) -> Column:
-    """Number of words: runs of anything but ASCII white space."""
-    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D ]+", " "))
-    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long")
+# bytes that are a character's second to fourth, ASCII, and ASCII that is neither letter nor white space
+_FURTHER = bytes(range(0x80, 0xC0))
+_ASCII = bytes(range(0x80))
+_SIGNS = bytes(b for b in range(0x80) if not chr(b).isalpha() and chr(b) not in "\t\n\x0b\x0c\r ")
+
+
+def measure(raw: bytes | None) -> tuple[int, str]:
+    """Number of words (runs of anything but ASCII white space) and the form of a text."""
+    if not raw or not (n := len(raw.split())):
+        return 0, "short"
+    if raw.count(b"|") * 8 >= n:
+        return n, "list"
+    length = len(raw.translate(None, _FURTHER))
+    signs = len(raw) - len(raw.translate(None, _SIGNS))
+    others = raw.translate(None, _ASCII).decode("utf-8", "replace")
+    if others:
+        signs += sum(times for c, times in Counter(others).items() if not c.isalpha())
+    return n, "symbols" if (length - signs) * 10 < length * 8 else "short" if n < SHORT else "prose"
 
 
-def form(text: Column, n: Column) -> Column:
-    """The topic of a text that comes without one."""
-    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", ""))
-    return (F.when(text.isNull() | (n == 0), "short").when(bars * 8 >= n, "list")
-            .when(letters * 10 < F.length(text) * 8, "symbols").when(n < SHORT, "short").otherwise("prose"))
+@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("form", T.StringType())]))
+def measured(text: pa.Array) -> pa.Array:
+    both = [measure(t.as_py()) for t in text]
+    return pa.StructArray.from_arrays([pa.array([n for n, _ in both], pa.int64()), pa.array([f for _, f in both], pa.string())], names=["n", "form"])
 
 
 def cells_of(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens (and ``more``); nulls as the text ``(none)``."""
-    n = tokens(F.col("text"))
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else form(F.col("text"), n)
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("(none)"))
-    return docs.select("doc_id", named(F.col("source")).alias("source"), named(F.col("lang")).alias("lang"), named(topic).alias("topic"),
-                       n.alias("n_tokens"), *more)
+    measures = measured(F.col("text").cast("binary"))
+    own = F.col("topic") if "topic" in docs.columns else F.lit(None)
+    rows = docs.select("doc_id", "source", "lang", own.cast("string").alias("_topic"), measures.alias("_m"), *more)
+    topic = "_topic" if "topic" in docs.columns else "_m.form"
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
+    kept = [c for c in rows.columns if c not in ("doc_id", "source", "lang", "_topic", "_m")]
+    return rows.select("doc_id", named("source").alias("source"), named("lang").alias("lang"), named(topic).alias("topic"),
+                       F.col("_m.n").alias("n_tokens"), *kept)
 
 
 def default_targets(cells: DataFrame, dim: str, power: float = POWER) -> DataFrame:

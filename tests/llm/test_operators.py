@@ -297,3 +297,12 @@ def test_raking_meets_every_margin(spark):
         v = [x for x in v if x[0] != "none"]
         for name, goal in v:
             assert sum(r["weight"] for r in got if r[d] == name) == pytest.approx(goal / sum(x[1] for x in v), rel=1e-5)
+
+
+def test_text_measures():
+    assert mixing.measure(None) == mixing.measure(b"") == mixing.measure(b" \t\n") == (0, "short")
+    assert mixing.measure(("wort " * 60).encode()) == (60, "prose")
+    assert mixing.measure("größe straße".encode()) == (2, "short")  # letters beyond ASCII are letters
+    assert mixing.measure(b"a | b | c |") == (6, "list")
+    assert mixing.measure("§§ €€ 12 a".encode()) == (4, "symbols")
+    assert mixing.measure(b"\xff\xfe word") == (2, "symbols")  # broken bytes are no letters

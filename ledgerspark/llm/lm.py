@@ -14,9 +14,9 @@ Counts cover every token of the training documents and stay in Spark; only the
 ``FREQUENT`` most frequent tokens (a fixed number), the bucket sums and the
 model (a fixed size) are shipped to the tasks. Rarer tokens of a text meet
 their counts in a join. Training is local SGD: every partition of the training
-documents starts from the same model, learns from every ``STRIDE``-th position
-of each of its texts, and Spark averages the models by the positions seen,
-``ROUNDS`` times. Its work grows with the corpus.
+documents starts from the same model, learns from every position of each of its
+texts, and Spark averages the models by the positions seen, ``ROUNDS`` times.
+Its work grows with the corpus.
 
 Defined cases: a null or wordless text is one end; an untrained model (no
 training rows) scores by the same formulas with no counts; a null id is never
@@ -40,7 +40,7 @@ from .common import crc_mod, materialize, with_row
 HEAD, BUCKETS = 191, 64
 CONTEXT, DIM = 3, 24
 FREQUENT = 1 << 17
-STRIDE, ROUNDS, BATCH, NOISE = 16, 2, 256, 32
+ROUNDS, BATCH, NOISE = 2, 256, 32
 RATE = 0.1
 LEARN_TOKENS = 1 << 18  # tokens held at a time while training
 FOLDS, HELD_OUT = 7, 2
@@ -149,9 +149,6 @@ class Model:
         """Natural-log probability of each target unit, normalised over all units."""
         r, c, t, b = self.parts
         table = np.stack([r @ c[i] for i in range(CONTEXT)])
-        # scores are at most a few dozen; a common shift keeps exp() in range in any case
-        shift = np.float32(np.abs(table).max(axis=1).sum(axis=0) @ np.abs(t).max(axis=0) + b.max())
-        b = b - max(shift - np.float32(60), np.float32(0))
         up, ones = np.ascontiguousarray(t.T), np.ones(UNITS, np.float32)
         out = np.empty(len(target), np.float64)
         for i in range(0, len(target), rows):
@@ -161,6 +158,7 @@ class Model:
                 q += table[j][ctx[:, j]]
             s = q @ up
             s += b
+            s -= s.max(axis=1, keepdims=True)  # exp() stays in range and each row's sum is at least 1
             picked = s[np.arange(len(y)), y]
             np.exp(s, out=s)
             out[i : i + rows] = picked - np.log(s @ ones)
@@ -210,11 +208,11 @@ def windows(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _train(vocab: Vocabulary, flat: np.ndarray, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, seen, trainer = Codes(), 0, None
-        units, every, size = [], [], 0
+        units, size = [], 0
 
         def learn() -> int:
             ctx, y = windows(units)
-            at = trainer.rng.permutation(np.flatnonzero(np.concatenate(every)))
+            at = trainer.rng.permutation(len(y))
             for i in range(0, len(at), BATCH):
                 trainer.step(ctx[at[i : i + BATCH]], y[at[i : i + BATCH]])
             return len(at)
@@ -225,13 +223,10 @@ def _train(vocab: Vocabulary, flat: np.ndarray, rate: float):
                 if trainer is None:  # noise as the first text of the partition says: same rows, same model
                     trainer = Trainer(Model(vocab.unigram, flat), vocab.unigram, rate, int(c[0] % np.uint64(1 << 32)))
                 units.append(vocab.unit_of(c, vocab.count_of(c)[1]))
-                at = np.zeros(len(c), bool)
-                at[int(c[0] % np.uint64(STRIDE)) :: STRIDE] = True
-                every.append(at)
                 size += len(c)
                 if size >= LEARN_TOKENS:
                     seen += learn()
-                    units, every, size = [], [], 0
+                    units, size = [], 0
         if units:
             seen += learn()
         if seen:

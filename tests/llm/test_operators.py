@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,23 @@ def test_unit_probabilities_sum_to_one():
     assert np.exp(m.log_probs(ctx, np.arange(lm.UNITS))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_training_learns_from_every_position():
+    texts = ["a b c", "d e", "", None, "a b c d e f g " * 9]
+    tokens = np.concatenate([lm.Codes().of(t and t.encode()) for t in texts])
+    codes, n = np.unique(tokens, return_counts=True)
+    vocab = lm.Vocabulary(list(zip(codes.view(np.int64).tolist(), n.tolist(), strict=True)), {}, len(tokens), len(codes))
+    batch = pa.RecordBatch.from_arrays([pa.array([t and t.encode() for t in texts], pa.binary())], names=["text"])
+    (out,) = lm._train(vocab, lm.Model(vocab.unigram).flat(), 0.1)(iter([batch]))
+    assert out.column("w")[0].as_py() == len(tokens)
+
+
+def test_scores_stay_finite_in_a_strongly_trained_model():
+    m = lm.Model(np.full(lm.UNITS, 1 / lm.UNITS))
+    m.parts[2][5] = 400  # one unit far above the others in some contexts, far below in others
+    ctx = np.random.default_rng(1).integers(0, lm.UNITS, (500, lm.CONTEXT))
+    assert np.isfinite(m.log_probs(ctx, np.zeros(500, int))).all()
+
+
 # ---------------------------------------------------------------- op 6 ----
 
 def test_urls(spark):

@@ -1,26 +1,27 @@
 """Substring dedup (operator 3) by repeated-phrase automata.
 
 A window is ``WINDOW`` consecutive words of one document; each window equal to
-one that starts earlier (smaller doc_id, or the same document, earlier start)
-has its words removed.
+one that starts earlier (smaller doc_id, then smaller row key, then earlier
+start) has its words removed. Every input row is a document of its own, told
+apart by a row key that is written beside the row before anything is counted.
 
 1. Every window names one phrase of ``PHRASE`` words in it: the one with the
    smallest hash, the first of several. Equal windows name equal phrases, so
    only phrases named at two places or more can belong to a repeated window;
    Spark counts them and so confirms the recurring ones.
-2. Documents are dealt by id to shards of bounded size. A shard gets each
+2. Documents are dealt by row key to shards of bounded size. A shard gets each
    recurring phrase found in it once, compiles an Aho-Corasick automaton over
    the words, and streams its documents through it to locate every
    occurrence of every phrase.
 3. The windows that name a located phrase are keyed by a 64-bit hash; Spark
    takes the first place of each key (partial minima, so no hot key), and all
-   later places become removed words, applied in one last join by document.
+   later places become removed words, applied in one last join by row key.
 
 Whole texts are read each time; no phrase, window or partner is capped.
 Defined cases: null text has no words; texts of fewer than ``WINDOW`` words
-lose nothing; rows that share a doc_id are one document given repeatedly (equal
-rows get equal results); a null doc_id sorts last; extra columns are ignored
-(or carried in ``row``).
+lose nothing; rows that share a doc_id are told apart and ordered by row key, so
+later copies among them lose their words; null doc_ids sort last, in the order
+of their row keys; extra columns are ignored (or carried in ``row``).
 """
 
 from __future__ import annotations
@@ -62,20 +63,20 @@ def _anchors(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            key, doc, pos = [], [], []
-            for d, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+            phrases, key, pos = [], [], []
+            for k, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 w = (text.as_py() or b"").split()
                 if len(w) < window:
                     continue
                 ids = hashes.ids(w)
                 at = np.unique(named(ids, window, phrase))
-                key.append(shingle_hashes(ids, phrase)[at])
-                doc.append(np.full(len(at), d, np.int64))
+                phrases.append(shingle_hashes(ids, phrase)[at])
+                key.append(np.full(len(at), k, np.int64))
                 pos.append(at.astype(np.int32))
             if key:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(pos))],
-                    names=["phrase", "doc", "pos"])
+                    [pa.array(np.concatenate(phrases).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(pos))],
+                    names=["phrase", "key", "pos"])
 
     return run
 
@@ -106,40 +107,39 @@ def _locate(window: int, phrase: int):
     """Windows of a shard's documents that name a recurring phrase."""
 
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-        key, doc, start = [], [], []
+        window_key, doc, key, start = [], [], [], []
         if len(phrases) and len(docs):
             letter = Letters()
-            texts: dict[int, list[tuple[list[bytes], str]]] = {}
-            for d, text in zip(docs.column("doc").to_pylist(), docs.column("text"), strict=True):
+            texts: dict[int, tuple[int, list[bytes], str]] = {}
+            for k, d, text in zip(docs.column("key").to_pylist(), docs.column("doc").to_pylist(), docs.column("text"), strict=True):
                 w = (text.as_py() or b"").split()
                 if len(w) >= window:
-                    texts.setdefault(d, []).append((w, "".join(map(letter.__getitem__, w))))
+                    texts[k] = (d, w, "".join(map(letter.__getitem__, w)))
             auto = compile_automaton({
-                t[3 * p : 3 * (p + phrase)]
-                for d, p in zip(phrases.column("doc").to_pylist(), phrases.column("pos").to_pylist(), strict=True)
-                for w, t in texts.get(d, ())
-                if p + phrase <= len(w)
+                texts[k][2][3 * p : 3 * (p + phrase)]
+                for k, p in zip(phrases.column("key").to_pylist(), phrases.column("pos").to_pylist(), strict=True)
             })
             hashes = WordHash()
-            for d, own in texts.items():
-                for w, t in own:
-                    ends = np.fromiter((e for e, _ in auto.iter(t)), np.int64)
-                    if not len(ends):
-                        continue
-                    located = np.zeros(len(w), bool)
-                    located[(ends + 1) // 3 - phrase] = True
-                    ids = hashes.ids(w)
-                    at = np.flatnonzero(located[named(ids, window, phrase)])
-                    if len(at):
-                        h = np.zeros(len(ids) - window + 1, np.uint64)
-                        for j in range(window):
-                            h *= MIX
-                            h += ids[j : j + len(h)]
-                        key.append(h[at])
-                        doc.append(np.full(len(at), d, np.int64))
-                        start.append(at.astype(np.int32))
+            for k, (d, w, t) in texts.items():
+                ends = np.fromiter((e for e, _ in auto.iter(t)), np.int64)
+                if not len(ends):
+                    continue
+                located = np.zeros(len(w), bool)
+                located[(ends + 1) // 3 - phrase] = True
+                ids = hashes.ids(w)
+                at = np.flatnonzero(located[named(ids, window, phrase)])
+                if len(at):
+                    h = np.zeros(len(ids) - window + 1, np.uint64)
+                    for j in range(window):
+                        h *= MIX
+                        h += ids[j : j + len(h)]
+                    window_key.append(h[at])
+                    doc.append(np.full(len(at), d, np.int64))
+                    key.append(np.full(len(at), k, np.int64))
+                    start.append(at.astype(np.int32))
         cat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        return pa.table({"window": cat(key, np.uint64).view(np.int64), "doc": cat(doc, np.int64), "start": cat(start, np.int32)})
+        return pa.table({"window": cat(window_key, np.uint64).view(np.int64), "doc": cat(doc, np.int64), "key": cat(key, np.int64),
+                         "start": cat(start, np.int32)})
 
     return run
 
@@ -170,23 +170,23 @@ def _apply(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``row`` (the input row), n_words, n_removed, kept (the words left, joined by a space)."""
     spark = docs.sparkSession
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    texts = docs.where("text is not null").select(doc.alias("doc"), F.col("text").cast("binary").alias("text"))
-    anchors = materialize(texts.mapInArrow(_anchors(window, phrase), "phrase long, doc long, pos int"))
+    rows = materialize(with_row(docs, F.monotonically_increasing_id().alias("key")))
+    doc, text = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_LAST)), F.col("row.text").cast("binary")
+    texts = rows.where("row.text is not null").select("key", doc.alias("doc"), text.alias("text"))
+    anchors = materialize(texts.select("key", "text").mapInArrow(_anchors(window, phrase), "phrase long, key long, pos int"))
     recurring = materialize(anchors.groupBy("phrase").agg(F.count("*").alias("n")).where("n > 1").select("phrase"))
-    shards = shards_for(spark, docs, "text", shard_bytes)
-    shard = F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")
+    shards = shards_for(spark, texts, "text", shard_bytes)
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
     found = (anchors.join(recurring, "phrase").groupBy(shard.alias("shard"), "phrase")
-             .agg(F.min(F.struct("doc", "pos")).alias("at")).select("shard", "at.doc", "at.pos"))
+             .agg(F.min(F.struct("key", "pos")).alias("at")).select("shard", "at.key", "at.pos"))
     windows = materialize(
-        texts.select(shard.alias("shard"), "doc", "text").groupBy("shard").cogroup(materialize(found).groupBy("shard"))
-        .applyInArrow(_locate(window, phrase), "window long, doc long, start int"))
-    first = materialize(windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
-                        .where("n > 1").select("window", F.col("first.doc").alias("doc1"), F.col("first.start").alias("start1")))
-    later = windows.join(first, "window").where("doc <> doc1 or start <> start1").select("doc", "start").distinct()
-    starts = materialize(later.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("start").alias("starts")))
-    src = with_row(docs, doc.alias("_id"), F.col("text").cast("binary").alias("_text"))
-    src = src.join(starts, F.col("_id") == F.col("_doc"), "left").select("_text", "starts", "row")
+        texts.select(shard.alias("shard"), "key", "doc", "text").groupBy("shard").cogroup(materialize(found).groupBy("shard"))
+        .applyInArrow(_locate(window, phrase), "window long, doc long, key long, start int"))
+    first = materialize(windows.groupBy("window").agg(F.min(F.struct("doc", "key", "start")).alias("first"), F.count("*").alias("n"))
+                        .where("n > 1").select("window", F.col("first.key").alias("key1"), F.col("first.start").alias("start1")))
+    later = windows.join(first, "window").where("key <> key1 or start <> start1").select("key", "start").distinct()
+    starts = materialize(later.groupBy(F.col("key").alias("_key")).agg(F.collect_list("start").alias("starts")))
+    src = rows.join(starts, F.col("key") == F.col("_key"), "left").select(text.alias("_text"), "starts", "row")
     schema = f"row {src.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string"
     return src.mapInArrow(_apply(window), schema)
 

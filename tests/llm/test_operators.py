@@ -88,6 +88,20 @@ def test_substrings(docs, rows):
     assert got == substrings.brute_force([r[:2] for r in rows])
 
 
+def test_substrings_of_null_and_shared_ids(spark):
+    rng = np.random.default_rng(11)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    shared, long = prose(30), prose(600)
+    rows = [(None, long + " " + shared), (None, prose(10)), (None, None), (None, long + " " + shared), (7, shared + " " + prose(40)),
+            (7, prose(5)), (7, prose(500) + " " + shared), (7, shared + " " + prose(40)), (None, prose(50)), (2, shared)]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, n long")
+    got = {r["row"]["n"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(df, shard_bytes=2000).collect()}
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    direct = substrings.brute_force([(at, rows[i][1]) for at, i in enumerate(order)])
+    assert got == {i: direct[at] for at, i in enumerate(order)}
+    assert got[3] == (630, 630, "") and got[9][1] == 0 and got[7][1] == 30
+
+
 def test_substring_digest(spark, table_dir, rows):
     direct = substrings.brute_force([r[:2] for r in rows])
     for r in llm_queries()["op3_substring_dedup"](spark, table_dir).collect():

@@ -23,6 +23,8 @@ Defined cases: null or wordless text has an empty set and is linked with
 nothing; fewer words than a shingle: the whole sequence is the one shingle;
 repeated rows and ids share one class; a null id is linked with nothing and
 kept, component null; empty tables give empty results; extra columns are ignored.
+``deduplicated_documents`` links rows, not ids: repeated and null ids take part
+like any others, and one row of each class stays.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHash, is_empty, materialize, mix64, shingle_hashes
+from .common import MIX, WordHash, is_empty, materialize, mix64, shingle_hashes, with_row
 from .graph import connected_components
 
 LEFT, RIGHT, ROWS = 10, 10, 3
@@ -191,9 +193,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
-    """The documents without all but one of each near-duplicate group (five-word shingles, 0.8)."""
-    drop = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    """The documents without all but one of each near-duplicate group (five-word shingles, 0.8).
+
+    Of a group the row with the smallest doc_id stays (null ids last), of several such the one with the smallest row key.
+    """
+    rows = materialize(with_row(docs, F.monotonically_increasing_id().alias("_key")))
+    classes = near_duplicates(rows.select(F.col("_key").alias("doc_id"), F.col("row.text").alias("text")))
+    order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), F.col("_key").alias("key"))
+    seen = materialize(rows.select("_key", order.alias("order")).join(
+        classes.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("class")), "_key"))
+    several = seen.groupBy("class").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(several.select("class", F.col("first.key").alias("stays")))
+    drop = materialize(seen.join(first, "class").where("_key <> stays").select("_key"))
+    return rows.join(drop, "_key", "left_anti").select("row.*")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

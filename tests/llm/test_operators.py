@@ -75,6 +75,16 @@ def test_near_duplicates_of_repeated_and_null_ids(spark):
     assert got == [(-1, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
 
 
+def test_one_row_of_each_near_duplicate_group_stays(spark):
+    t, u = "a b c d e f g", "one two three four five six seven eight"
+    rows = [(None, t), (2, t), (1, u), (1, t), (1, t), (None, u + " u"), (None, "x"), (3, "x"), (None, "y"), (None, "y"), (4, None), (4, None), (None, None)]
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, n long")
+    got = neardup.deduplicated_documents(df)
+    assert got.columns == df.columns
+    assert sorted(r["n"] for r in got.collect()) == [2, 3, 7, 8, 10, 11, 12]  # rows 2 and 5: 4 of 5 shingles
+    assert neardup.deduplicated_documents(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (5, 5)]
     got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

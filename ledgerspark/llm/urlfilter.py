@@ -9,7 +9,9 @@ its blocked pages blocked. Trust is a personalised PageRank from the trusted
 hosts along the links; distrust the same from the blocked hosts along the
 reversed links, for a host that links to bad hosts is itself suspect. A host is
 blocked if its distrust is more than ``THRESHOLD`` of both together; hosts that
-neither reaches are allowed. Mass of hosts without links is not passed on.
+neither reaches are allowed. Mass of hosts without links is not passed on. The
+rounds go on until trust and distrust together change by less than
+``TOLERANCE`` (each has a mass of 1) and reach no further host.
 
 Every step groups sums (partial before the shuffle) and joins written tables,
 so AQE can split the rows of a hot host. Defined cases: null urls and urls
@@ -33,7 +35,7 @@ RULES = [
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 ]
-DAMPING, STEPS, THRESHOLD = 0.85, 8, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _HREF = r"(?i)href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,8 +75,8 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.unionByName(both).where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """host, trust, distrust after ``steps`` rounds; ``seeds``: host, good, bad (each summing to 1, or 0)."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """host, trust, distrust when settled; ``seeds``: host, good, bad (each summing to 1, or 0)."""
     out = edges.groupBy("src").agg(F.sum("n").alias("n_out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("n_in"))
     walk = edges.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("n_out")).alias("p"), (F.col("n") / F.col("n_in")).alias("q"))
@@ -85,13 +87,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
         .unionByName(walk.select(F.col("dst").alias("at"), F.col("src").alias("to"), zero.alias("p"), "q"))
     )
     seeds = materialize(seeds)
+    back = seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"), zero.alias("t0"), zero.alias("d0"))
     now = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for _ in range(steps):
+    sums = [F.sum(c).alias(c) for c in ("trust", "distrust", "t0", "d0")]
+    while True:
         moved = moves.join(now, moves["at"] == now["host"]).select(
-            F.col("to").alias("host"), (F.col("trust") * F.col("p") * damping).alias("trust"), (F.col("distrust") * F.col("q") * damping).alias("distrust"))
-        back = seeds.select("host", (F.col("good") * (1 - damping)).alias("trust"), (F.col("bad") * (1 - damping)).alias("distrust"))
-        now = materialize(moved.unionByName(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
-    return now
+            F.col("to").alias("host"), (F.col("trust") * F.col("p") * damping).alias("trust"), (F.col("distrust") * F.col("q") * damping).alias("distrust"),
+            zero.alias("t0"), zero.alias("d0"))
+        before = now.select("host", zero.alias("trust"), zero.alias("distrust"), F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
+        step = materialize(moved.unionByName(back).unionByName(before).groupBy("host").agg(*sums))
+        reached = ((F.col("trust") > 0) & (F.col("t0") == 0)) | ((F.col("distrust") > 0) & (F.col("d0") == 0))
+        change, new = step.agg(F.sum(F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0"))), F.sum(reached.cast("long"))).first()
+        now = step.select("host", "trust", "distrust")
+        if (change or 0.0) < tolerance and not new:
+            return now
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,7 +124,7 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def brute_force(pages, rules=RULES, steps: int = STEPS, damping: float = DAMPING, threshold: float = THRESHOLD) -> dict:
+def brute_force(pages, rules=RULES, tolerance: float = 1e-12, damping: float = DAMPING, threshold: float = THRESHOLD) -> dict:
     """Direct form for tests: page_id -> (host, path, rule, verdict)."""
     import re
     from collections import Counter, defaultdict
@@ -149,7 +158,7 @@ def brute_force(pages, rules=RULES, steps: int = STEPS, damping: float = DAMPING
         n_in[b] += n
     g, b_ = sum(good.values()) or 1, sum(bad.values()) or 1
     trust, distrust = {h: n / g for h, n in good.items()}, {h: n / b_ for h, n in bad.items()}
-    for _ in range(steps):
+    while True:
         t, d = defaultdict(float), defaultdict(float)
         for h in good:
             t[h] += (1 - damping) * good[h] / g
@@ -157,7 +166,10 @@ def brute_force(pages, rules=RULES, steps: int = STEPS, damping: float = DAMPING
         for (a, b), n in edges.items():
             t[b] += damping * trust.get(a, 0) * n / n_out[a]
             d[a] += damping * distrust.get(b, 0) * n / n_in[b]
+        pairs = [(old.get(h, 0), x) for old, new in ((trust, t), (distrust, d)) for h, x in new.items()]
         trust, distrust = t, d
+        if sum(abs(x - o) for o, x in pairs) < tolerance and not any(x and not o for o, x in pairs):
+            break
 
     def method(h):
         t, d = trust.get(h, 0), distrust.get(h, 0)

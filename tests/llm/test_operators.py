@@ -212,6 +212,27 @@ def test_urls(spark):
     assert urlfilter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_trust_and_distrust_settle_on_a_long_chain(spark):
+    n, last = 14, "http://bad.com/de/"  # each host links to the next, the last to the blocked one; one allowed host links to the third
+    hosts = [f"h{i}.net" for i in range(n)]
+    pages = [(i, f"http://{h}/", f"<a href='{'http://' + hosts[i + 1] + '/' if i + 1 < n else last}'>") for i, h in enumerate(hosts)]
+    pages += [(n, last, ""), (n + 1, "http://ok.org/", f"<a href='http://{hosts[2]}/'>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urlfilter.filter_urls(df).collect()}
+    assert {i: (r["host"], r["path"], r["rule"], r["verdict"]) for i, r in got.items()} == urlfilter.brute_force(pages)
+    names = [*hosts, "bad.com", "ok.org"]
+    links = np.zeros((n + 2, n + 2))
+    for i in range(n):
+        links[i, i + 1] = 1
+    links[n + 1, 2] = 1
+    trust = np.linalg.solve(np.eye(n + 2) - 0.85 * (links / np.maximum(links.sum(1, keepdims=True), 1)).T, 0.15 * np.eye(n + 2)[n + 1])
+    distrust = np.linalg.solve(np.eye(n + 2) - 0.85 * (links / np.maximum(links.sum(0, keepdims=True), 1)), 0.15 * np.eye(n + 2)[n])
+    for i in range(n + 2):
+        assert got[i]["host"] == names[i]
+        assert (got[i]["trust"], got[i]["distrust"]) == pytest.approx((trust[i], distrust[i]), abs=1e-5)
+    assert got[0]["verdict"] == got[1]["verdict"] == "block" and got[2]["verdict"] == "allow"
+
+
 # ---------------------------------------------------------------- op 7 ----
 
 def test_language_id(docs, empty):

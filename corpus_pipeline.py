@@ -3,7 +3,8 @@
 ``STAGES`` are (name, function) pairs; each function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
 one's ``docs``. All but the last return the columns of ``documents``; the last
-adds ``sample_prob``, the probability by which the row was sampled.
+adds ``sample_prob``, the expected number of copies of the row: below 1 the
+probability by which it was sampled, above 1 it is there repeatedly.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents to the raked source, language and topic shares."""
+    """Samples documents to the raked source, language and topic shares; rare ones are repeated."""
     return sampled_documents(docs)
 
 

@@ -3,11 +3,15 @@
 Documents are counted into cells of source, language and topic. The cells'
 token weights are raked: each round scales them to the source, then the
 language, then the topic targets, until the largest error is below
-``TOLERANCE`` or ``ROUNDS`` are done. The cell's inclusion probability is its
-raked tokens over its tokens, scaled so that the expected tokens meet the
-budget with no probability above 1. A document is sampled if a fixed hash of
-its id, as a number in [0, 1), lies below that probability: the same sample on
-every run and after every lost task.
+``TOLERANCE``; targets that contradict each other stop the rounds when the error
+no longer falls, with a warning. A cell's rate is its raked tokens over its
+tokens, scaled to the budget: the expected copies of each of its documents. A
+document is taken as often as the whole part of the rate says, and once more if
+a fixed hash of its id, as a number in [0, 1), lies below the rest: the same
+sample on every run and after every lost task. So the expected tokens meet the
+budget and the targets, rare cells by repeated documents. ``mix`` without
+``repeats`` takes no document twice: rates are cut at 1 and the tokens that lacks
+are spread over the other cells, which meets the budget but not the targets.
 
 Topic is the column ``topic`` if there is one, else the form of the text:
 ``list`` (many ``|``), ``symbols`` (little of it letters), ``short`` or ``prose``.
@@ -23,6 +27,7 @@ count each and share their fate; extra columns are ignored or kept.
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 
 import pyarrow as pa
@@ -34,7 +39,8 @@ from .common import materialize
 
 POWER = 0.7
 BUDGET = 0.5  # of all tokens
-ROUNDS, TOLERANCE = 12, 1e-6
+TOLERANCE = 1e-6
+PATIENCE = 10  # rounds in which the error has to fall by a tenth
 SHORT = 50
 DIMS = ("source", "lang", "topic")
 
@@ -82,8 +88,11 @@ def default_targets(cells: DataFrame, dim: str, power: float = POWER) -> DataFra
     return share.select(dim, F.pow(F.col("n").cast("double"), F.lit(power)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``cells`` (source, lang, topic, n_tokens) with ``weight``: shares of the raked mixture."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (source, lang, topic, n_tokens) with ``weight``: shares of the raked mixture.
+
+    Without ``rounds`` it goes on until the largest error is below ``tolerance`` or no longer falls.
+    """
     cells = cells.where("n_tokens > 0")
     total = float(cells.agg(F.sum("n_tokens")).first()[0] or 1)
     now = materialize(cells.withColumn("weight", F.col("n_tokens") / total))
@@ -92,7 +101,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         there = targets[dim].join(now.select(dim).distinct(), dim).where("target > 0")
         scale = there.agg(F.sum("target")).first()[0] or 1.0
         goals[dim] = materialize(there.select(dim, (F.col("target") / float(scale)).alias("goal")))
-    for _ in range(rounds):
+    errors: list[float] = []
+    while rounds is None or len(errors) < rounds:
         off = F.lit(0.0)
         step = now
         for dim in DIMS:
@@ -102,8 +112,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             off = F.greatest(off, F.max(f"off_{dim}"))
         step = materialize(step)
         now = step.select(*DIMS, "n_tokens", "weight")
-        if (step.agg(off).first()[0] or 0.0) < tolerance:
+        errors.append(step.agg(off).first()[0] or 0.0)
+        if errors[-1] < tolerance:
+            return now
+        if rounds is None and len(errors) > PATIENCE and min(errors[-PATIENCE:]) > 0.9 * min(errors[:-PATIENCE]):
             break
+    logging.getLogger(__name__).warning("targets not met after %d rounds of raking: largest relative error %g", len(errors), errors[-1] if errors else 1.0)
     return now
 
 
@@ -123,38 +137,55 @@ def inclusion(raked: DataFrame, budget: float) -> DataFrame:
     return raked.withColumn("prob", F.least(F.lit(1.0), F.lit(c) * ratio))
 
 
+def rates(raked: DataFrame, budget: float) -> DataFrame:
+    """``raked`` with ``prob``: the expected copies of a document, the expected tokens being ``budget`` in the raked shares."""
+    scale = budget / float(raked.agg(F.sum("weight")).first()[0] or 1)
+    return raked.withColumn("prob", F.lit(scale) * F.col("weight") / F.col("n_tokens"))
+
+
 def draw(doc_id: Column) -> Column:
     """A number in [0, 1) from the md5 of the id: its first 12 hex digits."""
     digest = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, 12)
     return F.conv(digest, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
+def copies(doc_id: Column, rate: Column) -> Column:
+    """How often a document is taken; on average ``rate`` times."""
+    return (F.floor(rate) + (draw(doc_id) < rate - F.floor(rate)).cast("long")).cast("int")
+
+
+def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, repeats: bool = False) -> DataFrame:
     """source, lang, topic, prob of each cell of ``rows`` (from ``cells_of``) that has tokens.
 
     ``targets``: per dimension a table (dimension, target), any positive scale.
+    With ``repeats`` prob is the expected number of copies and may be above 1.
     """
     cells = materialize(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n_tokens")))
     goals = targets or {d: default_targets(cells, d) for d in DIMS}
     total = float(cells.agg(F.sum("n_tokens")).first()[0] or 0)
-    return materialize(inclusion(rake(cells, goals), budget * total).select(*DIMS, "prob"))
+    scaled = rates if repeats else inclusion
+    return materialize(scaled(rake(cells, goals), budget * total).select(*DIMS, "prob"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, prob, sampled for each row of ``docs``."""
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, repeats: bool = False) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, prob, sampled for each row of ``docs``; with ``repeats`` also rate and copies."""
     rows = materialize(cells_of(docs))
-    out = rows.join(probabilities(rows, targets, budget), list(DIMS), "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
-    return out.select("doc_id", *DIMS, "n_tokens", "prob", (draw(F.col("doc_id")) < F.col("prob")).alias("sampled"))
+    out = rows.join(probabilities(rows, targets, budget, repeats), list(DIMS), "left").withColumn("prob", F.coalesce("prob", F.lit(0.0)))
+    rate, prob = F.col("prob"), F.least(F.lit(1.0), F.col("prob"))
+    more = [rate.alias("rate"), copies(F.col("doc_id"), rate).alias("copies")] if repeats else []
+    return out.select("doc_id", *DIMS, "n_tokens", prob.alias("prob"), (draw(F.col("doc_id")) < prob).alias("sampled"), *more)
 
 
 def op1_source_mixing(spark, sf_dir: str) -> DataFrame:
-    """Every document with its cell, calibrated probability (12 places) and fate."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("prob", F.round("prob", 12))
+    """Every document with its cell, calibrated probability and expected copies (12 places each) and fate."""
+    got = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), repeats=True)
+    return got.withColumn("prob", F.round("prob", 12)).withColumn("rate", F.round("rate", 12))
 
 
 def sampled_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The sampled rows of ``docs`` with ``sample_prob``."""
-    probs = probabilities(cells_of(docs), targets, budget)
+    """The sampled rows of ``docs``, each as often as it is taken, with ``sample_prob``, the expected number of its copies."""
+    probs = probabilities(cells_of(docs), targets, budget, repeats=True)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "sample_prob"]).alias("row")
-    rows = cells_of(docs, whole).join(probs, list(DIMS), "left")
-    return rows.where(draw(F.col("doc_id")) < F.col("prob")).select("row.*", F.col("prob").alias("sample_prob"))
+    rows = cells_of(docs, whole).join(probs, list(DIMS))
+    times = F.array_repeat(F.lit(0), copies(F.col("doc_id"), F.col("prob")))
+    return rows.select("row", "prob", F.explode(times)).select("row.*", F.col("prob").alias("sample_prob"))

@@ -362,6 +362,30 @@ def test_raking_meets_every_margin(spark):
             assert sum(r["weight"] for r in got if r[d] == name) == pytest.approx(goal / sum(x[1] for x in v), rel=1e-5)
 
 
+def test_sample_meets_targets_that_need_repeats(spark):
+    rows = [(i, "word " * (20 + i % 7), "rare" if i % 30 == 0 else "big", "xy"[i // 30 % 2], "pq"[i % 7 > 4]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
+    goals = {"source": {"rare": 0.5, "big": 0.5}, "lang": {"x": 0.3, "y": 0.7}, "topic": {"p": 0.8, "q": 0.2}}
+    tables = {d: spark.createDataFrame(list(v.items()), f"{d} string, target double") for d, v in goals.items()}
+    got = mixing.mix(df, tables, repeats=True).collect()
+    total = sum(r["n_tokens"] for r in got)
+    for d, v in goals.items():
+        for name, goal in v.items():
+            assert sum(r["n_tokens"] * r["rate"] for r in got if r[d] == name) == pytest.approx(goal * mixing.BUDGET * total, rel=1e-5)
+    assert all(int(r["rate"]) <= r["copies"] <= int(r["rate"]) + 1 and r["sampled"] == (r["copies"] > 0) for r in got)
+    taken = Counter(r["doc_id"] for r in mixing.sampled_documents(df, tables).collect())
+    assert taken == Counter({r["doc_id"]: r["copies"] for r in got if r["copies"]}) and max(taken.values()) > 1
+    tokens = sum(r["n_tokens"] * r["copies"] for r in got if r["source"] == "rare")
+    assert tokens == pytest.approx(0.25 * total, rel=0.1)
+
+
+def test_raking_reports_targets_that_contradict(spark, caplog):
+    df = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "p", 10)], "source string, lang string, topic string, n_tokens long")
+    goals = {"source": [("a", 0.5), ("b", 0.5)], "lang": [("x", 0.9), ("y", 0.1)], "topic": [("p", 1.0)]}
+    mixing.rake(df, {d: spark.createDataFrame(v, f"{d} string, target double") for d, v in goals.items()})
+    assert "targets not met" in caplog.text
+
+
 def test_text_measures():
     assert mixing.measure(None) == mixing.measure(b"") == mixing.measure(b" \t\n") == (0, "short")
     assert mixing.measure(("wort " * 60).encode()) == (60, "prose")

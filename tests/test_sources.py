@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from helpers import D, txn_frame, users_frame
 from ledgerspark import schemas as S
 from ledgerspark.sources import files as IO

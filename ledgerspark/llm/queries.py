@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, lm, mixing, neardup, quality, substrings, toxicity, urlfilter
+from . import ann, decontam, langid, lm, mixing, neardup, orchard, quality, runs, substrings, tokenids, toxicity, urlfilter
 
 
 def llm_queries() -> dict:
@@ -18,4 +18,7 @@ def llm_queries() -> dict:
         "op8_quality_classifier": quality.op8_quality_classifier,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontaminate": decontam.op10_decontaminate,
+        "op11_token_ids": tokenids.op11_token_ids,
+        "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_vector_codes": orchard.op13_vector_codes,
     }

@@ -33,7 +33,7 @@ def test_query_gives_one_row_per_document(spark, table_dir, rows, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in llm_queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in llm_queries()) == list(range(1, 14))
 
 
 # ---------------------------------------------------------------- op 2 ----
@@ -142,7 +142,7 @@ def test_nearest_with_equal_odd_and_null_vectors(spark):
         d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
         want = [i for i in np.lexsort((np.arange(900), d)) if i != q][:10]
         mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
-        assert [m[0] for m in mine] == list(range(1, 11))
+        assert [m[0] for m in mine] == list(range(1, 14))
         assert all(abs(m[2] - d[m[1]]) < 1e-12 for m in mine)
         hits += len({m[1] for m in mine} & set(want))
         if q == 500:

@@ -50,8 +50,9 @@ END_ID = 2
 SHARD_BYTES = 32 << 20
 MAX_BITS = 18
 BLOCK, SPACING = 1 << 18, 256
-CHUNK_BYTES = 8 << 20  # text that is cut and encoded at a time
-MAX_PIECES, MAX_PIECE_BYTES = 600_000, 32 << 20  # remembered pieces are forgotten beyond this
+CHUNK_BYTES = 4 << 20  # text that is cut and encoded at a time
+ROWS = 1024  # texts held at a time
+MAX_PIECES, MAX_PIECE_BYTES = 400_000, 32 << 20  # remembered pieces are forgotten beyond this
 MAGIC = b"HIDS"
 HEADER, HEADER_BYTES = "<4sIII", 16  # magic, ids, spacing, checkpoints
 
@@ -230,7 +231,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int = END_ID, sha
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(vocabulary)
         start = 0
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             data = [np.append(ids, end_id).astype(width) for ids in encoder.encode(texts)]
             n = np.array([len(x) for x in data], np.int64)

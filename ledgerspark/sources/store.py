@@ -3,22 +3,20 @@
 Validation is a set of rule columns turned into an array of error codes;
 batch acceptance is a grouped aggregate per ``batch_id`` (all-or-nothing,
 1..1000 rows) joined back with hot batches salted (``skew.join_back``), so
-a huge batch never sits in one task; the
-accepted rows are appended to Parquet partitioned by ``year_month`` (Spark's
-commit protocol makes a retried task safe). Removal and replacement are
+a huge batch never sits in one task. The stored table itself (journal, ids,
+copy-on-write) is in ``ledger``. Removal and replacement are
 anti-joins, which keep the work distributed and need no row-level delete.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.scalars import month_start, parse_amount, parse_date
+from ..functions.scalars import parse_amount, parse_date
 from ..operators.skew import anti_join, join_back
 
 
@@ -89,53 +87,31 @@ def accept_batches(raw: DataFrame, as_of: dt.date) -> tuple[DataFrame, DataFrame
     return accepted, rejected
 
 
-def with_ids(accepted: DataFrame) -> DataFrame:
-    """Stamp row ids and ``created_at`` on accepted rows. Within one ingest
-    ``monotonically_increasing_id`` is unique per row (partition id in the
-    high bits); hashing it with an id of the ingest and the batch id keeps ids
-    of separate ingests apart, also of equal purchases and equal batch ids. A retried task rewrites its whole output under the commit
-    protocol, so ids within the committed table stay unique."""
-    rid = F.xxhash64(F.lit(uuid.uuid4().hex), F.col("batch_id"), F.spark_partition_id(), F.monotonically_increasing_id())
-    return accepted.select(
-        rid.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("id"),
-        "user_id",
-        "date",
-        "amount",
-        "category",
-        "merchant",
-        "description",
-        F.lit(None).cast("string").alias("predicted_category"),
-        F.current_timestamp().alias("created_at"),
-    )
-
-
 def bulk_ingest(
     raw: DataFrame,
     table_path: str,
     as_of: dt.date,
     rejected_path: str | None = None,
+    ingest_id: str | None = None,
 ) -> dict:
-    """A3: validate, keep whole valid batches, append them to the Parquet
-    table partitioned by ``year_month``; rejects go to a side table."""
-    accepted, rejected = accept_batches(raw, as_of)
-    rows = with_ids(accepted).withColumn("year_month", F.date_format(month_start("date"), "yyyy-MM"))
-    rows = rows.repartition("year_month", F.pmod(F.xxhash64("id"), F.lit(32)))  # a few files a month
-    rows.write.mode("append").partitionBy("year_month").parquet(table_path)
-    if rejected_path:
-        rejected.write.mode("append").parquet(rejected_path)
-    return {"table": table_path, "rejected": rejected_path}
-
-
-def append_one(spark, user_id: int, record: dict, table_path: str, as_of: dt.date) -> dict:
-    """A4: one transaction = a one-row batch."""
+    """A3: validate, keep whole valid batches, publish them in the stored table
+    (``ledger.ingest``); rejects go to a side table. A job that names its
+    ``ingest_id`` may be repeated: it is applied once."""
+    from .ledger import ingest
+
+    return ingest(raw, table_path, as_of, ingest_id, rejected_path)
+
+
+def append_one(spark, user_id: int, record: dict, table_path: str, as_of: dt.date, request_id: str | None = None) -> dict:
+    """A4: one transaction = a one-row batch. A repeated ``request_id`` adds nothing."""
     row = {
-        "batch_id": f"single-{user_id}-{record.get('date')}-{record.get('amount')}",
+        "batch_id": f"single-{user_id}",
         "user_id": str(user_id),
         **{k: (None if record.get(k) is None else str(record.get(k)))
            for k in ("date", "amount", "category", "merchant", "description")},
     }
     raw = spark.createDataFrame([row], S.RAW_UPLOAD)
-    return bulk_ingest(raw, table_path, as_of)
+    return bulk_ingest(raw, table_path, as_of, ingest_id=request_id)
 
 
 def replace_user_rows(txn: DataFrame, new_rows: DataFrame) -> DataFrame:

@@ -330,7 +330,9 @@ def all_queries() -> dict[str, Query]:
     out = sql_checked_queries()
     from .model_queries import model_queries  # imports this module's operators; a broken import fails here
 
-    out.update({k: _q(v) for k, v in model_queries().items()})
+    from .stored_queries import stored_queries
+
+    out.update({k: _q(v) for k, v in {**model_queries(), **stored_queries()}.items()})
     return out
 
 

@@ -1,8 +1,9 @@
 """The stored transactions table (ops A3-A7, A5 point reads, F1 deep pages).
 
-Layout: ``<table>/segment=<name>/year_month=<month>/bucket=<n>/*.parquet``. A segment is
-what one job wrote; its files never change. The published version (``versions``)
-lists the segments with their months, the next row id, the ingests that were
+Layout: ``<table>/segment=<name>/year_month=<month>/bucket=<of>-<n>/*.parquet``. A segment
+is what one job wrote; its files never change, and its months are cut into as many user
+buckets as its rows need. The published version (``versions``)
+lists the segments with their months and buckets, the next row id, the ingests that were
 applied and, per stream, the last epoch and the rows of batches still open.
 
 * **Ingest is repeatable.** The version names every applied ``ingest_id`` and the last
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,11 +42,12 @@ from ..operators.skew import anti_join, hot_rows_setting
 from . import versions as V
 from .store import validate_transactions
 
-BUCKETS = 16  # of a month, by user
+BUCKET_ROWS, MOST_BUCKETS = 500_000, 256  # rows of a month's bucket (about), buckets of a month
+BUCKET_ROWS_CONF = "spark.ledgerspark.bucketRows"
 TRIES = 5  # when other jobs publish in between
 STORED = T.StructType([T.StructField(f.name, f.dataType, True) for f in S.TRANSACTIONS.fields]
                       + [T.StructField("segment", T.StringType()), T.StructField("year_month", T.StringType()),
-                         T.StructField("bucket", T.IntegerType())])
+                         T.StructField("bucket", T.StringType())])
 RAW = [f.name for f in S.RAW_UPLOAD.fields]
 
 
@@ -54,12 +57,18 @@ RAW = [f.name for f in S.RAW_UPLOAD.fields]
 def state(spark: SparkSession, table: str) -> dict:
     """What the newest version says; ``last`` is the highest number in use."""
     last, doc = V.latest(spark, table)
-    empty = {"next_id": 1, "buckets": BUCKETS, "segments": {}, "rejected": [], "closed": [], "ingests": [], "streams": {}, "version": 0}
+    empty = {"next_id": 1, "segments": {}, "rejected": [], "closed": [], "ingests": [], "streams": {}, "version": 0}
     return {**empty, **(doc or {}), "last": last}
 
 
 def user_bucket(user_id: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(user_id.cast("long")), F.lit(buckets)).cast("int")
+    return F.concat(F.lit(f"{buckets}-"), F.pmod(F.xxhash64(user_id.cast("long")), F.lit(buckets)))
+
+
+def buckets_for(spark: SparkSession, rows: int, months: int) -> int:
+    """A power of two, so that a month's bucket holds about ``BUCKET_ROWS`` rows."""
+    per = int(spark.conf.get(BUCKET_ROWS_CONF, str(BUCKET_ROWS))) * max(months, 1)
+    return min(MOST_BUCKETS, 1 << max(0, -(-rows // per) - 1).bit_length())
 
 
 def read_table(spark: SparkSession, table: str, months: list[str] | None = None, user_id: int | None = None,
@@ -67,13 +76,13 @@ def read_table(spark: SparkSession, table: str, months: list[str] | None = None,
     """The published rows, with ``segment``, ``year_month`` and ``bucket``. ``months`` names the
     folders to look at; ``user_id`` prunes to the user's bucket."""
     v = version or state(spark, table)
-    paths = [f"{table}/segment={s}/year_month={m}" for s, ms in sorted(v["segments"].items()) for m in ms if months is None or m in months]
+    paths = [f"{table}/segment={s}/year_month={m}" for s, ms in sorted(v["segments"].items()) for m in ms["months"] if months is None or m in months]
     rows = spark.read.schema(STORED).option("basePath", table).parquet(*paths) if paths else spark.createDataFrame([], STORED)
     if user_id is not None:
         key = F.lit(user_id).cast("long")
-        # the bucket as a literal, so that it prunes folders
-        b = spark.range(1).select(user_bucket(key, v["buckets"])).first()[0]
-        rows = rows.where((F.col("bucket") == F.lit(b)) & (F.col("user_id") == key))
+        # constants, so that they prune folders
+        of = [F.col("bucket") == user_bucket(key, b) for b in sorted({x["buckets"] for x in v["segments"].values()})]
+        rows = rows.where(reduce(lambda a, b: a | b, of, F.lit(False)) & (F.col("user_id") == key))
     return rows
 
 
@@ -115,15 +124,16 @@ def user_page(spark: SparkSession, table: str, user_id: int, skip: int = 0, limi
 # ---------------------------------------------------------------- writing ----
 
 
-def _write_segment(rows: DataFrame, table: str, segment: str, buckets: int) -> list[str]:
-    """``rows`` as a segment; its months. Rebalancing splits a hot user's bucket and
+def _write_segment(rows: DataFrame, table: str, segment: str, buckets: int) -> dict:
+    """``rows`` as a segment; its months and buckets. Rebalancing splits a hot user's bucket and
     joins small ones by measured sizes."""
     rows = rows.select(*S.TRANSACTIONS.fieldNames()).withColumns(
         {"year_month": F.date_format(month_start("date"), "yyyy-MM"), "bucket": user_bucket(F.col("user_id"), buckets)}
     )
     rows = rows.hint("rebalance", "year_month", "bucket").sortWithinPartitions("year_month", "bucket", "user_id", "date", "id")
     rows.write.partitionBy("year_month", "bucket").parquet(f"{table}/segment={segment}")
-    return [n.partition("=")[2] for n in V.names(rows.sparkSession, f"{table}/segment={segment}") if n.startswith("year_month=")]
+    months = [n.partition("=")[2] for n in V.names(rows.sparkSession, f"{table}/segment={segment}") if n.startswith("year_month=")]
+    return {"months": months, "buckets": buckets}
 
 
 def _publish(spark: SparkSession, table: str, change: Callable[[dict], dict | None]) -> dict:
@@ -199,7 +209,10 @@ def _apply(spark: SparkSession, table: str, now: dict, checked: DataFrame, ready
     ).first()
     new = {**now, "segments": dict(now["segments"]), "rejected": list(now["rejected"]), "closed": list(now["closed"])}
     if totals["rows"]:
-        new["segments"][segment] = _write_segment(_accepted_rows(checked, verdicts, now["next_id"]), table, segment, now["buckets"])
+        span = checked.where("valid").agg(F.min("parsed_date").alias("a"), F.max("parsed_date").alias("z")).first()
+        months = (span["z"].year - span["a"].year) * 12 + span["z"].month - span["a"].month + 1
+        buckets = buckets_for(spark, totals["rows"], months)
+        new["segments"][segment] = _write_segment(_accepted_rows(checked, verdicts, now["next_id"]), table, segment, buckets)
         new["next_id"] = now["next_id"] + totals["rows"]
     out = []
     if totals["ready"] > totals["accepted"]:
@@ -306,22 +319,24 @@ def rewrite_users(spark: SparkSession, table: str, users: DataFrame, new_rows: D
         # a row per folder: bounded by segments and months
         touched = sorted((r["segment"], r["year_month"]) for r in rows.select("user_id", "segment", "year_month").distinct()
                          .join(ids, "user_id", "left_semi").select("segment", "year_month").distinct().collect())
-        new = {**now, "segments": {s: [m for m in ms if (s, m) not in set(touched)] for s, ms in now["segments"].items()}}
+        old = now["segments"]
+        new = {**now, "segments": {s: {**x, "months": [m for m in x["months"] if (s, m) not in set(touched)]} for s, x in old.items()}}
         if touched:
             part = {**now, "segments": {}}
             for s, m in touched:
-                part["segments"].setdefault(s, []).append(m)
+                part["segments"].setdefault(s, {**old[s], "months": []})["months"].append(m)
             kept = anti_join(read_table(spark, table, version=part).drop("segment", "year_month", "bucket"), ids, ["user_id"])
             segment = V.new_name()
-            new["segments"][segment] = _write_segment(kept, table, segment, now["buckets"])
+            new["segments"][segment] = _write_segment(kept, table, segment, max(x["buckets"] for x in part["segments"].values()))
         if new_rows is not None:
             segment = V.new_name()
             order = F.struct(*sorted(new_rows.columns), F.monotonically_increasing_id().alias("_place"))  # equal rows differ in it alone
             at = count_before(new_rows.withColumn("_order", order).withColumn("_one", F.lit(1)), "_order", "_one")
             numbered = at.withColumn("id", F.lit(now["next_id"]) + F.col("before"))
-            new["segments"][segment] = _write_segment(numbered, table, segment, now["buckets"])
-            new["next_id"] = now["next_id"] + new_rows.count()
-        new["segments"] = {s: ms for s, ms in new["segments"].items() if ms}
+            size = new_rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(month_start("date")).alias("months")).first()
+            new["segments"][segment] = _write_segment(numbered, table, segment, buckets_for(spark, size["rows"], size["months"]))
+            new["next_id"] = now["next_id"] + size["rows"]
+        new["segments"] = {s: x for s, x in new["segments"].items() if x["months"]}
         return new
 
     return _publish(spark, table, change)
@@ -345,7 +360,8 @@ def compact(spark: SparkSession, table: str) -> dict:
         if len(now["segments"]) < 2:
             return None
         segment = V.new_name()
-        months = _write_segment(read_table(spark, table, version=now).drop("segment", "year_month", "bucket"), table, segment, now["buckets"])
-        return {**now, "segments": {segment: months}}
+        size = read_table(spark, table, version=now).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("year_month").alias("months")).first()
+        rows = read_table(spark, table, version=now).drop("segment", "year_month", "bucket")
+        return {**now, "segments": {segment: _write_segment(rows, table, segment, buckets_for(spark, size["rows"], size["months"]))}}
 
     return _publish(spark, table, change)

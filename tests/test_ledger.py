@@ -163,7 +163,11 @@ def test_streamed_files_of_one_batch(spark, tmp_dir):
 def _table(spark, tmp_dir, users=40, per=12):
     t = f"{tmp_dir}/t"
     rows = [_row(f"b{u}-{m}", 1 + k, str(k + 1), str(u), month=f"2025-{m:02d}") for u in range(users) for m in (3, 4, 5) for k in range(per)]
-    LG.ingest(_raw(spark, rows), t, AS_OF)
+    spark.conf.set(LG.BUCKET_ROWS_CONF, "30")
+    try:
+        LG.ingest(_raw(spark, rows), t, AS_OF)
+    finally:
+        spark.conf.unset(LG.BUCKET_ROWS_CONF)
     return t
 
 
@@ -174,7 +178,7 @@ def test_replace_and_purge_rewrite_only_what_they_touch(spark, tmp_dir, monkeypa
     april = spark.createDataFrame([(99,)], "user_id long")
     LG.purge(spark, t, april)
     assert LG.transactions(spark, t).where("user_id = 99").count() == 0 and LG.transactions(spark, t).count() == before - 1
-    live = {f"segment={s}/year_month={m}" for s, ms in LG.state(spark, t)["segments"].items() for m in ms}
+    live = {f"segment={s}/year_month={m}" for s, x in LG.state(spark, t)["segments"].items() for m in x["months"]}
     assert sum(f.rsplit("/bucket", 1)[0] in live for f in files) == len(files) - 1  # all but the file of June
     assert set(_files(t)) == set(files)  # nothing was copied
     new = txn_frame(spark, [(0, 7, "2025-06-03", 9.5, "Rent"), (0, 7, "2025-06-03", 9.5, "Rent")])
@@ -214,6 +218,10 @@ def test_deep_pages(spark, tmp_path_factory, skip, limit):
     assert _opened(page) <= -(-limit // 12) + 1  # the months that the page lies in
 
 
+def test_buckets_follow_the_rows(spark):
+    assert [LG.buckets_for(spark, n, 2) for n in (0, 1, 10**6, 10**6 + 1, 4 * 10**6, 10**12)] == [1, 1, 1, 2, 4, 256]
+
+
 def test_an_empty_table(spark, tmp_dir):
     t = f"{tmp_dir}/none"
     assert LG.transactions(spark, t).count() == 0 == LG.user_page(spark, t, 1).count()

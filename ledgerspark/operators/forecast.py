@@ -1,14 +1,17 @@
 """Spend forecasting (ops I11-I15, D12, E10).
 
-One global model, fitted once with ``pyspark.ml``; features are computed
-per user at scoring time (E5/E6 over each user's daily series, which is
+Every user has a model of their own (``forecast_users``); the series of all users'
+spending together can be fitted as well, with ``pyspark.ml``. Features are computed
+per user (E5/E6 over each user's daily series, which is
 bounded by the calendar). The horizon is generated with
 ``explode(sequence(...))`` per user: no driver loop over days or users.
 
-* ridge (I11): ``LinearRegression`` with an L2 penalty equal to
+* ridge (I11): per user in closed form; over all users' spending
+  ``LinearRegression`` with an L2 penalty equal to
   scikit-learn's ``alpha`` (``regParam = alpha * std(y) / n`` with the
   normal-equation solver; Spark scales the penalty by the label's spread).
-* seasonal (I12): additive trend with hinge changepoints and Fourier
+* seasonal (I12): per user with sparse changepoints; over all users' spending
+  additive trend with hinge changepoints and Fourier
   weekly / monthly / yearly terms, fitted by ``LinearRegression`` with L2.
 """
 
@@ -24,14 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..session import reliable_checkpoint
 from . import features as FE
+from . import forecast_users as FU
 from .metrics import regression_metrics
 
 
 @dataclass
 class ForecastModel:
     kind: str  # "ridge" | "seasonal"
-    pipeline: PipelineModel
+    pipeline: PipelineModel | FU.UserRidge | FU.UserSeasonal
     features: list
     metrics: dict = field(default_factory=dict)
     extra: dict = field(default_factory=dict)
@@ -78,11 +83,20 @@ def fit_ridge(txn: DataFrame, horizon: int = S.FORECAST_DEFAULT_DAYS, alpha: flo
               per_user: bool = True, leak_free: bool = False) -> ForecastModel:
     """I11 (+ D12): fit on the train part, RMSE/MAPE on the holdout.
 
-    ``per_user=True`` pools every user's daily rows into one fit, so that it is
-    on the scale of the users it scores; ``per_user=False`` fits the global daily series."""
+    ``per_user=True`` fits every user's daily series on its own; ``per_user=False`` fits
+    the global daily series. The metrics are those of all holdout rows together; a
+    user's own are in ``pipeline.table``."""
+    feats = FE.FORECAST_FEATURES
+    if per_user:
+        frame = reliable_checkpoint(ridge_training_frame(txn, horizon, True, leak_free))
+        model = FU.fit_ridge_per_user(frame, alpha)
+        model.table = reliable_checkpoint(model.table)
+        days = model.table.agg(F.sum("n_train")).first()[0]
+        if days is None:
+            raise ValueError("no training rows after lags: need at least 8 dates")
+        return ForecastModel("ridge", model, feats, {**FU.pooled(model.table), "model_type": "regression_fallback", "training_days": int(days)})
     frame = ridge_training_frame(txn, horizon, per_user, leak_free).cache()
     train = frame.filter("is_train")
-    feats = FE.FORECAST_FEATURES
     model = _ridge(feats, _ridge_reg(train, alpha)).fit(train)
     test = frame.filter(~F.col("is_train"))
     r = regression_metrics(model.transform(test)).first()
@@ -132,14 +146,20 @@ def forecast_points(fm: ForecastModel, txn: DataFrame, users: DataFrame | None =
 
 
 def forecast_summary(points: DataFrame, fm: ForecastModel | None = None, days: int = S.FORECAST_DEFAULT_DAYS) -> DataFrame:
-    """Per user: total of the points, days, model name, holdout metrics."""
+    """Per user: total of the points, days, model name, the user's holdout metrics (those
+    of the model where it is one for all)."""
     rmse = fm.metrics.get("forecast_rmse") if fm else None
     mape = fm.metrics.get("forecast_mape") if fm else None
+    own = fm.pipeline.table if fm and isinstance(fm.pipeline, FU.UserRidge | FU.UserSeasonal) else None
     g = points.groupBy("user_id", "model_used").agg(
         F.round(F.sum("predicted_amount"), 2).alias("total_predicted"),
         F.count(F.lit(1)).alias("forecast_days"),
     )
     insufficient = F.col("model_used") == "Insufficient Data"
+    if own is not None:
+        zero = F.lit(0.0)
+        metric = [F.when(insufficient, zero).otherwise(F.round(c, 2)).alias(c) for c in ("rmse", "mape")]
+        return g.join(own.select("user_id", "rmse", "mape"), "user_id", "left").select(*g.columns, *metric)
     return g.withColumns(
         {
             "rmse": F.when(insufficient, F.lit(0.0)).otherwise(F.lit(rmse).cast("double")),
@@ -246,36 +266,26 @@ def seasonal_points(fm: ForecastModel, days: int = S.FORECAST_DEFAULT_DAYS) -> D
     )
 
 
+def fit_seasonal_per_user(txn: DataFrame, horizon: int = S.FORECAST_DEFAULT_DAYS) -> ForecastModel:
+    """I12 for every user on their own series; ``pipeline.table`` holds a row per user."""
+    model = FU.fit_seasonal_per_user(FE.daily_totals(txn), horizon)
+    model.table = reliable_checkpoint(model.table)
+    r = model.table.agg(F.sum(F.col("n_days") - F.col("n_test")).alias("train")).first()
+    return ForecastModel("seasonal", model, [], {**FU.pooled(model.table), "model_type": "seasonal", "training_days": int(r["train"] or 0)})
+
+
 def seasonal_points_per_user(fm: ForecastModel, txn: DataFrame, days: int = S.FORECAST_DEFAULT_DAYS) -> DataFrame:
-    """I13 (seasonal) per user, on the user's own scale: the pooled series is
-    forecast once and each user gets the part that their spending has in it.
-    The <= 60 points are attached as a literal array and exploded per user (no
-    cross join)."""
-    spent = txn.groupBy("user_id").agg(F.sum(F.col("amount")).alias("spent"))
-    whole = float(spent.agg(F.sum("spent")).first()[0] or 1.0)
-    shares = spent.withColumn("share", F.col("spent") / F.lit(whole))
-    pts = seasonal_points(fm, days).orderBy("date").collect()  # bounded: 10..60 rows
-    arr = F.array(
-        *[
-            F.struct(
-                F.lit(p["date"]).alias("date"),
-                F.lit(float(p["predicted_amount"])).alias("predicted_amount"),
-                F.lit(float(p["lower_bound"])).alias("lower_bound"),
-                F.lit(float(p["upper_bound"])).alias("upper_bound"),
-            )
-            for p in pts
-        ]
-    )
-    scaled = [F.round(F.col(f"p.{c}") * F.col("share"), 2).alias(c) for c in ("predicted_amount", "lower_bound", "upper_bound")]
-    return shares.select("user_id", "share", F.lit("seasonal").alias("model_used"), F.explode(arr).alias("p")).select(
-        "user_id", "model_used", "p.date", *scaled
-    )
+    """I13 (seasonal) per user, from the user's own fit and on the user's own scale; zeros for
+    users whose series is too short for one (I14)."""
+    _check_days(days)
+    last = txn.groupBy("user_id").agg(F.max("date").alias("last_date"))
+    return fm.pipeline.points(days).unionByName(FU.without_model(last, fm.pipeline.table, days))
 
 
 def fit_forecaster(txn: DataFrame, model: str = "seasonal", **kw) -> ForecastModel:
     """Explicit model choice; no silent fallback."""
     if model == "seasonal":
-        return fit_seasonal(txn, **kw)
+        return fit_seasonal_per_user(txn, **kw)
     if model == "ridge":
         return fit_ridge(txn, **kw)
     raise ValueError(f"unknown forecast model {model!r}")

@@ -115,8 +115,8 @@ def i12_seasonal_forecast(spark, d):
 
 
 def i12_i15_seasonal_per_user(spark, d):
-    """I15 (explicit model choice) + I12: the global seasonal forecast given
-    to every user, as the reference does [Q11]."""
+    """I15 (explicit model choice) + I12: every user's seasonal forecast, after the last
+    day of the user's own series [Q11]."""
     L = txn_lineitem(spark, d)
     fm = FC.fit_forecaster(L.txn, model="seasonal")
     return FC.seasonal_points_per_user(fm, L.txn)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.scalars import parse_amount, parse_date
+from . import versions
 
 
 CSV_REQUIRED = ["date", "amount", "category"]
@@ -93,40 +94,66 @@ def merge_metrics(*docs: dict) -> dict:
     return out
 
 
+def _kinds() -> dict:
+    """How each kind of stored model is read."""
+    from pyspark.ml import PipelineModel
+
+    from ..operators.forecast_users import UserRidge, UserSeasonal
+    from ..operators.models import MerchantIndex
+
+    return {
+        "pipeline": lambda spark, path: PipelineModel.load(path),
+        "merchant_index": MerchantIndex.load,
+        "user_ridge": UserRidge.load,
+        "user_seasonal": UserSeasonal.load,
+    }
+
+
+def _kind(model) -> str:
+    name = type(model).__name__
+    return {"MerchantIndex": "merchant_index", "UserRidge": "user_ridge", "UserSeasonal": "user_seasonal"}.get(name, "pipeline")
+
+
 def save_models(path: str, models: dict, meta: dict) -> None:
-    """Every fitted ``pyspark.ml`` model under ``path/<name>`` plus a
-    JSON metadata document (feature lists, importances, metrics)."""
+    """A new version of the model store. Every fitted model goes to a folder of the
+    version; the version is published when all are written, with the metadata (feature
+    lists, importances, metrics). Until then, and if the job dies, readers get the set
+    before."""
+    path = path.rstrip("/")
+    spark = SparkSession.getActiveSession()
+    folder = versions.new_name()
+    kinds = {}
     for name, m in models.items():
         if m is None:
             continue
-        target = f"{path.rstrip('/')}/{name}"
+        target = f"{path}/{folder}/{name}"
         if hasattr(m, "write"):
-            m.write().overwrite().save(target)  # pyspark.ml models
+            m.write().save(target)  # pyspark.ml models
         else:
             m.save(target)  # tables such as the merchant index
-    spark = SparkSession.getActiveSession()
-    doc = json.dumps(meta, default=str)
-    spark.createDataFrame([(doc,)], "meta string").coalesce(1).write.mode("overwrite").text(
-        f"{path.rstrip('/')}/_meta"
-    )
+        kinds[name] = _kind(m)
+    doc = {"folder": folder, "models": kinds, "meta": json.loads(json.dumps(meta, default=str))}
+    for _ in range(5):
+        try:
+            return versions.publish(spark, path, versions.latest(spark, path)[0] + 1, doc)
+        except versions.VersionConflict:  # another job published; this set is the newer one
+            continue
+    raise versions.VersionConflict(path)
 
 
 def load_models(spark: SparkSession, path: str, names: list[str]) -> tuple[dict, dict]:
-    """Load what ``save_models`` wrote (missing models -> None)."""
-    from pyspark.ml import PipelineModel
-
-    from ..operators.models import MerchantIndex
-
-    out = {}
-    for n in names:
-        p = f"{path.rstrip('/')}/{n}"
-        if missing(spark, p):  # absent model: heuristic mode (I18); a damaged one fails the job
-            out[n] = None
-        else:
-            out[n] = MerchantIndex.load(spark, p) if n.endswith("index") else PipelineModel.load(p)
-    doc = f"{path.rstrip('/')}/_meta"
-    meta = {} if missing(spark, doc) else json.loads(spark.read.text(doc).first()[0])
-    return out, meta
+    """The models of the newest whole version (one that is not in it -> None, heuristic
+    mode I18; a damaged one fails the job) and its metadata."""
+    path = path.rstrip("/")
+    read = _kinds()
+    doc = versions.latest(spark, path)[1]
+    if doc is not None:
+        models = {n: read[doc["models"][n]](spark, f"{path}/{doc['folder']}/{n}") if n in doc["models"] else None for n in names}
+        return models, doc["meta"]
+    for n in names:  # a folder without a version is no empty store
+        if not missing(spark, f"{path}/{n}"):
+            raise ValueError(f"{path} holds {n}, but no published version")
+    return dict.fromkeys(names), {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -177,3 +177,25 @@ def test_csv_columns_by_header_name(spark, tmp_dir):
         f.write("date,amount\n2025-06-01,1\n")
     with pytest.raises(ValueError):
         IO.csv_source(spark, bad)
+
+
+def test_a_crash_between_two_models_leaves_the_old_set(spark, tmp_dir):
+    from ledgerspark.operators.forecast_users import UserRidge
+
+    class Broken:
+        def save(self, path):
+            raise OSError("lost")
+
+    def table(x):
+        return UserRidge(spark.createDataFrame([(1, [x], 0.5)], "user_id long, coef array<double>, intercept double"), ["f"])
+
+    path = os.path.join(tmp_dir, "store")
+    assert IO.load_models(spark, path, ["forecast"]) == ({"forecast": None}, {})
+    IO.save_models(path, {"forecast": table(1.0), "risk": None}, {"k": 1})
+    with pytest.raises(OSError):
+        IO.save_models(path, {"forecast": table(2.0), "risk": Broken()}, {"k": 2})
+    models, meta = IO.load_models(spark, path, ["forecast", "risk"])
+    assert models["risk"] is None and meta == {"k": 1} and models["forecast"].table.first()["coef"] == [1.0]
+    IO.save_models(path, {"forecast": table(3.0)}, {"k": 3})
+    models, meta = IO.load_models(spark, path, ["forecast"])
+    assert meta == {"k": 3} and models["forecast"].table.first()["coef"] == [3.0]

@@ -193,3 +193,22 @@ def contains_ci(text, needle: str) -> Column:
 def js_round(c) -> Column:
     """Math.round for the dashboard: half rounds up."""
     return F.floor(col(c) + F.lit(0.5)).cast("long")
+
+
+# -------------------------------------------------------------- bitmaps ----
+
+def category_bits(c="category") -> Column:
+    """One bit per category of the schema, one more for any other; NULL for none. The
+    bits of a group's rows, or-ed, count its distinct categories without a row each."""
+    known = F.array_position(F.array(*[F.lit(x) for x in S.CATEGORIES]), col(c)).cast("int")
+    return F.pow(F.lit(2), known).cast("long")
+
+
+def day_bits(c="date") -> Column:
+    """One bit per day of the month (for rows of one month)."""
+    return F.pow(F.lit(2), F.dayofmonth(col(c))).cast("long")
+
+
+def distinct_bits(bits: Column) -> Column:
+    """How many distinct values a group has, from the bits of its rows (an aggregate)."""
+    return F.coalesce(F.bit_count(F.bit_or(bits)), F.lit(0)).cast("long")

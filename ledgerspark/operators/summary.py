@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.scalars import cents, js_round, month_start, month_text
+from ..functions.scalars import category_bits, cents, day_bits, distinct_bits, js_round, month_start, month_text
 from .filters import by_month
 
 
@@ -28,7 +28,7 @@ def month_totals(txn: DataFrame) -> DataFrame:
     return txn.groupBy("user_id", month_start("date").alias("year_month")).agg(
         F.sum(cents("amount")).alias("total_cents"),
         F.count(F.lit(1)).alias("transaction_count"),
-        F.countDistinct("date").alias("active_days"),
+        distinct_bits(day_bits()).alias("active_days"),
     )
 
 
@@ -46,7 +46,7 @@ def month_summary(
     agg = by_month(txn, y, m).groupBy("user_id").agg(
         F.sum(cents("amount")).alias("total_cents"),
         F.count(F.lit(1)).alias("transaction_count"),
-        F.countDistinct("date").alias("active_days"),
+        distinct_bits(day_bits()).alias("active_days"),
     )
     total = F.coalesce(F.col("total_cents"), F.lit(0)) / F.lit(100.0)
     return users.select("user_id").join(agg, "user_id", "left").select(
@@ -242,9 +242,13 @@ def daily_trend(txn: DataFrame, latest: int = 50, days: int = 30) -> DataFrame:
 
 
 def distinct_values(txn: DataFrame) -> DataFrame:
-    """Per user, distinct categories, months and days."""
-    return txn.groupBy("user_id").agg(
-        F.countDistinct("category").alias("n_categories"),
-        F.countDistinct(month_start("date")).alias("n_months"),
-        F.countDistinct("date").alias("n_days"),
+    """Per user, distinct categories, months and days: bitmaps of days and categories
+    per month, combined before the shuffle, then one row a month."""
+    bits = txn.groupBy("user_id", month_start("date").alias("_month")).agg(
+        F.bit_or(category_bits()).alias("_categories"), F.bit_or(day_bits()).alias("_days")
+    )
+    return bits.groupBy("user_id").agg(
+        distinct_bits(F.col("_categories")).alias("n_categories"),
+        F.count("_month").alias("n_months"),
+        F.coalesce(F.sum(F.bit_count(F.col("_days"))), F.lit(0)).cast("long").alias("n_days"),
     )

@@ -38,3 +38,8 @@ def test_scans_read_only_needed_columns(spark, sf_small):
     plan = _plan(spark, "d1_month_summary", sf_small)
     scan = [line for line in plan.split("\n") if "FileScan parquet" in line and "lineitem" in line][0]
     assert "l_partkey" not in scan and "l_quantity" not in scan and "l_discount" not in scan
+
+
+@pytest.mark.parametrize("name", ["d1_month_summary", "d4_monthly_features", "g2_distinct_values"])
+def test_distinct_counts_expand_no_rows(spark, sf_small, name):
+    assert "Expand" not in _plan(spark, name, sf_small)

@@ -101,8 +101,10 @@ def explanation_figures(
     """Per recommendation: kind and the figures its explanation states.
     Every figure derives from the daily rollup (pass the job's shared one)."""
     r = rollup if rollup is not None else FE.daily_rollup(txn)
-    stats = FE.category_stats(r, users)
-    inv = stats.filter(F.col("category") == "Investments").select("user_id", F.lit(True).alias("_inv"))
+    # a user's categories as one map (bounded: one entry a category), so that recommendations
+    # meet them by user alone
+    entry = F.struct("category", F.struct("pct_of_income", "monthly_avg", "trend"))
+    stats = FE.category_stats(r, users).groupBy("user_id").agg(F.map_from_entries(F.collect_list(entry)).alias("_stats"))
     sav = FE.savings_position(r, users, None).select(
         "user_id", F.col("savings").alias("savings_all"), F.col("savings_rate").alias("savings_rate_all"),
         F.col("monthly_avg").alias("monthly_avg_all"),
@@ -111,14 +113,12 @@ def explanation_figures(
     rise = FE.three_month_rise(r).select("user_id", "first_total", "last_total", "increase_pct")
     j = (
         recs.join(users.select("user_id", "monthly_income"), "user_id")
-        .join(inv, "user_id", "left")
-        .withColumn("has_investments", F.coalesce(F.col("_inv"), F.lit(False)))
-        .drop("_inv")
-        .join(stats.select("user_id", "category", "pct_of_income", "monthly_avg", "trend",
-                           F.lit(True).alias("_has_stats")),
-              ["user_id", "category"], "left")
-        .withColumn("has_stats", F.coalesce(F.col("_has_stats"), F.lit(False)))
-        .drop("_has_stats")
+        .join(stats, "user_id", "left")
+        .withColumn("has_investments", F.coalesce(F.map_contains_key("_stats", F.lit("Investments")), F.lit(False)))
+        .withColumn("_entry", F.col("_stats")[F.col("category")])
+        .withColumns({"pct_of_income": F.col("_entry.pct_of_income"), "monthly_avg": F.col("_entry.monthly_avg"),
+                      "trend": F.col("_entry.trend"), "has_stats": F.col("_entry").isNotNull()})
+        .drop("_stats", "_entry")
         .join(sav, "user_id", "left")
         .join(vel, "user_id", "left")
         .join(rise, "user_id", "left")

@@ -247,18 +247,27 @@ def category_trend(txn: DataFrame) -> DataFrame:
 def category_stats(txn: DataFrame, users: DataFrame) -> DataFrame:
     """Per user and category: total, total / all distinct months of the
     user, share of income, trend (E9). Unrounded; the reference rounds the
-    average to 2 and the share to 4 places for its texts."""
-    r = as_rollup(txn)
-    per_cat = r.groupBy("user_id", "category").agg(F.sum("cents").alias("cents"))
+    average to 2 and the share to 4 places for its texts. Totals and trend are one
+    aggregate over the months of the category."""
+    m = as_rollup(txn).groupBy("user_id", "category", month_start("date").alias("year_month")).agg(F.sum("cents").alias("cents"))
+    w = Window.partitionBy("user_id", "category").orderBy(F.col("year_month").desc())
+    k = F.col("k")
+    per_cat = m.withColumn("k", F.row_number().over(w)).groupBy("user_id", "category").agg(
+        F.sum("cents").alias("cents"),
+        F.max(F.when(k == 3, F.col("cents"))).alias("first_cents"),
+        F.max(F.when(k == 1, F.col("cents"))).alias("last_cents"),
+    )
     months = (
-        r.groupBy("user_id", month_start("date").alias("year_month")).agg(F.count(F.lit(1)).alias("_n"))
+        m.groupBy("user_id", "year_month").agg(F.count(F.lit(1)).alias("_n"))
         .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_months"))
     )
     monthly_avg = (F.col("cents") / F.lit(100.0)) / F.greatest(F.col("n_months"), F.lit(1))
+    # no first_cents: fewer than three months
+    inc = (F.col("last_cents") / F.lit(100.0)) > (F.col("first_cents") / F.lit(100.0)) * F.lit(1.1)
     return (
-        per_cat.join(months, "user_id")
+        per_cat.where(F.col("category").isNotNull()).join(months, "user_id")
         .join(users.select("user_id", "monthly_income"), "user_id")
-        .join(category_trend(r), ["user_id", "category"])
+        .withColumn("trend", F.when(inc, F.lit("increasing")).otherwise(F.lit("stable")))
         .select(
             "user_id",
             "category",
@@ -338,8 +347,9 @@ def spending_velocity(txn: DataFrame, as_of: dt.date) -> DataFrame:
 
 # ----------------------------------------------------------- row level -----
 
-def group_stats_on_rows(txn: DataFrame) -> DataFrame:
-    """Category mean, sample std and count beside each row.
+def group_stats_on_rows(txn: DataFrame, with_first: bool = False) -> DataFrame:
+    """Category mean, sample std and count beside each row (``with_first``: the
+    category's first date and id, too, E13).
 
     Computed as a grouped aggregate joined back on (user, category) instead
     of a window over raw rows: the aggregate is partial/final (skew-safe),
@@ -351,6 +361,7 @@ def group_stats_on_rows(txn: DataFrame) -> DataFrame:
         (F.sum(cents("amount")) / F.lit(100.0) / F.count(F.lit(1))).alias("cat_mean"),
         F.stddev_samp("amount").alias("cat_std"),
         F.count(F.lit(1)).alias("cat_count"),
+        *([F.min(F.struct("date", "id")).alias("first_seen")] if with_first else []),
     )
     return join_back(txn, stats, ["user_id", "category"], "cat_count")
 

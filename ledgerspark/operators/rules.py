@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from .. import texts as TX
 from ..functions.scalars import month_start, plain_number, priority_rank, whole_number, whole_percent
-from .features import as_rollup, first_appearance, group_stats_on_rows, savings_position, three_month_rise
+from .features import as_rollup, group_stats_on_rows, savings_position, three_month_rise
 
 RULE_COLUMNS = [
     "user_id",
@@ -237,21 +237,21 @@ def rule_savings(savings: DataFrame) -> DataFrame:
 def anomalies(txn: DataFrame) -> DataFrame:
     """J5 rows: categories with >= 5 rows and a non-zero sample std, rows
     above mean + 3 x std (the row itself included in the statistics)."""
-    s = group_stats_on_rows(txn)
+    s = group_stats_on_rows(txn, with_first=True)
     hits = s.filter(
         (F.col("cat_count") >= 5)
         & (F.col("cat_std") != 0)
         & (F.col("amount") > F.col("cat_mean") + F.lit(3.0) * F.col("cat_std"))
     )
-    return hits.select("user_id", "id", "date", "category", "amount", "cat_mean", "cat_std", "cat_count")
+    return hits.select("user_id", "id", "date", "category", "amount", "cat_mean", "cat_std", "cat_count", "first_seen")
 
 
-def rule_anomaly(txn: DataFrame, limit: int = S.MAX_ANOMALIES, rollup: DataFrame | None = None) -> DataFrame:
+def rule_anomaly(txn: DataFrame, limit: int = S.MAX_ANOMALIES) -> DataFrame:
     """J5 + F3: the first ``limit`` anomalies per user in category-appearance
-    order, then row order (not the largest ones)."""
-    firsts = first_appearance(rollup if rollup is not None else txn)
-    hits = anomalies(txn).join(firsts.select("user_id", "category", "appearance"), ["user_id", "category"])
-    w = Window.partitionBy("user_id").orderBy("appearance", "date", "id")
+    order (that of the category's first row, E13), then row order (not the largest
+    ones)."""
+    hits = anomalies(txn)
+    w = Window.partitionBy("user_id").orderBy("first_seen", "date", "id")
     top = hits.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
     top = top.withColumn("pos", F.col("pos") - 1)
     msg = F.format_string(
@@ -323,7 +323,7 @@ def all_rules(
         rule_risk(risk),
         rule_forecast(forecast),
         rule_savings(savings_position(r, users, as_of)),
-        rule_anomaly(txn, rollup=rollup),
+        rule_anomaly(txn),
         rule_rising_trend(r),
     ]
     out = parts[0]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,7 @@ from ..operators import forecast as FC
 from ..operators import models as M
 from ..operators import rules as J
 from ..operators import features as FE
-from ..session import reliable_checkpoint
-from ..sources.files import merge_metrics
+from ..sources.files import merge_metrics, scratch_path
 
 
 @dataclass
@@ -97,11 +97,22 @@ def model_outputs(txn: DataFrame, users: DataFrame, models: Models | None, days:
     return risk, fc, pts
 
 
+def by_user(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table bucketed and sorted by user: aggregates,
+    windows and joins per user find their rows together, without an exchange. ``df`` has a
+    bounded number of rows a user."""
+    spark = df.sparkSession
+    name = f"ledgerspark_by_user_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(buckets, "user_id")  # a bucket a task
+    rows.write.option("path", scratch_path(spark, name)).bucketBy(buckets, "user_id").sortBy("user_id").saveAsTable(name)
+    return spark.table(name)
+
+
 def shared_rollup(txn: DataFrame) -> DataFrame:
-    """The job's one daily rollup, written to the shared checkpoint folder:
-    every rule and explanation reads it, the fact table is scanned once for
-    them, and a lost executor recomputes from the checkpoint, not the scan."""
-    return reliable_checkpoint(FE.daily_rollup(txn))
+    """The job's one daily rollup (``by_user``): every rule and explanation reads it, the fact
+    table is scanned once for them, and a lost executor rereads it."""
+    return by_user(FE.daily_rollup(txn))
 
 
 def recommendation_job(txn: DataFrame, users: DataFrame, as_of: dt.date, models: Models | None = None,
@@ -115,6 +126,7 @@ def recommendation_job(txn: DataFrame, users: DataFrame, as_of: dt.date, models:
 def explanation_figures_job(txn: DataFrame, users: DataFrame, as_of: dt.date, models: Models | None = None,
                             mode: str = "reference") -> DataFrame:
     """K1 + the figures of K2-K8 for every recommendation of J7."""
+    users = by_user(users)
     risk, fc, _ = model_outputs(txn, users, models)
     r = shared_rollup(txn)
     recs = J.recommendations(J.all_rules(txn, users, as_of, risk, fc, rollup=r))

@@ -43,3 +43,14 @@ def test_scans_read_only_needed_columns(spark, sf_small):
 @pytest.mark.parametrize("name", ["d1_month_summary", "d4_monthly_features", "g2_distinct_values"])
 def test_distinct_counts_expand_no_rows(spark, sf_small, name):
     assert "Expand" not in _plan(spark, name, sf_small)
+
+
+def test_explanations_exchange_little(spark, sf_small):
+    """The rollup and the users are written bucketed by user: without a single broadcast,
+    fewer than ten exchanges remain (most of them of the anomaly rule, on raw rows)."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _plan(spark, "k1_explanation_figures", sf_small).count("Exchange hashpartitioning") < 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

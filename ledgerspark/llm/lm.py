@@ -284,6 +284,9 @@ def fit(train: DataFrame, frequent: int = FREQUENT) -> tuple[DataFrame, Vocabula
     counts = materialize(texts.mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     total = counts.agg(F.sum("n"), F.count("*")).first()
     top = counts.orderBy(F.desc("n"), "code").limit(frequent).collect()
+    end = np.uint64(END).astype(np.int64).item()
+    if all(r["code"] != end for r in top):  # every text has one: it is counted from the shipped counts
+        top += counts.where(F.col("code") == F.lit(end)).collect()
     sums = counts.groupBy(F.col("code").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).agg(F.sum(F.col("n") + 1).alias("s")).collect()
     vocab = Vocabulary([(r["code"], r["n"]) for r in top], {r["b"]: r["s"] for r in sums}, int(total[0] or 0), int(total[1]))
     flat = Model(vocab.unigram).flat()

@@ -21,8 +21,8 @@ splits; a leader's checks are dealt to buckets of ``BUCKET`` members.
 
 Defined cases: null or wordless text has an empty set and is linked with
 nothing; fewer words than a shingle: the whole sequence is the one shingle;
-repeated rows and ids share one class; a null id is linked with nothing and
-kept, component null; empty tables give empty results; extra columns are ignored.
+rows that share an id are one document, linked by the sets of all of its rows; a
+null id is linked with nothing and kept, component null; empty tables give empty results; extra columns are ignored.
 ``deduplicated_documents`` links rows, not ids: repeated and null ids take part
 like any others, and one row of each class stays.
 """
@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_back
 from .common import MIX, WordHash, is_empty, materialize, mix64, shingle_hashes, with_row
 from .graph import connected_components
 
@@ -138,8 +139,30 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
-    Linked: 100 * common shingles >= ``percent`` * all shingles of both.
+    Linked: 100 * common shingles >= ``percent`` * all shingles of both. Where rows share an
+    id, the rows are linked under written keys, and classes that share an id are joined.
     """
+    shared = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if is_empty(shared):
+        return linked_rows(docs, shingle, percent)
+    key = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+    rows = materialize(docs.select("doc_id", "text", key.alias("_key")))
+    got = materialize(linked_rows(rows.select(F.col("_key").alias("doc_id"), "text"), shingle, percent).withColumnRenamed("doc_id", "_key"))
+    known = materialize(got.select("_key", "n_shingles", F.col("component_id").alias("class")).join(rows.select("_key", "doc_id"), "_key"))
+    one = known.groupBy("doc_id").agg(F.min("class").alias("a"), F.count("*").alias("n")).where("n > 1")
+    names = connected_components(known.join(one, "doc_id").where("class <> a").select("a", F.col("class").alias("b")).distinct())
+    classes = known.select("class").distinct().join(names, F.col("class") == F.col("node"), "left").select(
+        "class", F.coalesce("component", "class").alias("component"))
+    sizes = known.groupBy("class").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).join(classes, "class")
+    smallest = sizes.groupBy("component").agg(F.min("low").alias("component_id"))
+    out = join_back(known, materialize(sizes.join(smallest, "component").select("class", "n", "component_id")), ["class"], "n")
+    nameless = got.where("_key is null").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles",
+                                                F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept")).unionByName(nameless)
+
+
+def linked_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``near_duplicates`` of rows whose ids, where they are not null, differ."""
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     sig = materialize(texts.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, same binary, a array<long>, b array<long>"))
     known = sig.where("doc_id is not null and same is not null")

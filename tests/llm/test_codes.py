@@ -313,3 +313,27 @@ def test_hot_label_is_split(spark, tmp_path):
 
 def test_no_vectors(spark, tmp_path):
     assert _table(spark, tmp_path, [(1, None, 1)]) == []
+
+
+# ------------------------------------------------ earlier operators, mended ----
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3, 4), (1, 0, 2, 4, 3)])
+def test_near_duplicates_of_an_id_with_two_texts(spark, order):
+    from ledgerspark.llm import neardup
+
+    a = " ".join(f"w{i}" for i in range(40))
+    x = " ".join(f"x{i}" for i in range(40))
+    rows = [(1, a), (1, x), (2, a + " more"), (3, x), (None, a)]
+    df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").coalesce(1)
+    got = sorted(((r["doc_id"] or 0), r["component_id"], r["kept"]) for r in neardup.near_duplicates(df, 2).collect())
+    assert got == [(0, None, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
+def test_the_end_of_a_text_is_always_counted(spark):
+    from ledgerspark.llm import lm
+
+    df = spark.createDataFrame([(1, "a a a a a b b b b")], "doc_id long, text string")
+    r = lm.score_texts(df, df, frequent=2).first()
+    base = sum(n * np.log10((n + 1) / (10 + 4)) for n in (5, 4, 1))
+    assert (r["n_tokens"], r["n_known"]) == (10, 10) and r["base_score"] == pytest.approx(base)

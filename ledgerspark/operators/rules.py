@@ -360,8 +360,10 @@ def recommendation_summary(recs: DataFrame, users: DataFrame) -> DataFrame:
     return j.select("user_id", "n_recommendations", "n_high", text.alias("summary"))
 
 
-def present(recs: DataFrame) -> DataFrame:
-    """Nested record per user: recommendations sorted, amounts at 2 dp."""
+def present(recs: DataFrame, users: DataFrame | None = None, generated_at: dt.datetime | None = None) -> DataFrame:
+    """J7 record per user: recommendations (sorted, amounts at 2 dp), ``generated_at`` (ISO text;
+    the time of the job if not given) and the summary (J8). With ``users``, those
+    without a recommendation have a record, too."""
     item = F.struct(
         F.col("rec_index"),
         F.col("type"),
@@ -371,4 +373,10 @@ def present(recs: DataFrame) -> DataFrame:
         F.col("category"),
         F.round("amount", 2).alias("amount"),
     )
-    return recs.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("recommendations"))
+    lists = recs.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("recommendations"))
+    users = users if users is not None else recs.select("user_id").distinct()
+    at = F.lit(generated_at.isoformat()) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    empty = F.array().cast(lists.schema["recommendations"].dataType)
+    return recommendation_summary(recs, users).join(lists, "user_id", "left").select(
+        "user_id", F.coalesce("recommendations", empty).alias("recommendations"), at.alias("generated_at"), "summary"
+    )

@@ -156,7 +156,7 @@ def prediction_report(txn: DataFrame, users: DataFrame, models: Models, days: in
     """Per user, the last ten category predictions (F6), the risk
     record (I10) and the forecast record (I13/I14)."""
     FC._check_days(days)
-    preds = M.last_ten_predictions(M.predict_category(models.category, txn))
+    preds = M.last_ten_predictions(M.predict_category(models.category, M.last_rows(txn)))
     cat = preds.groupBy("user_id").agg(
         F.array_sort(
             F.collect_list(F.struct("transaction_id", "id", "predicted_category", F.round("confidence", 4).alias("confidence")))

@@ -5,6 +5,8 @@ boosting rounds and up to 5 folds."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import forecast as FC
@@ -20,8 +22,13 @@ _fitted: dict = {}
 
 
 def _fit(spark, d, kind, fit):
-    """One fit per application, folder and kind: queries over the same model share it."""
-    key = (spark.sparkContext.applicationId, d, kind)
+    """One fit per application, state of the tables and kind: queries over the same model
+    share it, and a table that was written anew gets a new one."""
+    tables = ("events", "lineitem", "orders", "customer", "supplier")
+    files = tuple(sorted(f for t in tables for f in spark.read.parquet(f"{d.rstrip('/')}/{t}.parquet")
+                         .select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string"))
+                         .distinct().toLocalIterator()))
+    key = (spark.sparkContext.applicationId, files, kind)
     if key not in _fitted:
         _fitted[key] = fit()
     return _fitted[key]
@@ -41,7 +48,7 @@ def _lineitem_risk_model(spark, d):
 
 def _all_models(spark, d):
     def fit():
-        L = txn_events(spark, d)
+        L = txn_lineitem(spark, d)  # of several years: the risk model has months to learn from
         return jobs.train_all(L.txn, L.users, num_trees=TREES, risk_iters=RISK_ITERS, folds=FOLDS)
 
     return _fit(spark, d, "all", fit)
@@ -137,7 +144,13 @@ def j7_recommendations_models(spark, d):
 
 def j7_recommendation_records(spark, d):
     L = txn_events(spark, d)
-    return J.present(J.recommendations(J.all_rules(L.txn, L.users, L.as_of)))
+    return J.present(J.recommendations(J.all_rules(L.txn, L.users, L.as_of)), L.users, dt.datetime.combine(L.as_of, dt.time(12)))
+
+
+def j7_record_rows(spark, d):
+    """The J7 records, one row per recommendation (one with none of its fields for a user without)."""
+    r = j7_recommendation_records(spark, d).select("user_id", "generated_at", "summary", F.explode_outer("recommendations").alias("r"))
+    return r.select("user_id", "generated_at", "summary", "r.rec_index", "r.type", "r.priority", "r.confidence", "r.category")
 
 
 def k2_k8_explanations(spark, d):
@@ -151,19 +164,21 @@ def k2_k8_explanations_intent(spark, d):
 
 
 def i16_train_all(spark, d):
-    L = txn_events(spark, d)
+    """I16: all three models at full size; the lineitem adapter spans years, so the risk model is
+    a fitted one."""
+    L = txn_lineitem(spark, d)
     m = jobs.train_all(L.txn, L.users, num_trees=TREES, risk_iters=RISK_ITERS, folds=FOLDS)
     return jobs.model_metrics_view(spark, m.metrics)
 
 
 def k10_explain_report(spark, d):
-    L = txn_events(spark, d)
+    L = txn_lineitem(spark, d)
     m = _all_models(spark, d)
     return jobs.explain_report(L.txn, L.users, L.as_of, m)
 
 
 def i19_prediction_report(spark, d):
-    L = txn_events(spark, d)
+    L = txn_lineitem(spark, d)
     m = _all_models(spark, d)
     return jobs.prediction_report(L.txn, L.users, m)
 
@@ -191,7 +206,7 @@ def model_queries() -> dict:
     fns = [
         i3_i4_category_predict, i4_with_predicted_category, i5_category_cv_metrics, f6_last_ten_predictions, i7_i10_risk_score,
         i6_f8_risk_importances, f4_global_importances, i11_i13_ridge_forecast, i14_insufficient_history,
-        i12_seasonal_forecast, i12_i15_seasonal_per_user, j2_j3_model_rules, j7_recommendations_models, j7_recommendation_records,
+        i12_seasonal_forecast, i12_i15_seasonal_per_user, j2_j3_model_rules, j7_recommendations_models, j7_recommendation_records, j7_record_rows,
         k2_k8_explanations, k2_k8_explanations_intent, i16_train_all, k10_explain_report, i19_prediction_report,
         d1_summary_records, a1_a9_csv_roundtrip,
     ]

@@ -434,6 +434,11 @@ SELECT user_id, n_recommendations, n_high,
        WHEN n_high >= 1 THEN printf('""" + TX.SUMMARY_REVIEW + """', n_recommendations, n_high)
        ELSE printf('""" + TX.SUMMARY_SUGGESTIONS + """', n_recommendations)
   END AS summary FROM summ"""
+    q["j7_record_rows"] = q["j8_recommendation_summary"].replace("SELECT user_id, n_recommendations, n_high,\n", """,
+texts AS (SELECT user_id,
+""", 1).replace("AS summary FROM summ", f"""AS summary FROM summ)
+SELECT t.user_id, '{EVENTS_AS_OF}T12:00:00' AS generated_at, t.summary, r.rec_index, r.type, r.priority, r.confidence, r.category
+FROM texts t LEFT JOIN ranked r USING (user_id)""")
     q.update(metrics_sql())
     q.update(store_sql())
     q.update(more_sql())

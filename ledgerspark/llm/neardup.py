@@ -221,7 +221,7 @@ def deduplicated_documents(docs: DataFrame) -> DataFrame:
     Of a group the row with the smallest doc_id stays (null ids last), of several such the one with the smallest row key.
     """
     rows = materialize(with_row(docs, F.monotonically_increasing_id().alias("_key")))
-    classes = near_duplicates(rows.select(F.col("_key").alias("doc_id"), F.col("row.text").alias("text")))
+    classes = linked_rows(rows.select(F.col("_key").alias("doc_id"), F.col("row.text").alias("text")), 5, 80)
     order = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), F.col("_key").alias("key"))
     seen = materialize(rows.select("_key", order.alias("order")).join(
         classes.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("class")), "_key"))

@@ -10,7 +10,7 @@ value, category by event_type, merchant = ``M`` + props.k. users = distinct
 user ids, income = 3000 + 10 * (user_id % 150). ``as_of`` 2024-01-31. Daily
 operators, anomalies, row-ordered pages (event_id is a unique row id).
 
-Both drop rows dated after ``as_of``: a transaction is never in the future.
+Both keep every row; ``as_of`` sets the report month and the start of recent spans.
 """
 
 from __future__ import annotations

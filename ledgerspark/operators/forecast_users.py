@@ -16,17 +16,25 @@ here every user's series gets its own fit, all users at once.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from . import features as FE
 
+# The fits travel to the Python workers by value: executors need no copy of the package on
+# their path. What they use of other modules is named here.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+MONTH = (S.MONTHLY_PERIOD_DAYS, S.MONTHLY_FOURIER_ORDER)
+CHANGEPOINT_SCALE, SEASON_SCALE = S.CHANGEPOINT_PRIOR_SCALE, S.SEASONALITY_PRIOR_SCALE
+
 BAND_Z = 1.2815515655446004  # 80 % of a normal distribution lie within so many deviations
 CHANGEPOINTS, CHANGEPOINT_RANGE = 25, 0.8  # public defaults of additive seasonal models
 TREND_PRIOR_SCALE = 5.0  # of slope and offset
@@ -124,7 +132,7 @@ def design(t: np.ndarray, span: float, changes: np.ndarray, yearly: bool) -> tup
     """(columns with normal priors: slope, offset, sines and cosines; one hinge a changepoint) of days ``t``."""
     s = t / span
     cols = [s, np.ones(len(t))]
-    terms = [(7.0, 3), (S.MONTHLY_PERIOD_DAYS, S.MONTHLY_FOURIER_ORDER)] + ([(365.25, 10)] if yearly else [])
+    terms = [(7.0, 3), MONTH] + ([(365.25, 10)] if yearly else [])
     for period, order in terms:
         for k in range(1, order + 1):
             cols += [np.sin(2 * np.pi * k * t / period), np.cos(2 * np.pi * k * t / period)]
@@ -174,19 +182,19 @@ class SeasonalFit:
         self.yearly = n > 365
         x, h = design(t, self.span, self.changes, self.yearly)
         z = y / self.scale
-        prior = np.full(x.shape[1], S.SEASONALITY_PRIOR_SCALE ** -2.0)
+        prior = np.full(x.shape[1], SEASON_SCALE ** -2.0)
         prior[:2] = TREND_PRIOR_SCALE**-2
         variance, delta = max(float(z.var()), 1e-10), None
         xx, xh, hh = x.T @ x, x.T @ h, h.T @ h
         for _ in range(SIGMA_ROUNDS):  # noise and coefficients in turn
             solved = np.linalg.solve(xx + np.diag(variance * prior), np.column_stack((xh, x.T @ z)))
             gram, target = hh - xh.T @ solved[:, :-1], h.T @ z - xh.T @ solved[:, -1]
-            delta = l1_path(gram, target, variance / S.CHANGEPOINT_PRIOR_SCALE, delta)
+            delta = l1_path(gram, target, variance / CHANGEPOINT_SCALE, delta)
             beta = solved[:, -1] - solved[:, :-1] @ delta
             rest = z - x @ beta - h @ delta
             kept = delta != 0
             full = np.hstack((x, h))  # a changepoint that was not kept is uncertain, too
-            ridge = np.concatenate((prior, np.full(h.shape[1], 1 / (2 * S.CHANGEPOINT_PRIOR_SCALE**2))))
+            ridge = np.concatenate((prior, np.full(h.shape[1], 1 / (2 * CHANGEPOINT_SCALE**2))))
             inverse = np.linalg.pinv(full.T @ full + np.diag(variance * ridge), hermitian=True)
             # terms that the data decide take away degrees of freedom
             used = float(np.trace(inverse @ (full.T @ full)))

@@ -127,3 +127,20 @@ def test_seasonal_forecasts_of_users(spark):
     wide = {u: np.mean([r["upper_bound"] - r["lower_bound"] for r in p if r["user_id"] == u]) for u in (1, 2)}
     assert wide[2] > 300 * wide[1]
     assert pts.where(F.col("predicted_amount").isNull()).count() == 0
+
+
+def test_fits_need_no_package_on_the_workers(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((FU.fit_series, FU._solve(1, 1.0))))
+    code = """
+import pickle, sys
+import numpy as np, pandas as pd
+fit, solve = pickle.load(open(sys.argv[1], "rb"))
+got = fit(pd.Series(pd.date_range("2024-01-01", periods=40)), np.arange(40.0), 10, 5)
+assert "ledgerspark" not in sys.modules and abs(got["mean"][0] - 40) < 2, got["mean"]
+"""
+    subprocess.run([sys.executable, "-c", code, str(tmp_path / "f")], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})

@@ -296,6 +296,34 @@ def test_toxicity(spark):
     assert [r["score"] for r in none] == [0.0] and toxicity.score_toxicity(docs.limit(0), lab).count() == 0
 
 
+def test_log_odds_of_every_word(spark):
+    """Own and shared entries hold all counts; a text's own words are taken out of its calibration scores."""
+    rng = np.random.default_rng(8)
+    n = [(int(c), int(x), int(y)) for c, x, y in zip(rng.integers(-(1 << 62), 1 << 62, 200), rng.integers(0, 9, 200), rng.integers(0, 9, 200), strict=True)]
+    counts = spark.createDataFrame(n, "code long, clean long, toxic long")
+    code, clean, toxic = (np.array(x) for x in zip(*n, strict=True))
+    for own in (0, 50, 1000):
+        odds = toxicity.log_odds(counts, 1.0, 0.5, own, 4)
+        assert odds.counts.sum(axis=1).tolist() == [clean.sum(), toxic.sum()]
+    total = np.array([clean.sum(), toxic.sum()])
+    more = total / total.sum()
+    want = np.log((toxic + more[1]) / total[1]) - np.log((clean + more[0]) / total[0]) - 0.5
+    np.testing.assert_allclose(odds.of(code.view(np.uint64)), want)
+    twice = odds.without(np.repeat(code.view(np.uint64), 2)[:2], 0) if clean[0] >= 2 else None
+    if twice is not None:
+        np.testing.assert_allclose(twice, np.log((toxic[0] + more[1]) / total[1]) - np.log((clean[0] - 2 + more[0]) / total[0]) - 0.5)
+    np.testing.assert_allclose(odds.of(np.array([12345], np.uint64)), [-0.5])  # never seen
+
+
+def test_label_filter_passes_every_label(spark):
+    known = spark.range(0, 5000, 7).withColumnRenamed("id", "doc_id")
+    held = toxicity.LabelFilter(known)
+    h = spark.range(5000).select(toxicity.id_hash("id").alias("h")).toArrow().column("h").to_numpy()
+    ok = held.may_hold(h)
+    assert ok[::7].all() and ok.mean() < 0.2
+    assert not toxicity.LabelFilter(known.limit(0)).may_hold(h).any()
+
+
 def test_maximal_segments():
     rng = np.random.default_rng(6)
     scores, rest = {b"a": 1.37, b"b": 2.71}, -0.61
@@ -310,8 +338,8 @@ def test_maximal_segments():
         return [] if best is None else direct(lo, best[0], s) + [best[:2]] + direct(best[1], hi, s)
 
     for _ in range(100):
-        w = [[b"a", b"b", b"x", b"y"][k] for k in rng.integers(0, 4, rng.integers(0, 20))]
-        assert sorted((a, b) for a, b, _ in toxicity.segments(w, scores, rest)) == direct(0, len(w), [scores.get(x, rest) for x in w])
+        s = [[scores[b"a"], scores[b"b"], rest, rest, -0.03, -2.3][k] for k in rng.integers(0, 6, rng.integers(0, 20))]
+        assert sorted((a, b) for a, b, _ in toxicity.segments(np.array(s))) == direct(0, len(s), s)
 
 
 # --------------------------------------------------------------- op 10 ----

@@ -1,7 +1,8 @@
 """Quality classifier (operator 8): a weak-label model of overlapping heuristic
 labellers, and a hashed linear scorer trained on its posterior labels.
 
-Each labeller votes good, bad or abstains on a whole text (``LABELLERS``).
+Texts are parsed once, into a written table of votes and hashed features; all later
+steps read that. Each labeller votes good, bad or abstains on a whole text (``LABELLERS``).
 Spark counts the documents of each pattern of votes; there are at most
 3 ** len(LABELLERS) patterns, so this table is bounded at any size.
 Expectation-maximisation on it estimates the share of good texts and each
@@ -21,6 +22,7 @@ repeated rows count and are scored each for itself; extra columns are ignored
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row
+from .common import materialize
 
 GOOD, BAD, NONE = "1", "0", "-"
-FEATURE_BITS = 14
+FEATURE_BITS = 14  # feature numbers are written as 16-bit integers
+MASK = (1 << FEATURE_BITS) - 1
 STEPS, BATCH, RATE = 2, 32, 0.5
 _SYMBOLS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"-?!()")
 _ENDS = b".!?\"')"
@@ -43,10 +46,10 @@ def _share(bad_from: float, good_to: float, x: float) -> str:
     return BAD if x >= bad_from else GOOD if x <= good_to else NONE
 
 
-def votes(text: bytes | None) -> str:
+def votes(text: bytes | None, words: list[bytes] | None = None) -> str:
     """One character per labeller, in the order of ``LABELLERS``."""
     raw = text or b""
-    w = raw.split()
+    w = raw.split() if words is None else words
     n = len(w)
     if not n:
         return NONE * (len(LABELLERS) - 1) + BAD
@@ -70,6 +73,7 @@ def votes(text: bytes | None) -> str:
 LABELLERS = ("symbols", "bars", "capitals", "kinds of words", "commonest word", "ending", "repeated lines", "length")
 _UPPER = [bytes([b]) for b in range(65, 91)]
 _LOWER = bytes(range(97, 123))
+_REPEATS = re.compile(rb"(.)\1+", re.DOTALL)
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
 
 
@@ -79,32 +83,61 @@ class Features(dict):
     def __init__(self, limit: int = 400_000):
         super().__init__()
         self.limit = limit
+        self.shapes: dict[bytes, int] = {}
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        s = w.translate(_SHAPE)
-        shape = bytes(c for i, c in enumerate(s) if not i or c != s[i - 1])
-        mask = (1 << FEATURE_BITS) - 1
-        out = self[w] = (xxhash.xxh3_64_intdigest(w) & mask) | (xxhash.xxh3_64_intdigest(b" " + shape) & mask) << FEATURE_BITS
+        out = self[w] = (xxhash.xxh3_64_intdigest(w) & MASK) | self.shape(w.translate(_SHAPE)) << FEATURE_BITS
         return out
 
-    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """Features of a text with their values (counts by the square root of the sum of squares)."""
-        w = (text or b"").split()
-        if not w:
-            return np.empty(0, np.int64), np.empty(0)
-        both = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
-        n = np.bincount(both & ((1 << FEATURE_BITS) - 1), minlength=1 << FEATURE_BITS) + np.bincount(both >> FEATURE_BITS, minlength=1 << FEATURE_BITS)
-        ids = np.flatnonzero(n)
-        n = n[ids].astype(np.float64)
-        return ids, n / math.sqrt(float((n * n).sum()))
+    def shape(self, s: bytes) -> int:
+        """Feature of a word's kinds of characters, repeats counted once."""
+        got = self.shapes.get(s)
+        if got is None:
+            if len(self.shapes) >= self.limit:
+                self.shapes.clear()
+            got = self.shapes[s] = xxhash.xxh3_64_intdigest(b" " + _REPEATS.sub(rb"\1", s)) & MASK
+        return got
 
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted features of a text's words, with their counts."""
+        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.unique(np.concatenate((both & MASK, both >> FEATURE_BITS)), return_counts=True)
 
-def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    features = Features()
     for batch in batches:
-        c = Counter(votes(t.as_py()) for t in batch.column("text"))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["votes", "n"])
+        vote, ids, n = [], [], []
+        for text in batch.column("_text"):
+            raw = text.as_py() or b""
+            w = raw.split()
+            vote.append(votes(raw, w))
+            i, k = features.of(w)
+            ids.append(i.astype(np.int16))
+            n.append(k.astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), pa.array(vote, pa.string()), pa.array(ids, pa.list_(pa.int16())), pa.array(n, pa.list_(pa.int32()))],
+            names=["row", "votes", "ids", "n"])
+
+
+def parsed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the input row, or its ``carry`` columns), votes, ids and n (features and their counts), written once."""
+    src = docs.select(F.col("text").cast("binary").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"))
+    row = src.schema["row"].dataType.simpleString()
+    return materialize(src.mapInArrow(_parse, f"row {row}, votes string, ids array<smallint>, n array<int>"))
+
+
+def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature ids and values (counts by the square root of the sum of squares) of all texts of a
+    batch one after another, and where each text starts."""
+    ids = batch.column("ids").flatten().to_numpy().astype(np.int64)
+    n = batch.column("n").flatten().to_numpy().astype(np.float64)
+    size = batch.column("n").value_lengths().to_numpy()
+    doc = np.repeat(np.arange(len(size)), size)
+    norm = np.sqrt(np.bincount(doc, n * n, len(size)))
+    return ids, n / norm[doc], np.concatenate(([0], np.cumsum(size)))
 
 
 def weak_labels(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, float], float, np.ndarray]:
@@ -139,21 +172,22 @@ def weak_labels(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str,
 
 def _train(posterior: dict[str, float], weights: np.ndarray, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, w, squares, seen = Features(), weights.copy(), np.full(len(weights), 1e-2), 0
+        w, squares, seen = weights.copy(), np.full(len(weights), 1e-2), 0
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            for i in range(0, len(texts), BATCH):
-                ids, values = zip(*(features.of(t) for t in texts[i : i + BATCH]), strict=True)
-                doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-                ids, values = np.concatenate(ids), np.concatenate(values)
-                s = np.bincount(doc, w[ids] * values, len(texts[i : i + BATCH])) + w[-1]
-                y = np.array([posterior[votes(t)] for t in texts[i : i + BATCH]])
+            ids, values, at = _vectors(batch)
+            wanted = np.array([posterior[v] for v in batch.column("votes").to_pylist()])
+            for i in range(0, len(wanted), BATCH):
+                y = wanted[i : i + BATCH]
+                lo, hi = at[i], at[i + len(y)]
+                f, x = ids[lo:hi], values[lo:hi]
+                doc = np.repeat(np.arange(len(y)), np.diff(at[i : i + len(y) + 1]))
+                s = np.bincount(doc, w[f] * x, len(y)) + w[-1]
                 err = y - 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-                g = np.bincount(ids, err[doc] * values, len(w))
+                g = np.bincount(f, err[doc] * x, len(w))
                 g[-1] = err.sum()
                 squares += g * g
                 w += rate * g / np.sqrt(squares)
-            seen += len(texts)
+            seen += len(wanted)
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w * seen), pa.array(np.full(len(w), float(seen)))], names=["i", "v", "n"])
@@ -163,45 +197,40 @@ def _train(posterior: dict[str, float], weights: np.ndarray, rate: float):
 
 def _score(posterior: dict[str, float], weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
         for batch in batches:
-            vote, weak, score = [], [], []
-            for t in batch.column("_text"):
-                raw = t.as_py()
-                ids, values = features.of(raw)
-                s = float(weights[ids] @ values + weights[-1])
-                vote.append(votes(raw))
-                weak.append(posterior[vote[-1]])
-                score.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))
+            ids, values, at = _vectors(batch)
+            n = batch.num_rows
+            s = np.bincount(np.repeat(np.arange(n), np.diff(at)), weights[ids] * values, n) + weights[-1]
+            weak = [posterior[v] for v in batch.column("votes").to_pylist()]
+            score = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(vote, pa.string()), pa.array(weak, pa.float64()), pa.array(score, pa.float64())],
+                [batch.column("row"), batch.column("votes"), pa.array(weak, pa.float64()), pa.array(score)],
                 names=["row", "votes", "weak_label", "score"])
 
     return run
 
 
-def fit_quality(docs: DataFrame) -> tuple[dict[str, float], np.ndarray]:
-    """Posteriors of the vote patterns, and the scorer's weights (the last: the intercept)."""
-    texts = docs.select(F.col("text").cast("binary").alias("text"))
-    counted = texts.mapInArrow(_patterns, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
+def fit_quality(train: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+    """Posteriors of the vote patterns, and the scorer's weights (the last: the intercept), of ``parsed`` texts."""
+    counted = train.groupBy("votes").agg(F.count("*").alias("n")).collect()
     posterior, _, _ = weak_labels({r["votes"]: r["n"] for r in counted})
     weights = np.zeros((1 << FEATURE_BITS) + 1)
     for k in range(STEPS):
-        mean = texts.mapInArrow(_train(posterior, weights, RATE / (1 + k)), "i int, v double, n double").groupBy("i").agg(
+        mean = train.select("votes", "ids", "n").mapInArrow(_train(posterior, weights, RATE / (1 + k)), "i int, v double, n double").groupBy("i").agg(
             (F.sum("v") / F.sum("n")).alias("v")).collect()
         for r in mean:
             weights[r["i"]] = r["v"]
     return posterior, weights
 
 
-def score_quality(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
-    """``row`` (the input row), votes, weak_label, score (0 to 1, higher: better)."""
-    posterior, weights = fit_quality(docs if train is None else train)
+def score_quality(docs: DataFrame, train: DataFrame | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the input row, or its ``carry`` columns), votes, weak_label, score (0 to 1, higher: better)."""
+    texts = parsed(docs, carry)
+    posterior, weights = fit_quality(texts if train is None else parsed(train.select("text", F.lit(0).alias("_one")), ["_one"]))
     if train is not None:  # patterns that the training rows lack
         posterior = _Default(posterior)
-    src = with_row(docs, F.col("text").cast("binary").alias("_text"))
-    schema = f"row {src.schema['row'].dataType.simpleString()}, votes string, weak_label double, score double"
-    return src.mapInArrow(_score(posterior, weights), schema)
+    schema = f"row {texts.schema['row'].dataType.simpleString()}, votes string, weak_label double, score double"
+    return texts.mapInArrow(_score(posterior, weights), schema)
 
 
 class _Default(dict):
@@ -213,5 +242,5 @@ class _Default(dict):
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Every document with its votes, posterior label, score and verdict (kept: score >= 0.5)."""
-    got = score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    got = score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), carry=["doc_id"])
     return got.select(F.col("row.doc_id").alias("doc_id"), "votes", "weak_label", "score", (F.col("score") >= 0.5).alias("kept"))

@@ -263,6 +263,33 @@ def test_quality(docs, empty):
     assert quality.score_quality(empty).count() == 0
 
 
+def test_quality_features_and_scores_directly(spark, docs, rows):
+    """Written votes, features and counts of every text; scores from them by hand; training rows of their own."""
+    import re
+    from collections import Counter as Count
+
+    import xxhash
+
+    mask = (1 << quality.FEATURE_BITS) - 1
+    texts = quality.parsed(docs, ["doc_id"])
+    assert texts.columns == ["row", "votes", "ids", "n"] and texts.schema["row"].dataType.names == ["doc_id"]
+    posterior, weights = quality.fit_quality(texts)
+    got = {r["row"]["doc_id"]: r for r in texts.collect()}
+    scored = {r["row"]["doc_id"]: r for r in quality.score_quality(docs, carry=["doc_id"]).collect()}
+    for i, text, *_ in rows:
+        raw = (text or "").encode()
+        want = Count()
+        for w in raw.split():
+            shape = re.sub(rb"(.)\1+", rb"\1", w.translate(quality._SHAPE))
+            want.update([xxhash.xxh3_64_intdigest(w) & mask, xxhash.xxh3_64_intdigest(b" " + shape) & mask])
+        assert dict(zip(got[i]["ids"], got[i]["n"], strict=True)) == want and got[i]["votes"] == quality.votes(raw)
+        norm = sum(x * x for x in want.values()) ** 0.5
+        s = sum(weights[f] * x / norm for f, x in want.items()) + weights[-1]
+        assert abs(scored[i]["score"] - 1 / (1 + np.exp(-s))) < 1e-9 and scored[i]["weak_label"] == posterior[scored[i]["votes"]]
+    other = quality.score_quality(docs, docs.where("doc_id < 3"))
+    assert other.count() == len(rows) and 0 <= other.agg(F.min("score")).first()[0]
+
+
 def test_weak_labels_find_the_accurate_labellers():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.7

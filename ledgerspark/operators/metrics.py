@@ -161,3 +161,16 @@ def regression_metrics(scored: DataFrame, label: str = "y", prediction: str = "p
 def class_balance_frame(frame: DataFrame, label: str) -> DataFrame:
     """Class counts and the positive rate."""
     return frame.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_balance_summary(frame: DataFrame, label: str) -> DataFrame:
+    """Rows, positives, negatives, classes, minority count (0 with a single
+    class) and positive rate at 4 dp (0 without rows), in one aggregate."""
+    pos = F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0))
+    one = frame.agg(F.count(label).alias("n"), pos.alias("positives"))
+    both = (F.col("positives") > 0).cast("int") + (F.col("negatives") > 0).cast("int")
+    return one.withColumn("negatives", F.col("n") - F.col("positives")).select(
+        "n", "positives", "negatives", both.cast("long").alias("n_classes"),
+        F.when(both == 2, F.least("positives", "negatives")).otherwise(F.lit(0)).cast("long").alias("minority"),
+        F.when(F.col("n") > 0, F.round(F.col("positives") / F.col("n"), 4)).otherwise(F.lit(0.0)).alias("positive_rate"),
+    )

@@ -24,7 +24,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -243,8 +243,6 @@ def with_predicted_category(cm: CategoryModel, txn: DataFrame) -> DataFrame:
 
 def last_rows(txn: DataFrame, n: int = 10) -> DataFrame:
     """The last n rows of each user by (date, id); a partial group limit runs before the shuffle."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy(F.col("date").desc(), F.col("id").desc())
     return txn.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
@@ -252,8 +250,6 @@ def last_rows(txn: DataFrame, n: int = 10) -> DataFrame:
 def last_ten_predictions(pred: DataFrame, n: int = 10) -> DataFrame:
     """per user, the predictions of the last n rows by (date, id),
     numbered 1..n in date order (position), with the real row id too [Q8]."""
-    from pyspark.sql import Window
-
     last = last_rows(pred, n)
     w_asc = Window.partitionBy("user_id").orderBy("date", "id")
     return last.withColumn("transaction_id", F.row_number().over(w_asc))
@@ -440,3 +436,15 @@ def global_importances(spark: SparkSession, classifier_pairs: list, risk_pairs:
     top = both.orderBy(F.col("importance").desc(), "feature").limit(k)
     # H26 + H13: the label the dashboard shows (prefix stripped, title case)
     return top.withColumn("label", feature_label(strip_model_prefix("feature")))
+
+
+def dashboard_importances(importances: DataFrame, k: int = 10) -> DataFrame:
+    """the first ``k`` rows of F4 as the recommendations page lists them: place, name
+    without the model's prefix, importance and bar width (three times the per cent, 100 at most)."""
+    from ..functions.scalars import strip_model_prefix
+
+    place = F.row_number().over(Window.orderBy(F.col("importance").desc(), "feature"))  # F4 holds a few rows
+    return importances.select(
+        place.cast("long").alias("place"), strip_model_prefix("feature").alias("name"), "importance",
+        F.least(F.lit(100.0), F.col("importance") * 300).alias("bar_width"),
+    ).where(F.col("place") <= k).orderBy("place")

@@ -396,6 +396,13 @@ def d13_class_balance(spark, d):
     return M.class_balance_frame(_persistence_scored(spark, d), "label")
 
 
+def d13_balance_summary(spark, d):
+    """Minority count and positive rate of the scored months."""
+    from ..operators import metrics as M
+
+    return M.class_balance_summary(_persistence_scored(spark, d), "label")
+
+
 # ------------------------------------------------------------- explanations
 
 def k1_explanation_figures(spark, d):
@@ -408,7 +415,7 @@ def k1_explanation_figures(spark, d):
 
 _SQL_CHECKED += [
     d10_confusion_matrix, d10_per_class_metrics, d10_classification_summary, d10_binary_summary, d11_auc_rank,
-    d12_regression_metrics, d13_class_balance, k1_explanation_figures,
+    d12_regression_metrics, d13_class_balance, d13_balance_summary, k1_explanation_figures,
 ]
 
 

@@ -103,6 +103,11 @@ def f4_global_importances(spark, d):
     return M.global_importances(spark, cm.importances, rm.importances)
 
 
+def f7_top_ten_importances(spark, d):
+    """the ten largest global importances (F4) as the page shows them."""
+    return M.dashboard_importances(f4_global_importances(spark, d))
+
+
 def i11_i13_ridge_forecast(spark, d):
     L = txn_lineitem(spark, d)
     fm = FC.fit_ridge(L.txn)
@@ -205,7 +210,7 @@ def a1_a9_csv_roundtrip(spark, d):
 def model_queries() -> dict:
     fns = [
         i3_i4_category_predict, i4_with_predicted_category, i5_category_cv_metrics, f6_last_ten_predictions, i7_i10_risk_score,
-        i6_f8_risk_importances, f4_global_importances, i11_i13_ridge_forecast, i14_insufficient_history,
+        i6_f8_risk_importances, f4_global_importances, f7_top_ten_importances, i11_i13_ridge_forecast, i14_insufficient_history,
         i12_seasonal_forecast, i12_i15_seasonal_per_user, j2_j3_model_rules, j7_recommendations_models, j7_recommendation_records, j7_record_rows,
         k2_k8_explanations, k2_k8_explanations_intent, i16_train_all, k10_explain_report, i19_prediction_report,
         d1_summary_records, a1_a9_csv_roundtrip,

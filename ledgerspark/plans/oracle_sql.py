@@ -563,6 +563,13 @@ s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ds)
 SELECT round(sqrt(avg((prediction - y) * (prediction - y))), 6) AS rmse,
   round(avg(abs(prediction - y) / greatest(abs(y), 2.220446049250313e-16)) * 100, 6) AS mape, COUNT(*) AS n
 FROM s WHERE NOT is_train"""
+    q["d13_balance_summary"] = _scored() + """,
+b AS (SELECT COUNT(label) AS n, CAST(COALESCE(SUM(label), 0) AS BIGINT) AS positives FROM sc)
+SELECT n, positives, n - positives AS negatives,
+  CAST(positives > 0 AS BIGINT) + CAST(n > positives AS BIGINT) AS n_classes,
+  CASE WHEN positives > 0 AND n > positives THEN least(positives, n - positives) ELSE 0 END AS minority,
+  CASE WHEN n > 0 THEN round(positives / n, 4) ELSE 0.0 END AS positive_rate
+FROM b"""
     q["d13_class_balance"] = _scored() + "\nSELECT label, COUNT(*) AS n FROM sc GROUP BY label"
     q["k1_explanation_figures"] = _explain_figs()
     return q

@@ -265,3 +265,21 @@ def test_corner_case_one_day_two_rows(spark, sf_small):
     assert all(r.priority in {"low", "medium", "high"} and 0 <= r.confidence <= 1 for r in recs)
     ex = jobs.explain_report(t, u, as_of, models).first()
     assert len(ex.explanations) == len(recs) and all(e.reasoning for e in ex.explanations)
+
+
+def test_class_balance_summary(spark):
+    row = lambda labels: tuple(M.class_balance_summary(spark.createDataFrame([(x,) for x in labels], "label int"), "label").first())
+    assert row([1, 0, 0, 1, 0, 0, 0]) == (7, 2, 5, 2, 2, 0.2857)
+    assert row([1, 1, 1]) == (3, 3, 0, 1, 0, 1.0)
+    assert row([0]) == (1, 0, 1, 1, 0, 0.0)
+    assert row([]) == (0, 0, 0, 0, 0, 0.0)
+    assert row([None, 1, 0]) == (2, 1, 1, 2, 1, 0.5)
+
+
+def test_dashboard_lists_the_ten_largest_importances(spark):
+    pairs = [(f"feature_{i:02d}", i / 100) for i in range(14)]
+    both = MD.global_importances(spark, pairs, [("ratio", 0.5), ("feature_13", 0.13)])
+    got = [tuple(r) for r in MD.dashboard_importances(both).collect()]
+    assert [r[0] for r in got] == list(range(1, 11))
+    assert got[0] == (1, "ratio", 0.5, 100.0) and got[1][1:3] == got[2][1:3] == ("feature_13", 0.13)
+    assert got[3][1:] == ("feature_12", 0.12, pytest.approx(36.0)) and got[-1][1] == "feature_06"

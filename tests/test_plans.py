@@ -45,6 +45,11 @@ def test_distinct_counts_expand_no_rows(spark, sf_small, name):
     assert "Expand" not in _plan(spark, name, sf_small)
 
 
+def test_supplier_is_joined_only_where_merchants_are_read(spark, sf_small):
+    assert "s_suppkey" not in _plan(spark, "d1_month_summary", sf_small)
+    assert "s_suppkey" in _plan(spark, "d3_top_merchants", sf_small)
+
+
 def test_explanations_exchange_little(spark, sf_small):
     """The rollup and the users are written bucketed by user: without a single broadcast,
     fewer than ten exchanges remain (most of them of the anomaly rule, on raw rows)."""

@@ -33,7 +33,7 @@ GRAM_BITS = 20
 FOLDS, HELD_OUT = 4, 2
 MIN_SCORE = 0.1
 COUNT_CHARS = 1 << 20  # characters of one language counted at a time
-_TOP = 0x30000  # code points from here on count as no letters
+_TOP = 0x40000  # planes 0 to 3 hold all letters; code points from here on are none
 
 
 def letters_table() -> np.ndarray:

@@ -254,6 +254,15 @@ def test_out_of_place_distance():
     assert langid.classify("a-a-b".replace("-", ""), table, langs, ranks, 50) == ("y", 1 - far / (50 * len(order)))
 
 
+def test_every_letter_of_unicode_is_one():
+    table = langid.letters_table()
+    letters = [c for c in range(0x110000) if chr(c).isalpha()]
+    assert max(letters) < langid._TOP and all(table[c] == c for c in letters)
+    langs, ranks = langid.rank_table({"x": [1, 2, 3]}, 50)
+    assert langid.classify(chr(0x30000) * 5, table, langs, ranks, 50)[0] == "x"
+    assert langid.classify(chr(0x10FFFD) * 5, table, langs, ranks, 50) == ("und", 0.0)
+
+
 # ---------------------------------------------------------------- op 8 ----
 
 def test_quality(docs, empty):

@@ -128,6 +128,44 @@ class Vocabulary:
         return np.where(codes == np.uint64(END), END_UNIT, unit)
 
 
+class Words(dict):
+    """word -> its row in ``code``, ``count``, ``at`` and ``unit``, looked up in the vocabulary once;
+    about ``limit`` words are remembered."""
+
+    def __init__(self, vocab: Vocabulary, limit: int = 400_000):
+        super().__init__()
+        self.vocab, self.limit = vocab, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[int] = []
+        self.code = np.empty(1 << 10, np.uint64)
+        self.count, self.at, self.unit = (np.empty(1 << 10, np.int64) for _ in range(3))
+        self[b" end"]  # row 0; no word holds a space
+
+    def __missing__(self, w: bytes) -> int:
+        at = self[w] = len(self)
+        self.new.append(code(w))
+        return at
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        """Rows of the text's words and the end; they hold until the next call."""
+        if len(self) > self.limit:
+            self.forget()
+        w = text.lower().split() if text else []
+        out = np.zeros(len(w) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+        if self.new:
+            while len(self.code) < len(self):
+                self.code, self.count, self.at, self.unit = (np.concatenate((a, a)) for a in (self.code, self.count, self.at, self.unit))
+            rows, codes = slice(len(self) - len(self.new), len(self)), np.array(self.new, np.uint64)
+            n, at = self.vocab.count_of(codes)
+            self.code[rows], self.count[rows], self.at[rows], self.unit[rows] = codes, n, at, self.vocab.unit_of(codes, at)
+            self.new = []
+        return out
+
+
 class Model:
     """Context vectors, a matrix per context place, unit vectors and biases."""
 
@@ -149,16 +187,19 @@ class Model:
         """Natural-log probability of each target unit, normalised over all units."""
         r, c, t, b = self.parts
         table = np.stack([r @ c[i] for i in range(CONTEXT)])
-        up, ones = np.ascontiguousarray(t.T), np.ones(UNITS, np.float32)
+        up, ones = np.ascontiguousarray(np.concatenate((t, b[:, None]), axis=1).T), np.ones(UNITS, np.float32)
+        # no score is larger than this: up to 80, exp() and its sums stay in range without a shift
+        bound = sum(np.sqrt((table[j] ** 2).sum(axis=1)).max() for j in range(CONTEXT)) * np.sqrt((t**2).sum(axis=1)).max() + np.abs(b).max()
         out = np.empty(len(target), np.float64)
+        q = np.ones((rows, DIM + 1), np.float32)
         for i in range(0, len(target), rows):
             ctx, y = context[i : i + rows], target[i : i + rows]
-            q = table[0][ctx[:, 0]]
+            q[: len(y), :DIM] = table[0].take(ctx[:, 0], axis=0)
             for j in range(1, CONTEXT):
-                q += table[j][ctx[:, j]]
-            s = q @ up
-            s += b
-            s -= s.max(axis=1, keepdims=True)  # exp() stays in range and each row's sum is at least 1
+                q[: len(y), :DIM] += table[j].take(ctx[:, j], axis=0)
+            s = q[: len(y)] @ up
+            if not bound < 80:
+                s -= s.max(axis=1, keepdims=True)  # each row's sum is at least 1
             picked = s[np.arange(len(y)), y]
             np.exp(s, out=s)
             out[i : i + rows] = picked - np.log(s @ ones)
@@ -172,30 +213,58 @@ class Trainer:
         self.model, self.noise, self.rate = model, unigram, rate
         self.log_noise = np.log(unigram * NOISE).astype(np.float32)
         self.rng = np.random.default_rng(seed)
-        self.squares = [np.full_like(p, 0.1) for p in model.parts]
         self.cdf = np.cumsum(unigram)
+        # parameters, gradients and squares lie in one array each, so that a step updates all at once
+        self.values, model.parts = _joined(model.parts)
+        self.grad, self.slopes = _joined([np.zeros_like(p) for p in model.parts])
+        self.squares = np.full_like(self.values, 0.1)
+        self.cells = np.arange(UNITS * CONTEXT * DIM).reshape(-1, DIM)  # of sums by unit, context place and dimension
 
     def step(self, ctx: np.ndarray, y: np.ndarray) -> None:
         r, c, t, b = self.model.parts
+        dr, dc, dt, db = self.slopes
         n = len(y)
-        rows = [r[ctx[:, j]] for j in range(CONTEXT)]
-        q = sum(rows[j] @ c[j] for j in range(CONTEXT))
+        side = c.transpose(1, 0, 2).reshape(DIM, CONTEXT * DIM)  # the matrices beside each other
+        place = ctx * CONTEXT + np.arange(CONTEXT)
+        moved = (r @ side).reshape(-1, DIM)
+        q = moved.take(place[:, 0], axis=0)
+        for j in range(1, CONTEXT):
+            q += moved.take(place[:, j], axis=0)
         z = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE)), UNITS - 1)
-        true = 1 / (1 + np.exp(np.clip((q * t[y]).sum(axis=1) + b[y] - self.log_noise[y], -30, 30)))  # 1 - sigmoid
-        fake = -1 / (1 + np.exp(-np.clip(q @ t[z].T + b[z] - self.log_noise[z], -30, 30)))
-        dq = (true[:, None] * t[y] + fake @ t[z]) / n
-        dt, db, dr, dc = np.zeros_like(t), np.zeros_like(b), np.zeros_like(r), np.empty_like(c)
-        np.add.at(dt, y, q * (true / n)[:, None])
-        np.add.at(db, y, true / n)
-        np.add.at(dt, z, fake.T @ q / n)
-        np.add.at(db, z, fake.sum(axis=0) / n)
-        for j in range(CONTEXT):
-            dc[j] = rows[j].T @ dq
-            np.add.at(dr, ctx[:, j], dq @ c[j].T)
-        for p, sq, g in zip(self.model.parts, self.squares, (dr, dc, dt, db), strict=True):
-            g = g * np.float32(n)
-            sq += g * g / n
-            p += np.float32(self.rate) * g / np.sqrt(sq * n)
+        own, other = t.take(y, axis=0), t.take(z, axis=0)
+        bias = b - self.log_noise
+        true = 1 / (n * (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, own) + bias[y], -30, 30))))  # 1 - sigmoid
+        fake = q @ other.T
+        fake += bias[z]
+        np.minimum(np.maximum(fake, -30, out=fake), 30, out=fake)
+        np.exp(np.negative(fake, out=fake), out=fake)
+        fake += 1
+        np.divide(np.float32(-1 / n), fake, out=fake)
+        own *= true[:, None]
+        own += fake @ other  # the slopes of the rows' contexts
+        each = np.repeat(own, CONTEXT, axis=0)
+        sums = np.bincount(self.cells.take(place.ravel(), axis=0).ravel(), each.ravel(), UNITS * CONTEXT * DIM)
+        sums = sums.astype(np.float32).reshape(UNITS, CONTEXT * DIM)
+        dc[...] = (r.T @ sums).reshape(DIM, CONTEXT, DIM).transpose(1, 0, 2)
+        np.matmul(sums, side.T, out=dr)
+        # of the targets and the noise
+        both = np.concatenate((y, z))
+        up = np.concatenate((q * true[:, None], fake.T @ q))
+        dt.ravel()[...] = np.bincount(self.cells.take(both, axis=0).ravel(), up.ravel(), UNITS * DIM)
+        db[...] = np.bincount(both, np.concatenate((true, fake.sum(axis=0))), UNITS)
+        g = self.grad
+        g *= np.float32(n)
+        self.squares += g * g / np.float32(n)
+        g /= np.sqrt(self.squares * np.float32(n))
+        g *= np.float32(self.rate)
+        self.values += g
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All ``parts`` in one array, and each as a view of it."""
+    whole = np.concatenate([p.ravel() for p in parts])
+    cut = np.cumsum([p.size for p in parts])[:-1]
+    return whole, [v.reshape(p.shape) for v, p in zip(np.split(whole, cut), parts, strict=True)]
 
 
 def windows(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +276,7 @@ def windows(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _train(vocab: Vocabulary, flat: np.ndarray, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, seen, trainer = Codes(), 0, None
+        words, seen, trainer = Words(vocab), 0, None
         units, size = [], 0
 
         def learn() -> int:
@@ -219,11 +288,11 @@ def _train(vocab: Vocabulary, flat: np.ndarray, rate: float):
 
         for batch in batches:
             for text in batch.column("text"):
-                c = codes.of(text.as_py())
+                w = words.of(text.as_py())
                 if trainer is None:  # noise as the first text of the partition says: same rows, same model
-                    trainer = Trainer(Model(vocab.unigram, flat), vocab.unigram, rate, int(c[0] % np.uint64(1 << 32)))
-                units.append(vocab.unit_of(c, vocab.count_of(c)[1]))
-                size += len(c)
+                    trainer = Trainer(Model(vocab.unigram, flat), vocab.unigram, rate, int(words.code[w[0]] % np.uint64(1 << 32)))
+                units.append(words.unit[w])
+                size += len(w)
                 if size >= LEARN_TOKENS:
                     seen += learn()
                     units, size = [], 0
@@ -240,7 +309,7 @@ def _train(vocab: Vocabulary, flat: np.ndarray, rate: float):
 
 def _score(vocab: Vocabulary, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, model = Codes(), Model(vocab.unigram, flat)
+        words, model = Words(vocab), Model(vocab.unigram, flat)
         log_left = np.log10(vocab.left)
         for batch in batches:
             rows, size, out = 0, 0, []
@@ -260,10 +329,9 @@ def _score(vocab: Vocabulary, flat: np.ndarray):
 
             docs = []
             for text in batch.column("_text"):
-                c = codes.of(text.as_py())
-                n, at = vocab.count_of(c)
-                docs.append((c, at, vocab.unit_of(c, at), n))
-                rows, size = rows + 1, size + len(c)
+                w = words.of(text.as_py())
+                docs.append((words.code[w], words.at[w], words.unit[w], words.count[w]))
+                rows, size = rows + 1, size + len(w)
                 if size > 1 << 20:
                     flush(docs)
                     docs, size = [], 0

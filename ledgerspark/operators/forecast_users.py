@@ -11,7 +11,7 @@ here every user's series gets its own fit, all users at once.
   coordinate descent from a penalty that keeps none to the prior's. Bands hold
   the residual spread, the uncertainty of the fitted terms, and trend changes to come
   at the rate and size of those seen. A user's series has at most one row a calendar
-  day, so one group is small; it is fitted in ``applyInPandas``.
+  day, so one group is small; it is fitted in ``applyInArrow``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -169,6 +168,21 @@ def l1_path(gram: np.ndarray, target: np.ndarray, penalty: float, start: np.ndar
     return d
 
 
+def _raised(gram: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """``gram`` with ``by`` added to its diagonal."""
+    out = gram.copy()
+    out.flat[:: len(gram) + 1] += by
+    return out
+
+
+def _inverse(gram: np.ndarray, least: float) -> np.ndarray:
+    """Inverse of a symmetric matrix with no eigenvalue below ``least``; by eigenvalues, the
+    slower way, only where rounding could hide the smallest."""
+    if least > 1e-10 * np.trace(gram):
+        return np.linalg.inv(gram)
+    return np.linalg.pinv(gram, hermitian=True)
+
+
 class SeasonalFit:
     """The most probable trend, seasons and changepoints of one series (days ``t`` from 0, values ``y``)."""
 
@@ -185,19 +199,21 @@ class SeasonalFit:
         prior = np.full(x.shape[1], SEASON_SCALE ** -2.0)
         prior[:2] = TREND_PRIOR_SCALE**-2
         variance, delta = max(float(z.var()), 1e-10), None
-        xx, xh, hh = x.T @ x, x.T @ h, h.T @ h
+        full = np.hstack((x, h))
+        xx, xh, hh, hz, products = x.T @ x, x.T @ h, h.T @ h, h.T @ z, full.T @ full
+        sides = np.column_stack((xh, x.T @ z))
+        # a changepoint that was not kept is uncertain, too
+        ridge = np.concatenate((prior, np.full(h.shape[1], 1 / (2 * CHANGEPOINT_SCALE**2))))
         for _ in range(SIGMA_ROUNDS):  # noise and coefficients in turn
-            solved = np.linalg.solve(xx + np.diag(variance * prior), np.column_stack((xh, x.T @ z)))
-            gram, target = hh - xh.T @ solved[:, :-1], h.T @ z - xh.T @ solved[:, -1]
+            solved = np.linalg.solve(_raised(xx, variance * prior), sides)
+            gram, target = hh - xh.T @ solved[:, :-1], hz - xh.T @ solved[:, -1]
             delta = l1_path(gram, target, variance / CHANGEPOINT_SCALE, delta)
             beta = solved[:, -1] - solved[:, :-1] @ delta
             rest = z - x @ beta - h @ delta
             kept = delta != 0
-            full = np.hstack((x, h))  # a changepoint that was not kept is uncertain, too
-            ridge = np.concatenate((prior, np.full(h.shape[1], 1 / (2 * CHANGEPOINT_SCALE**2))))
-            inverse = np.linalg.pinv(full.T @ full + np.diag(variance * ridge), hermitian=True)
+            inverse = _inverse(_raised(products, variance * ridge), variance * ridge.min())
             # terms that the data decide take away degrees of freedom
-            used = float(np.trace(inverse @ (full.T @ full)))
+            used = float(np.trace(inverse @ products))
             variance = max(float(rest @ rest) / max(n - used, 1.0), 1e-10)
         self.beta, self.delta, self.kept, self.variance, self.inverse = beta, delta, kept, variance, inverse
 
@@ -218,13 +234,20 @@ SEASONAL_TABLE = ("last_ds date, n_days long, changepoints long, sigma double, r
                   "covered double, mean array<double>, spread array<double>")
 
 
-def fit_series(ds: pd.Series, y: np.ndarray, horizon: int, days: int) -> dict | None:
+_FITTED = pa.schema([
+    ("last_ds", pa.date32()), ("n_days", pa.int64()), ("changepoints", pa.int64()), ("sigma", pa.float64()), ("rmse", pa.float64()),
+    ("mape", pa.float64()), ("n_test", pa.int64()), ("covered", pa.float64()), ("mean", pa.list_(pa.float64())), ("spread", pa.list_(pa.float64())),
+])
+
+
+def fit_series(ds: np.ndarray, y: np.ndarray, horizon: int, days: int) -> dict | None:
     """Holdout metrics of the fit on the train part (E10), and ``days`` forecasts of the fit on
-    all days, after the last one. None for fewer than 2 days."""
+    all days, after the last one. ``ds``: dates in order. None for fewer than 2 days."""
     n = len(y)
     if n < 2:
         return None
-    t = (pd.to_datetime(ds) - pd.to_datetime(ds.iloc[0])).dt.days.to_numpy().astype(float)
+    ds = np.asarray(ds, "datetime64[D]")
+    t = (ds - ds[0]).astype(float)
     split = max(n - horizon, int(n * 0.8))
     out = {"rmse": 0.0, "mape": 0.0, "n_test": n - split, "covered": None}
     if 2 <= split < n:
@@ -235,7 +258,7 @@ def fit_series(ds: pd.Series, y: np.ndarray, horizon: int, days: int) -> dict |
         out["covered"] = float((np.abs(err) <= BAND_Z * spread).mean())
     fit = SeasonalFit(t, y)
     mean, spread = fit.predict(t[-1] + np.arange(1, days + 1))
-    return {**out, "last_ds": ds.iloc[-1], "n_days": n, "changepoints": int(fit.kept.sum()), "sigma": float(np.sqrt(fit.variance) * fit.scale),
+    return {**out, "last_ds": ds[-1].item(), "n_days": n, "changepoints": int(fit.kept.sum()), "sigma": float(np.sqrt(fit.variance) * fit.scale),
             "mean": mean.tolist(), "spread": spread.tolist()}
 
 
@@ -267,15 +290,17 @@ class UserSeasonal:
 def fit_seasonal_per_user(daily: DataFrame, horizon: int = S.FORECAST_DEFAULT_DAYS, days: int = S.FORECAST_MAX_DAYS) -> UserSeasonal:
     """I12 for every user of ``daily`` (``user_id, ds, y``; one row a day). Users with fewer
     than 2 days have no row."""
-    names = [c.split()[0] for c in SEASONAL_TABLE.split(", ")]
+    schema = f"user_id {daily.schema['user_id'].dataType.simpleString()}, {SEASONAL_TABLE}"
 
-    def fit(key: tuple, series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values("ds")
-        got = fit_series(series["ds"], series["y"].to_numpy(float), horizon, days)
-        return pd.DataFrame([{"user_id": key[0], **got}] if got else [], columns=["user_id", *names])
+    def fit(series: pa.Table) -> pa.Table:
+        ds = series.column("ds").to_numpy()
+        order = np.argsort(ds, kind="stable")
+        got = fit_series(ds[order], series.column("y").to_numpy().astype(float)[order], horizon, days)
+        fields = [series.schema.field("user_id"), *_FITTED]
+        cols = [series.column("user_id").slice(0, 1 if got else 0).combine_chunks(), *(pa.array([got[f.name]] if got else [], f.type) for f in _FITTED)]
+        return pa.Table.from_arrays(cols, schema=pa.schema(fields))
 
-    user = f"user_id {daily.schema['user_id'].dataType.simpleString()}"
-    return UserSeasonal(daily.select("user_id", "ds", "y").groupBy("user_id").applyInPandas(fit, f"{user}, {SEASONAL_TABLE}"))
+    return UserSeasonal(daily.select("user_id", "ds", F.col("y").cast("double").alias("y")).groupBy("user_id").applyInArrow(fit, schema))
 
 
 def without_model(txn_days: DataFrame, table: DataFrame, days: int) -> DataFrame:

@@ -144,3 +144,32 @@ got = fit(pd.Series(pd.date_range("2024-01-01", periods=40)), np.arange(40.0), 1
 assert "ledgerspark" not in sys.modules and abs(got["mean"][0] - 40) < 2, got["mean"]
 """
     subprocess.run([sys.executable, "-c", code, str(tmp_path / "f")], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_fit_needs_eigenvalues_only_near_singular_sums(monkeypatch):
+    """The eigenvalues of every round's sums took most of a user's fit."""
+    calls, real = [], np.linalg.pinv
+    monkeypatch.setattr(np.linalg, "pinv", lambda *a, **k: calls.append(1) or real(*a, **k))
+    rng = np.random.default_rng(8)
+    fit = FU.SeasonalFit(np.arange(60.0), rng.gamma(2, 1000, 60))
+    assert not calls
+    mean, spread = fit.predict(np.arange(60.0, 70.0))
+    monkeypatch.setattr(FU, "_inverse", lambda gram, least: real(gram, hermitian=True))
+    by_eigenvalues = FU.SeasonalFit(np.arange(60.0), np.random.default_rng(8).gamma(2, 1000, 60)).predict(np.arange(60.0, 70.0))
+    np.testing.assert_allclose((mean, spread), by_eigenvalues, rtol=1e-9)
+    FU.SeasonalFit(np.arange(30.0), np.full(30, 3.0))  # a series without noise
+    assert calls
+
+
+def test_a_series_is_fitted_in_date_order(spark):
+    rng = np.random.default_rng(4)
+    rows = [(u, DAY0 + dt.timedelta(days=d), float(v)) for u in (1, 2) for d, v in enumerate(rng.gamma(2, 100, 40))]
+    rows.append((3, DAY0, 5.0))
+    want = {u: FU.fit_series(pd.Series([r[1] for r in rows if r[0] == u]), np.array([r[2] for r in rows if r[0] == u]), 10, 5) for u in (1, 2)}
+    rng.shuffle(rows)
+    got = FU.fit_seasonal_per_user(spark.createDataFrame([(int(u), d, float(v)) for u, d, v in rows], "user_id long, ds date, y double"), 10, 5)
+    by = {r["user_id"]: r for r in got.table.collect()}
+    assert sorted(by) == [1, 2]
+    for u, r in by.items():
+        assert r["last_ds"] == DAY0 + dt.timedelta(days=39) and r["n_days"] == 40
+        np.testing.assert_allclose(r["mean"], want[u]["mean"], rtol=1e-9)

@@ -247,7 +247,7 @@ def fit_series(ds: np.ndarray, y: np.ndarray, horizon: int, days: int) -> dict |
     if n < 2:
         return None
     ds = np.asarray(ds, "datetime64[D]")
-    t = (ds - ds[0]).astype(float)
+    t = np.where(np.isnat(ds), np.nan, (ds - ds[0]).astype(float))  # a day without a date is an error, not a far one
     split = max(n - horizon, int(n * 0.8))
     out = {"rmse": 0.0, "mape": 0.0, "n_test": n - split, "covered": None}
     if 2 <= split < n:

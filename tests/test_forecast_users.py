@@ -154,11 +154,11 @@ def test_fit_needs_eigenvalues_only_near_singular_sums(monkeypatch):
     fit = FU.SeasonalFit(np.arange(60.0), rng.gamma(2, 1000, 60))
     assert not calls
     mean, spread = fit.predict(np.arange(60.0, 70.0))
+    FU.SeasonalFit(np.arange(30.0), np.full(30, 3.0))  # a series without noise
+    assert calls
     monkeypatch.setattr(FU, "_inverse", lambda gram, least: real(gram, hermitian=True))
     by_eigenvalues = FU.SeasonalFit(np.arange(60.0), np.random.default_rng(8).gamma(2, 1000, 60)).predict(np.arange(60.0, 70.0))
     np.testing.assert_allclose((mean, spread), by_eigenvalues, rtol=1e-9)
-    FU.SeasonalFit(np.arange(30.0), np.full(30, 3.0))  # a series without noise
-    assert calls
 
 
 def test_a_series_is_fitted_in_date_order(spark):
@@ -173,3 +173,9 @@ def test_a_series_is_fitted_in_date_order(spark):
     for u, r in by.items():
         assert r["last_ds"] == DAY0 + dt.timedelta(days=39) and r["n_days"] == 40
         np.testing.assert_allclose(r["mean"], want[u]["mean"], rtol=1e-9)
+
+
+def test_a_day_without_a_date_is_an_error():
+    ds = np.array(["2024-01-01", "2024-01-03", "2024-01-09", "2024-01-12", "NaT"], "datetime64[D]")
+    with pytest.raises(np.linalg.LinAlgError):
+        FU.fit_series(ds, np.array([1.0, 2, 3, 4, 5]), 30, 5)

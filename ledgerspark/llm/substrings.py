@@ -13,9 +13,13 @@ apart by a row key that is written beside the row before anything is counted.
    recurring phrase found in it once, compiles an Aho-Corasick automaton over
    the words, and streams its documents through it to locate every
    occurrence of every phrase.
-3. The windows that name a located phrase are keyed by a 64-bit hash; Spark
-   takes the first place of each key (partial minima, so no hot key), and all
-   later places become removed words, applied in one last join by row key.
+3. Consecutive windows that name one occurrence of a phrase make a block, keyed by a
+   64-bit hash. Equal blocks hold equal windows at equal offsets, so of each key
+   all blocks but the first are later windows throughout, and the first place of
+   every window lies in a first block. Only first blocks are expanded into
+   windows, again keyed by a hash, of which all but the first place are later ones.
+   Firsts are partial minima, so no hot key; the later places become removed words,
+   applied in one last join by row key.
 
 Whole texts are read each time; no phrase, window or partner is capped.
 Defined cases: null text has no words; texts of fewer than ``WINDOW`` words
@@ -31,14 +35,16 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHash, materialize, replace_text, shards_for, shingle_hashes, with_row
+from .common import M64, MIX, WordHash, materialize, mix64, replace_text, shards_for, shingle_hashes, with_row
 
 WINDOW = 20
 PHRASE = 6
 SHARD_BYTES = 4 << 20
+CHUNK_WORDS = 1 << 17  # words of several texts hashed at a time
 _LAST = (1 << 63) - 1
 _HIGH = np.uint64(((1 << 40) - 1) << 24)  # texts have less than 2 ** 24 words
 
@@ -59,43 +65,83 @@ def named(hashes: np.ndarray, window: int, phrase: int) -> np.ndarray:
     return (low & ~_HIGH).astype(np.int64)
 
 
+def rolling(ids: np.ndarray, k: int) -> np.ndarray:
+    """Polynomial hash of every run of ``k`` numbers, from those of 1, 2, 4, ... of them."""
+    n = max(len(ids) - k + 1, 0)
+    out, have, part, span, power = np.zeros(n, np.uint64), 0, ids, 1, MIX
+    while n:
+        if k & span:
+            out = out * power + part[have : have + n]
+            have += span
+        if 2 * span > k:
+            break
+        part = part[:-span] * power + part[span:]
+        span, power = 2 * span, np.uint64(int(power) ** 2 & M64)
+    return out
+
+
+def chunks(words: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(names, numbers of words, joined words) of some texts at a time."""
+    names, parts, size = [], [], 0
+    for name, w in words:
+        if parts and size + len(w) > CHUNK_WORDS:
+            yield names, np.array([len(x) for x in parts]), np.concatenate(parts)
+            names, parts, size = [], [], 0
+        names.append(name)
+        parts.append(w)
+        size += len(w)
+    if parts:
+        yield names, np.array([len(x) for x in parts]), np.concatenate(parts)
+
+
+def windows_within(lengths: np.ndarray, window: int) -> np.ndarray:
+    """Which windows of joined texts, none shorter than a window, lie within one of them."""
+    text = np.repeat(np.arange(len(lengths)), lengths)
+    return text[: len(text) - window + 1] == text[window - 1 :]
+
+
 def _anchors(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
-            phrases, key, pos = [], [], []
-            for k, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                w = (text.as_py() or b"").split()
-                if len(w) < window:
-                    continue
-                ids = hashes.ids(w)
-                at = np.unique(named(ids, window, phrase))
-                phrases.append(shingle_hashes(ids, phrase)[at])
-                key.append(np.full(len(at), k, np.int64))
-                pos.append(at.astype(np.int32))
-            if key:
+            split = ((k, (t.as_py() or b"").split()) for k, t in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True))
+            for keys, lengths, ids in chunks((k, hashes.ids(w)) for k, w in split if len(w) >= window):
+                at = named(ids, window, phrase)[windows_within(lengths, window)]
+                at = at[np.diff(at, prepend=-1) > 0]  # places only grow
+                begins = np.cumsum(lengths) - lengths
+                text = np.searchsorted(begins, at, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(phrases).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(pos))],
-                    names=["phrase", "key", "pos"])
+                    [pa.array(shingle_hashes(ids, phrase)[at].view(np.int64)), pa.array(np.array(keys, np.int64)[text]),
+                     pa.array((at - begins[text]).astype(np.int32))], names=["phrase", "key", "pos"])
 
     return run
 
 
-class Letters(dict):
-    """word -> three letters, each from an alphabet of its own.
+class Numbers(dict):
+    """word -> its number; ``hashes`` in their order."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self)
+        self.hashes.append(xxhash.xxh3_64_intdigest(w))
+        return n
+
+
+def letters(numbers: np.ndarray) -> str:
+    """Three letters for each word number, each from an alphabet of its own.
 
     The automaton looks through a node's children one by one, so a node must not
     have as many as there are words; and no match can start within a word.
     """
-
-    def __missing__(self, w: bytes) -> str:
-        n = len(self)
-        s = self[w] = chr(0x1000 + n % 64) + chr(0x2000 + (n >> 6) % 64) + chr(0x10000 + (n >> 12))
-        return s
+    n = numbers.astype("<u4")
+    return np.stack((0x1000 + n % 64, 0x2000 + (n >> 6) % 64, 0x10000 + (n >> 12)), axis=1).astype("<u4").tobytes().decode("utf-32-le")
 
 
 def compile_automaton(phrases):
-    """Aho-Corasick automaton over strings of ``Letters``."""
+    """Aho-Corasick automaton over strings of ``letters``."""
     auto = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for p in phrases:
         auto.add_word(p)
@@ -104,42 +150,45 @@ def compile_automaton(phrases):
 
 
 def _locate(window: int, phrase: int):
-    """Windows of a shard's documents that name a recurring phrase."""
+    """Blocks of a shard's documents: consecutive windows that name one occurrence of a recurring phrase."""
 
     def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
-        window_key, doc, key, start = [], [], [], []
+        cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
         if len(phrases) and len(docs):
-            letter = Letters()
-            texts: dict[int, tuple[int, list[bytes], str]] = {}
-            for k, d, text in zip(docs.column("key").to_pylist(), docs.column("doc").to_pylist(), docs.column("text"), strict=True):
-                w = (text.as_py() or b"").split()
-                if len(w) >= window:
-                    texts[k] = (d, w, "".join(map(letter.__getitem__, w)))
-            auto = compile_automaton({
-                texts[k][2][3 * p : 3 * (p + phrase)]
-                for k, p in zip(phrases.column("key").to_pylist(), phrases.column("pos").to_pylist(), strict=True)
-            })
-            hashes = WordHash()
-            for k, (d, w, t) in texts.items():
+            number = Numbers()
+            doc = dict(zip(docs.column("key").to_pylist(), docs.column("doc").to_pylist(), strict=True))
+            split = ((k, (t.as_py() or b"").split()) for k, t in zip(docs.column("key").to_pylist(), docs.column("text"), strict=True))
+            texts = list(chunks((k, np.fromiter(map(number.__getitem__, w), np.int64, len(w))) for k, w in split if len(w) >= window))
+            spelled = [letters(ids) for _, _, ids in texts]
+            begin = {k: (i, b) for i, (keys, lengths, _) in enumerate(texts)
+                     for k, b in zip(keys, (np.cumsum(lengths) - lengths).tolist(), strict=True)}
+            places = ((begin[k], p) for k, p in zip(phrases.column("key").to_pylist(), phrases.column("pos").to_pylist(), strict=True))
+            auto = compile_automaton({spelled[i][3 * (b + p) : 3 * (b + p + phrase)] for (i, b), p in places})
+            hashes = np.array(number.hashes, np.uint64)
+            for (keys, lengths, ids), t in zip(texts, spelled, strict=True):
                 ends = np.fromiter((e for e, _ in auto.iter(t)), np.int64)
-                if not len(ends):
+                located = np.zeros(len(ids), bool)
+                located[(ends + 1) // 3 - phrase] = True  # one that spans two texts is named by no window
+                ids = hashes[ids]
+                names = named(ids, window, phrase)
+                at = np.flatnonzero(located[names] & windows_within(lengths, window))
+                if not len(at):
                     continue
-                located = np.zeros(len(w), bool)
-                located[(ends + 1) // 3 - phrase] = True
-                ids = hashes.ids(w)
-                at = np.flatnonzero(located[named(ids, window, phrase)])
-                if len(at):
-                    h = np.zeros(len(ids) - window + 1, np.uint64)
-                    for j in range(window):
-                        h *= MIX
-                        h += ids[j : j + len(h)]
-                    window_key.append(h[at])
-                    doc.append(np.full(len(at), d, np.int64))
-                    key.append(np.full(len(at), k, np.int64))
-                    start.append(at.astype(np.int32))
-        cat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        return pa.table({"window": cat(window_key, np.uint64).view(np.int64), "doc": cat(doc, np.int64), "key": cat(key, np.int64),
-                         "start": cat(start, np.int32)})
+                h = rolling(ids, window)[at]
+                first = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(names[at], prepend=-1) != 0))
+                n = np.diff(first, append=len(at))
+                begins = np.cumsum(lengths) - lengths
+                text = np.searchsorted(begins, at[first], "right") - 1
+                key = np.array(keys, np.int64)[text]
+                block = mix64(mix64(h[first]) * MIX + h[first + n - 1] + n.astype(np.uint64))  # shorter than a window: all its words
+                got = (block.view(np.int64), np.fromiter(map(doc.__getitem__, key.tolist()), np.int64, len(key)), key,
+                       (at[first] - begins[text]).astype(np.int32), n.astype(np.int32), h.view(np.int64))
+                for c, x in zip(cols, got, strict=True):
+                    c.append(x)
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.int32, np.int64)
+        block, docid, key, start, n, h = (np.concatenate([np.empty(0, k), *c]) for c, k in zip(cols, kinds, strict=True))
+        offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+        return pa.table({"block": block, "doc": docid, "key": key, "start": start, "n": n, "windows": pa.ListArray.from_arrays(offsets, h)})
 
     return run
 
@@ -151,11 +200,11 @@ def _apply(window: int):
             for text, starts in zip(batch.column("_text"), batch.column("starts"), strict=True):
                 w = (text.as_py() or b"").split()
                 n.append(len(w))
-                s = starts.values.to_numpy() if starts.is_valid else ()
-                if len(s):
-                    edge = np.zeros(len(w) + window + 1, np.int64)
+                if starts.is_valid and len(starts):
+                    s, m = (starts.values.field(c).to_numpy() for c in ("start", "n"))
+                    edge = np.zeros(len(w) + 1, np.int64)
                     np.add.at(edge, s, 1)
-                    np.add.at(edge, s + window, -1)
+                    np.add.at(edge, s + (m + window - 1), -1)
                     keep = np.cumsum(edge)[: len(w)] == 0
                     w = [x for x, k in zip(w, keep.tolist(), strict=True) if k]
                 gone.append(n[-1] - len(w))
@@ -179,13 +228,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
     found = (anchors.join(recurring, "phrase").groupBy(shard.alias("shard"), "phrase")
              .agg(F.min(F.struct("key", "pos")).alias("at")).select("shard", "at.key", "at.pos"))
-    windows = materialize(
+    blocks = materialize(
         texts.select(shard.alias("shard"), "key", "doc", "text").groupBy("shard").cogroup(materialize(found).groupBy("shard"))
-        .applyInArrow(_locate(window, phrase), "window long, doc long, key long, start int"))
-    first = materialize(windows.groupBy("window").agg(F.min(F.struct("doc", "key", "start")).alias("first"), F.count("*").alias("n"))
-                        .where("n > 1").select("window", F.col("first.key").alias("key1"), F.col("first.start").alias("start1")))
-    later = windows.join(first, "window").where("key <> key1 or start <> start1").select("key", "start").distinct()
-    starts = materialize(later.groupBy(F.col("key").alias("_key")).agg(F.collect_list("start").alias("starts")))
+        .applyInArrow(_locate(window, phrase), "block long, doc long, key long, start int, n int, windows array<long>"))
+    firsts = materialize(blocks.groupBy("block").agg(F.min(F.struct("doc", "key", "start", "windows")).alias("first"), F.count("*").alias("count"))
+                         .select("block", "count", "first.*"))
+    other = (F.col("key") != F.col("key1")) | (F.col("start") != F.col("start1"))
+    shared = firsts.where("count > 1").select("block", F.col("key").alias("key1"), F.col("start").alias("start1"))
+    copies = blocks.select("block", "key", "start", "n").join(shared, "block").where(other).select("key", "start", "n")
+    windows = firsts.select("doc", "key", "start", F.posexplode("windows").alias("i", "window")).select(
+        "window", "doc", "key", (F.col("start") + F.col("i")).alias("start"))
+    first = materialize(windows.groupBy("window").agg(F.min(F.struct("doc", "key", "start")).alias("first"), F.count("*").alias("count"))
+                        .where("count > 1").select("window", F.col("first.key").alias("key1"), F.col("first.start").alias("start1")))
+    later = windows.join(first, "window").where(other).select("key", "start", F.lit(1).alias("n"))
+    starts = materialize(copies.unionByName(later).groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("starts")))
     src = rows.join(starts, F.col("key") == F.col("_key"), "left").select(text.alias("_text"), "starts", "row")
     schema = f"row {src.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string"
     return src.mapInArrow(_apply(window), schema)

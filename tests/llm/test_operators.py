@@ -126,6 +126,42 @@ def test_named_phrase_is_the_first_of_the_smallest():
     assert substrings.named(h, 20, 6).tolist() == direct
 
 
+def test_rolling_hash():
+    ids = np.random.default_rng(4).integers(0, 1 << 63, 60).astype(np.uint64)
+    for k in (1, 6, 20, 32, 60):
+        direct = [np.uint64(0)] * (61 - k)
+        for i in range(61 - k):
+            for x in ids[i : i + k]:
+                direct[i] = np.uint64((int(direct[i]) * int(substrings.MIX) + int(x)) % 2**64)
+        assert substrings.rolling(ids, k).tolist() == [int(x) for x in direct]
+    assert not len(substrings.rolling(ids, 61))
+
+
+def _shard(texts, chunk, monkeypatch):
+    """Blocks of one shard in which every named phrase recurs."""
+    monkeypatch.setattr(substrings, "CHUNK_WORDS", chunk)
+    keys = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([keys, pa.array([t.encode() for t in texts])], names=["key", "text"])
+    named = pa.Table.from_batches(substrings._anchors(20, 6)([batch]))
+    docs = pa.table({"key": keys, "doc": keys, "text": batch.column("text")})
+    return sorted(named.to_pylist(), key=str), substrings._locate(20, 6)(docs, named).to_pylist()
+
+
+def test_windows_travel_in_blocks(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 900, n)) for n in (300, 19, 90, 20, 700)]
+    texts.append(texts[0])
+    anchors, blocks = _shard(texts, 1 << 17, monkeypatch)
+    assert (anchors, blocks) == _shard(texts, 50, monkeypatch)  # however many texts are hashed at a time
+    for k, t in enumerate(texts):  # every window once, in its place
+        starts = sorted(b["start"] + i for b in blocks if b["key"] == k for i in range(b["n"]))
+        assert starts == list(range(len(t.split()) - 19))
+        assert all(len(b["windows"]) == b["n"] for b in blocks)
+    assert len(blocks) * 5 < sum(b["n"] for b in blocks)
+    same = [[(b["block"], b["start"]) for b in blocks if b["key"] == k] for k in (0, 5)]
+    assert same[0] == same[1]  # a copy repeats the blocks, so none of its windows is expanded
+
+
 # ---------------------------------------------------------------- op 4 ----
 
 def test_nearest_with_equal_odd_and_null_vectors(spark):

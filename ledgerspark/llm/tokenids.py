@@ -31,12 +31,14 @@ row; an empty table gives empty files; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import sys
 import types
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,19 @@ def cut_points(b: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut) + 1
 
 
+#: perhaps a space, then letters (from U+00C0 to U+04BF, if not ASCII) or ASCII digits
+_RUN = re.compile(rb" ?(?:[A-Za-z]+|[0-9]+|(?:[A-Za-z]|[\xc3-\xd1][\x80-\xbf]|\xd2[\x80-\xbf])+)")
+
+
+def _spelled() -> dict[int, int]:
+    """The code point by which byte-level vocabularies spell each byte, where it is another."""
+    same = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in same)}
+
+
+_SPELLED = _spelled()
+
+
 class Encoder(dict):
     """piece -> its place in the table of encoded pieces; ``encode`` gives ids of texts."""
 
@@ -108,12 +123,20 @@ class Encoder(dict):
         self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
                      and not spec.get("normalizer") and not any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec["added_tokens"]))
         self.classes = _classes()
-        self.forget()
+        self.ids, self.count, self.seen, self.waiting, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32), [], 0
 
     def forget(self) -> None:
+        """Only pieces that came back in a later chunk are kept, if they are no more than half the limits."""
+        again = self.seen > 1
+        pieces = [p for p, keep in zip(self, again.tolist(), strict=True) if keep]  # in the order of their places
+        size = sum(map(len, pieces))
+        if 2 * len(pieces) > MAX_PIECES or 2 * size > MAX_PIECE_BYTES:
+            again, pieces, size = np.zeros(len(again), bool), [], 0
         self.clear()
-        self.size = 0
-        self.ids, self.count, self.waiting = np.empty(0, np.uint32), np.empty(0, np.int64), []
+        self.update(zip(pieces, range(len(pieces)), strict=True))
+        self.size = size
+        self.ids = self.ids[np.repeat(again, self.count)]
+        self.count, self.seen, self.waiting = self.count[again], np.zeros(len(pieces), np.int32), []
 
     def __missing__(self, piece: bytes) -> int:
         self.waiting.append(piece)
@@ -121,26 +144,26 @@ class Encoder(dict):
         at = self[piece] = len(self)
         return at
 
-    def _alone(self, piece: bytes) -> bool:
-        """One run of letters, digits or marks, a space perhaps before it: no pre-tokenizing needed."""
-        core = piece[1:] if piece[:1] == b" " else piece
-        return core.isascii() and (core.isalpha() or core.isdigit())
-
     def _learn(self) -> None:
-        """Ids of the pieces met for the first time."""
+        """Ids of the pieces met for the first time; a run needs no pre-tokenizing."""
         new: list[list[int] | None] = [None] * len(self.waiting)
-        model, rest = self.tokenizer.model, []
+        tokenize, run, rest = self.tokenizer.model.tokenize, _RUN.fullmatch, []
         for i, p in enumerate(self.waiting):
-            if self._alone(p):
-                new[i] = [t.id for t in model.tokenize(p.decode().replace(" ", "Ġ"))]
+            if not run(p):
+                rest.append(i)
+            elif p.isascii():
+                new[i] = [t.id for t in tokenize(p.decode().replace(" ", "Ġ"))]
+            elif p.decode().lstrip(" ").isalpha():
+                new[i] = [t.id for t in tokenize(p.decode("latin-1").translate(_SPELLED))]
             else:
                 rest.append(i)
         got = self.tokenizer.encode_batch_fast([self.waiting[i].decode() for i in rest], add_special_tokens=False)
         for i, e in zip(rest, got, strict=True):
             new[i] = e.ids
         n = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter((x for ids in new for x in ids), np.uint32, int(n.sum()))
+        flat = np.fromiter(chain.from_iterable(new), np.uint32, int(n.sum()))
         self.ids, self.count = np.concatenate((self.ids, flat)), np.concatenate((self.count, n))
+        self.seen = np.concatenate((self.seen, np.zeros(len(n), np.int32)))
         self.waiting = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -176,6 +199,7 @@ class Encoder(dict):
         place = np.fromiter((self[joined[i:j]] for i, j in zip(start[one].tolist(), end[one].tolist(), strict=True)), np.int64, len(one))
         if self.waiting:
             self._learn()
+        self.seen[place] += 1
         place = place[which]
         n = self.count[place]
         first = (np.cumsum(self.count) - self.count)[place]

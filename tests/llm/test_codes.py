@@ -48,6 +48,25 @@ def test_forgotten_pieces_and_small_chunks(vocabulary, monkeypatch):
     assert [x.tolist() for x in tokenids.Encoder(vocabulary).encode(texts)] == _plain(vocabulary, texts)
 
 
+def test_runs_of_letters_beyond_ascii(vocabulary):
+    texts = [f"a {chr(c)}b{chr(c)} x{chr(c)}, {chr(c)} {chr(c)}'s 1{chr(c)}" for c in range(0xA0, 0x580)]
+    texts += ["× ÷ a×b", "naïve été Straße", "привет, мир", "e\u0301te", "҃ а҃б", "γειά σου"]
+    assert [x.tolist() for x in tokenids.Encoder(vocabulary).encode(texts)] == _plain(vocabulary, texts)
+
+
+def test_pieces_that_came_back_are_kept(vocabulary, monkeypatch):
+    monkeypatch.setattr(tokenids, "MAX_PIECES", 20)
+    e = tokenids.Encoder(vocabulary)
+    learned = []
+    learn = e._learn
+    e._learn = lambda: (learned.extend(e.waiting), learn())
+    for i in range(12):
+        text = " often été" + "".join(f" rare{chr(97 + j)}{chr(97 + i)}" for j in range(6))
+        assert [x.tolist() for x in e.encode([text])] == _plain(vocabulary, [text])
+    assert learned.count(b" often") == learned.count(" été".encode()) == 1
+    assert len(e) <= 40 and len(learned) == 74
+
+
 def _optimum(counts, limit):
     """Least total of bits under the limit: package-merge over explicit sets."""
     leaves = sorted((c, (i,)) for i, c in enumerate(counts) if c)

@@ -9,12 +9,18 @@ chance (1 - (1 - s^3)^10)^2: 0.998 at 0.8, 0.9999 at 0.85.
 
 Equal sets are collapsed first. In ``HUB_ROUNDS`` first rounds every document
 is checked on the full sets against one other of its keys, the same for most of
-a group, which joins large groups at one check a document. Then, round by
-round, each table key that still holds sets of different classes gets leaders
+a group, which joins large groups at one check a document. The documents of table keys
+that still hold different classes mostly share a common passage and too little
+else, which no few minhashes tell apart. They go on under keys that do: the
+``n - ceil(percent * n / 100) + 1`` rarest shingles of a set of n, of which two
+linked sets share one at least in any order that is the same for all sets
+(``rare_keys``), so no link is lost. Then, round by
+round, each key that still holds sets of different classes gets leaders
 (its 1, 4, 16, ... smallest ids); every other member of another class is
 checked against them, confirmed links are merged into classes, and leaders, now
 compared with all, leave the key. The rounds end when no key holds two classes,
-so every candidate pair was compared or already in one class; a group of g
+so every candidate pair was compared, already in one class or without a shared
+rare shingle, that is no link; a group of g
 copies costs a few g checks, never its g * g pairs. Hot keys are only ever grouped by minima and limited
 windows (partial before the shuffle) and joined as plain tables, which AQE
 splits; a leader's checks are dealt to buckets of ``BUCKET`` members.
@@ -34,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_back
@@ -44,6 +50,8 @@ from .graph import connected_components
 LEFT, RIGHT, ROWS = 10, 10, 3
 BUCKET = 500
 HUB_ROUNDS = 3
+#: Bits of a shingle hash that name its counter. Counters only order the shingles; those that share one cost checks, not links.
+SLOT_BITS = 18
 SEED = 0x5EED
 
 
@@ -136,6 +144,67 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     return rows.select("leader", "part", "member", "text").mapInArrow(_confirm(k, percent), "a long, b long, linked boolean")
 
 
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _shingle_counts(k: int):
+    """Sets that hold a shingle of each counter, summed over the task's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        seen = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                seen += 0 if not (raw := text.as_py()) else np.bincount(_slots(shingle_set(raw.lower().split(), k, hashes)), minlength=len(seen))
+        slots = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(seen[slots])], names=["slot", "n"])
+
+    return run
+
+
+def _rare(k: int, percent: int, seen: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for batch in batches:
+            keys, rests, sizes, takes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], []
+            for text in batch.column("text"):
+                s = shingle_set((text.as_py() or b"").lower().split(), k, hashes)
+                n = len(s)
+                sizes.append(n)
+                takes.append(n + -percent * n // 100 + 1 if n else 0)
+                keys.append(s[np.lexsort((s, seen[_slots(s)]))[: takes[-1]]].view(np.int64))
+                rests.append(n - np.arange(takes[-1]))
+            docs = np.repeat(batch.column("member").to_numpy(zero_copy_only=False), takes)
+            cols = (np.concatenate(keys), docs, np.concatenate(rests), np.repeat(np.array(sizes, np.int64), takes))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "doc", "rest", "size"])
+
+    return run
+
+
+def rare_keys(bodies: DataFrame, k: int, percent: int) -> DataFrame:
+    """key, doc, rest, size: the rarest shingles of each of ``bodies`` (member, text), of which two that are linked share one.
+
+    Linked sets share ``ceil(percent * n / 100)`` shingles at least, n the size of the larger one. So in one order
+    of all shingles the first they share stands among the first ``n - ceil(percent * n / 100) + 1`` of both. ``rest``
+    counts the set's shingles from this one on: under the first one that two sets share, both have ``common_needed``
+    left. Keys under which a set has too few left for the smallest set of the key are left out.
+    """
+    bodies = materialize(bodies)
+    few = bodies.coalesce(bodies.sparkSession.sparkContext.defaultParallelism)  # a row a counter and task
+    total = few.mapInArrow(_shingle_counts(k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(1 << SLOT_BITS, np.int32)
+    seen[total["slot"].to_numpy(np.int64)] = np.minimum(total["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    rare = materialize(bodies.mapInArrow(_rare(k, percent, seen), "key long, doc long, rest long, size long"))
+    low = rare.groupBy("key").agg(F.min("size").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rare.join(low, "key").where(common_needed("rest", "size", "low", percent)).drop("low")
+
+
+def common_needed(rest, size, other, percent: int) -> Column:
+    """Whether ``rest`` common shingles link sets of these sizes: 100 * rest >= percent * (size + other - rest)."""
+    return (100 + percent) * F.col(rest) >= percent * (F.col(size) + F.col(other))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
@@ -161,6 +230,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id") == F.col("doc_id")).alias("kept")).unionByName(nameless)
 
 
+def of_several_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """``members`` with their classes, of the keys that hold documents of two classes or more."""
+    now = members.join(classes, members["doc"] == classes["node"], "left").select(*members.columns, F.coalesce("component", "doc").alias("class"))
+    mixed = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+    return materialize(now.join(mixed, "key"))
+
+
 def linked_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``near_duplicates`` of rows whose ids, where they are not null, differ."""
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -182,9 +258,10 @@ def linked_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     while True:
         now = members.withColumn("class", F.col("doc"))
         if classes is not None:
-            now = members.join(classes, members["doc"] == classes["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("class"))
-            mixed = now.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-            now = materialize(now.join(mixed, "key"))
+            now = of_several_classes(members, classes)
+            if rounds == HUB_ROUNDS and not is_empty(now):
+                left = now.select(F.col("doc").alias("member")).distinct()
+                now = of_several_classes(materialize(rare_keys(bodies.join(left, "member"), shingle, percent)), classes)
             if is_empty(now):
                 break
         if rounds < HUB_ROUNDS:
@@ -196,14 +273,16 @@ def linked_rows(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             pairs = one.select(F.col("hub.doc").alias("leader"), F.col("doc").alias("member"))
         else:
             rank = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
-            lead = materialize(now.withColumn("rank", rank).where(F.col("rank") <= leaders_per_key).select("key", F.col("doc").alias("leader"), F.col("class").alias("leads")))
-            pairs = now.join(lead, "key").where("leader < doc and leads <> class").select("leader", F.col("doc").alias("member")).distinct()
+            lead = materialize(now.withColumn("rank", rank).where(F.col("rank") <= leaders_per_key).select(
+                "key", F.col("doc").alias("leader"), F.col("class").alias("leads"), F.col("rest").alias("left"), F.col("size").alias("leader_size")))
+            enough = common_needed("rest", "size", "leader_size", percent) & common_needed("left", "size", "leader_size", percent)
+            pairs = now.join(lead, "key").where(F.expr("leader < doc and leads <> class") & enough).select("leader", F.col("doc").alias("member")).distinct()
             leaders_per_key *= 4
         found = materialize(confirm_pairs(materialize(pairs), bodies, shingle, percent).where("linked").select("a", "b"))
         links = found if links is None else links.unionByName(found)
         classes = materialize(connected_components(links))
         if rounds >= HUB_ROUNDS:
-            members = now.select("key", "doc").join(lead.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti")
+            members = now.drop("class").join(lead.select("key", F.col("leader").alias("doc")), ["key", "doc"], "left_anti")
             members = materialize(members)
         else:
             members = now.select("key", "doc")

@@ -181,7 +181,8 @@ def build_index(points: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def _search(k: int):
-    """Joined rows (an index shard, a block of queries) -> the shard's k nearest points of each."""
+    """Rows in order of shard and length, an index shard before the blocks of queries that meet it -> the shard's k
+    nearest points of each. One shard is held at a time; queries of a length that the shard does not have find nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, graph, ids = None, None, None
@@ -189,11 +190,14 @@ def _search(k: int):
             for row in range(len(batch)):
                 get = lambda c: batch.column(c)[row]  # noqa: B023, E731
                 key = (get("shard").as_py(), get("dim").as_py())
-                if key != last:
+                if not get("block").is_valid:
                     last, ids = key, get("points").values.to_numpy()
                     v = np.frombuffer(get("vectors").as_py(), np.float64).reshape(len(ids), key[1])
                     links = [np.frombuffer(x, np.int32).reshape(len(ids), -1) for x in get("links").as_py()]
                     graph = SmallWorld(v, get("levels").values.to_numpy(), links, get("entry").as_py())
+                    continue
+                if key != last:
+                    continue
                 out_q, out_p, out_d = [], [], []
                 for q in get("block").as_py():
                     vec = np.array(q["vector"], np.float64)
@@ -234,9 +238,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHA
     n = max(1, -(-queries.count() // BLOCK))
     blocks = queries.withColumn("dim", F.size("vector")).withColumn("no", F.pmod(F.xxhash64("query_id"), F.lit(n)))
     blocks = blocks.groupBy("no", "dim").agg(F.collect_list(F.struct("query_id", "vector")).alias("block"))
-    # every block meets every shard: the shard numbers are dealt out to each block, then joined by number
+    # every block meets every shard; no join, which would broadcast all pairs (their size is not that of the queries) and
+    # carry a shard's graph beside each of its blocks
     shards = max(1, -(-points.count() // shard))
-    tasks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index, ["shard", "dim"])
+    asked = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    tasks = index.withColumn("no", F.lit(-1).cast("long")).unionByName(asked, allowMissingColumns=True)
+    tasks = tasks.repartition(4 * shards, "shard", "dim").sortWithinPartitions("shard", "dim", "no")
     found = tasks.mapInArrow(_search(k + 1), "query_id long, point long, score double")
     top = Window.partitionBy("query_id").orderBy("score", "point")
     found = found.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k + 1)

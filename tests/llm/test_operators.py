@@ -188,6 +188,25 @@ def test_nearest_with_equal_odd_and_null_vectors(spark):
     assert ann.nearest(vec.limit(0), vec.limit(0).select(F.col("vec_id").alias("query_id"), "vector")).count() == 0
 
 
+def test_blocks_of_queries_stream_past_shards(spark, monkeypatch):
+    """All pairs of blocks and shards are never held at once, nor a graph carried beside each of its blocks."""
+    monkeypatch.setattr(ann, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    many = [(i, rng.normal(size=6 if i % 7 else 4).tolist()) for i in range(300)]
+    vec = spark.createDataFrame(many, "vec_id long, vector array<double>")
+    asked = spark.createDataFrame([(i, v) for i, v in many if i % 10 == 0] + [(1000, [1.0] * 5)], "query_id long, vector array<double>")
+    found = ann.nearest(vec, asked, k=3, shard=64)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[plan.index("MapInArrow") :]  # below the search
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q, v in ((i, v) for i, v in many if i % 10 == 0):
+        by = sorted((float(np.linalg.norm(np.array(v) - w)), i) for i, w in many if len(w) == len(v) and i != q)
+        assert sorted(got[q]) == [(n + 1, i) for n, (_, i) in enumerate(by[:3])]
+    assert 1000 not in got  # of a length that no shard has
+
+
 # ---------------------------------------------------------------- op 5 ----
 
 def test_language_model(spark, table_dir, rows):

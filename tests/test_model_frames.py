@@ -33,3 +33,18 @@ def test_folds_are_numbered_once(spark, monkeypatch):
     for f in frames:  # read from a checkpoint: nothing is ranked or joined again in each fit
         plan = f._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_out_of_fold_categories_are_scored_once(spark, monkeypatch):
+    from ledgerspark.operators import metrics
+
+    read = []
+
+    def measured(scored, kept=metrics.classification_metrics):
+        read.append(scored._jdf.queryExecution().optimizedPlan().toString())
+        return kept(scored)
+
+    monkeypatch.setattr(metrics, "classification_metrics", measured)
+    rows = [(i, 1, f"2025-01-{1 + i % 28:02d}", float(i % 50), "Food" if i % 3 else "Travel", f"m{i % 5}") for i in range(60)]
+    MD.fit_category_model(txn_frame(spark, rows), num_trees=2, max_depth=2, folds=2)
+    assert len(read) == 1 and "Python" not in read[0] and "UDF" not in read[0] and "probabilities" not in read[0]

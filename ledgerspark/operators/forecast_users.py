@@ -130,12 +130,12 @@ def fit_ridge_per_user(frame: DataFrame, alpha: float = S.FORECAST_RIDGE_ALPHA)
 def design(t: np.ndarray, span: float, changes: np.ndarray, yearly: bool) -> tuple[np.ndarray, np.ndarray]:
     """(columns with normal priors: slope, offset, sines and cosines; one hinge a changepoint) of days ``t``."""
     s = t / span
-    cols = [s, np.ones(len(t))]
     terms = [(7.0, 3), MONTH] + ([(365.25, 10)] if yearly else [])
-    for period, order in terms:
-        for k in range(1, order + 1):
-            cols += [np.sin(2 * np.pi * k * t / period), np.cos(2 * np.pi * k * t / period)]
-    return np.stack(cols, axis=1), np.maximum(0.0, s[:, None] - changes[None, :])
+    k = np.concatenate([np.arange(1, order + 1) for _, order in terms])
+    at = 2 * np.pi * k * t[:, None] / np.repeat([period for period, _ in terms], [order for _, order in terms])
+    x = np.empty((len(t), 2 + 2 * len(k)))
+    x[:, 0], x[:, 1], x[:, 2::2], x[:, 3::2] = s, 1.0, np.sin(at), np.cos(at)
+    return x, np.maximum(0.0, s[:, None] - changes[None, :])
 
 
 def l1_path(gram: np.ndarray, target: np.ndarray, penalty: float, start: np.ndarray | None = None) -> np.ndarray:
@@ -200,7 +200,8 @@ class SeasonalFit:
         prior[:2] = TREND_PRIOR_SCALE**-2
         variance, delta = max(float(z.var()), 1e-10), None
         full = np.hstack((x, h))
-        xx, xh, hh, hz, products = x.T @ x, x.T @ h, h.T @ h, h.T @ z, full.T @ full
+        products, p = full.T @ full, x.shape[1]
+        xx, xh, hh, hz = products[:p, :p], products[:p, p:], products[p:, p:], h.T @ z
         sides = np.column_stack((xh, x.T @ z))
         # a changepoint that was not kept is uncertain, too
         ridge = np.concatenate((prior, np.full(h.shape[1], 1 / (2 * CHANGEPOINT_SCALE**2))))
@@ -212,8 +213,8 @@ class SeasonalFit:
             rest = z - x @ beta - h @ delta
             kept = delta != 0
             inverse = _inverse(_raised(products, variance * ridge), variance * ridge.min())
-            # terms that the data decide take away degrees of freedom
-            used = float(np.trace(inverse @ products))
+            # terms that the data decide take away degrees of freedom: the trace of ``inverse @ products``
+            used = float(np.einsum("ij,ji->", inverse, products))
             variance = max(float(rest @ rest) / max(n - used, 1.0), 1e-10)
         self.beta, self.delta, self.kept, self.variance, self.inverse = beta, delta, kept, variance, inverse
 
@@ -221,7 +222,7 @@ class SeasonalFit:
         """(mean, standard deviation) on days ``t``."""
         x, h = design(t, self.span, self.changes, self.yearly)
         full = np.hstack((x, h))
-        fitted = np.einsum("ij,jk,ik->i", full, self.inverse, full)
+        fitted = np.einsum("ij,ij->i", full @ self.inverse, full)
         ahead = np.maximum(t / self.span - 1.0, 0.0)
         size = float(np.abs(self.delta).mean()) if len(self.delta) else 0.0
         # changes to come: as many per time as changepoints, Laplace of that size, anywhere ahead
